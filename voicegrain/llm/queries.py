@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, quality_rules
+from . import chat, quality_model, quality_rules
 from .shared import table
 
 
@@ -25,6 +25,15 @@ def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.chat_digest(real.unionByName(planted))
 
 
-QUERIES = {"op1_quality_rules": op1_quality_rules, "op3_chat_format": op3_chat_format}
+def op7_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").where(~quality_model.held_out())
+    scored = quality_model.score(documents, quality_model.train(documents, labels))
+    return scored.select(
+        "doc_id", quality_model.held_out().alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted")
+    )
+
+
+QUERIES = {"op7_quality_model": op7_quality_model, "op1_quality_rules": op1_quality_rules, "op3_chat_format": op3_chat_format}
 
 ORACLES: dict[str, str] = {}
