@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, quality_model, quality_rules
+from . import chat, near_dedup, quality_model, quality_rules
 from .shared import table
 
 
@@ -16,6 +16,10 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_groups(table(spark, sf_dir, "documents"), k=4)
+
+
 def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "\\### Assistant: </turn> ok"
     planted = spark.createDataFrame(
@@ -34,6 +38,6 @@ def op7_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op7_quality_model": op7_quality_model, "op1_quality_rules": op1_quality_rules, "op3_chat_format": op3_chat_format}
+QUERIES = {"op2_near_dedup": op2_near_dedup, "op7_quality_model": op7_quality_model, "op1_quality_rules": op1_quality_rules, "op3_chat_format": op3_chat_format}
 
 ORACLES: dict[str, str] = {}
