@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, near_dedup, quality_model, quality_rules
+from . import byte_bpe, chat, near_dedup, packing, quality_model, quality_rules
 from .shared import table
 
 
@@ -29,6 +29,25 @@ def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.chat_digest(real.unionByName(planted))
 
 
+def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    vocabulary = (public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    encoded = byte_bpe.encode_documents(table(spark, sf_dir, "documents"), *vocabulary)
+    return byte_bpe.decode_documents(encoded, *vocabulary).select(
+        "doc_id",
+        (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2("raw", 256).alias("decoded_sha256"),
+    )
+
+
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op7_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = table(spark, sf_dir, "labels").where(~quality_model.held_out())
@@ -38,6 +57,9 @@ def op7_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op2_near_dedup": op2_near_dedup, "op7_quality_model": op7_quality_model, "op1_quality_rules": op1_quality_rules, "op3_chat_format": op3_chat_format}
+QUERIES = {
+    "op5_byte_bpe": op5_byte_bpe,
+    "op8_packing": op8_packing,
+"op2_near_dedup": op2_near_dedup, "op7_quality_model": op7_quality_model, "op1_quality_rules": op1_quality_rules, "op3_chat_format": op3_chat_format}
 
 ORACLES: dict[str, str] = {}
