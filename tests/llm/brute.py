@@ -39,3 +39,47 @@ def near_groups(rows, k, percent=80):
             x, y = sorted((find(a), find(b)))
             root[y] = x
     return {d: (len(s), find(d)) for d, s in sets.items()}
+
+
+EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
+IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
+PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
+
+
+def luhn(digits):
+    total = 0
+    for i, c in enumerate(reversed(digits)):
+        d = int(c) * (1 + i % 2)
+        total += d - 9 if d > 9 else d
+    return total % 10 == 0
+
+
+def base_spans(text):
+    """[(kind, start, end)] as the contract of op4 has them."""
+    text = text or ""
+    digits = lambda m: re.sub("[^0-9]", "", m[0])
+    tests = (
+        ("email", EMAIL, lambda m: True),
+        ("ip", IP, lambda m: all(int(p) <= 255 for p in m[0].split("."))),
+        ("card", CARD, lambda m: 13 <= len(digits(m)) <= 19 and luhn(digits(m))),
+        ("phone", PHONE, lambda m: 9 <= len(digits(m)) <= 15),
+    )
+    return [(kind, m.start(), m.end()) for kind, pattern, good in tests for m in pattern.finditer(text) if good(m)]
+
+
+def base_rules(text):
+    """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed as the contract of op1 has them."""
+    text = text or ""
+    w = WORD.findall(text)
+    seen, dup = set(), 0
+    for line in text.split("\n"):
+        if WORD.search(line):
+            dup += line in seen
+            seen.add(line)
+    at = defaultdict(list)
+    for i in range(len(w) - 7):
+        at[tuple(w[i : i + 8])].append(i)
+    covered = {j for places in at.values() if len(places) > 1 for i in places for j in range(i, i + 8)}
+    n = len(w)
+    return n, sum(map(len, w)), sum(c in "#*$%&|<>" for c in text), dup, len(covered), n < 20 or 100 * len(covered) > 30 * n

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, chat, near_dedup, packing, quality_model, quality_rules
+from . import byte_bpe, chat, near_dedup, packing, private_data, quality_model, quality_rules, syncmers
 from .shared import table
 
 
@@ -29,6 +29,23 @@ def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.chat_digest(real.unionByName(planted))
 
 
+def op4_private_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return private_data.digest(private_data.find(table(spark, sf_dir, "documents")))
+
+
+def op9_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = syncmers.edited_pairs(table(spark, sf_dir, "documents"))
+    return pairs.select(
+        "doc_id",
+        "n_chars",
+        F.sha2("edited", 256).alias("edited_sha256"),
+        syncmers.as_text(F.col("fp")).alias("fingerprint"),
+        syncmers.as_text(F.col("edited_fp")).alias("edited_fingerprint"),
+        "near_edited",
+        "near_next",
+    )
+
+
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -58,6 +75,8 @@ def op7_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op4_private_data": op4_private_data,
+    "op9_syncmers": op9_syncmers,
     "op5_byte_bpe": op5_byte_bpe,
     "op8_packing": op8_packing,
 "op2_near_dedup": op2_near_dedup, "op7_quality_model": op7_quality_model, "op1_quality_rules": op1_quality_rules, "op3_chat_format": op3_chat_format}
