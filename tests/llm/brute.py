@@ -83,3 +83,21 @@ def base_rules(text):
     covered = {j for places in at.values() if len(places) > 1 for i in places for j in range(i, i + 8)}
     n = len(w)
     return n, sum(map(len, w)), sum(c in "#*$%&|<>" for c in text), dup, len(covered), n < 20 or 100 * len(covered) > 30 * n
+
+
+def lm_scores(rows):
+    """[(n_words, score)] for texts, by dictionaries of words and pairs."""
+    import math
+    from collections import Counter
+
+    texts = [WORD.findall(lower(t)) for t in rows]
+    one = Counter(w for t in texts for w in t)
+    two = Counter(p for t in texts for p in zip(t, t[1:], strict=False))
+    total = sum(one.values())
+
+    def log_s(t, i):
+        if i and two[t[i - 1], t[i]] >= 2:
+            return math.log(two[t[i - 1], t[i]] / one[t[i - 1]])
+        return math.log((0.4 if i else 1) * one[t[i]] / total)
+
+    return [(len(t), sum(log_s(t, i) for i in range(len(t))) / len(t) if t else None) for t in texts]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, chat, near_dedup, packing, private_data, quality_model, quality_rules, syncmers
+from . import byte_bpe, chat, lm_scoring, near_dedup, packing, private_data, quality_model, quality_rules, syncmers, warc
 from .shared import table
 
 
@@ -65,6 +65,14 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
+def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.score_documents(table(spark, sf_dir, "documents")).withColumn("score", F.round("score", 4))
+
+
 def op7_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = table(spark, sf_dir, "labels").where(~quality_model.held_out())
@@ -75,6 +83,8 @@ def op7_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op6_warc": op6_warc,
+    "op10_lm_scoring": op10_lm_scoring,
     "op4_private_data": op4_private_data,
     "op9_syncmers": op9_syncmers,
     "op5_byte_bpe": op5_byte_bpe,
