@@ -91,4 +91,50 @@ QUERIES = {
     "op8_packing": op8_packing,
 "op2_near_dedup": op2_near_dedup, "op7_quality_model": op7_quality_model, "op1_quality_rules": op1_quality_rules, "op3_chat_format": op3_chat_format}
 
-ORACLES: dict[str, str] = {}
+_WORDS = r"list_filter(regexp_split_to_array({text}, '[\x20\x09-\x0D]+'), lambda w: w <> '')"
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+ORACLES: dict[str, str] = {
+    "op2_near_dedup": f"""
+WITH RECURSIVE w AS MATERIALIZED (SELECT doc_id, {_WORDS.format(text=_LOWER)} AS w FROM documents),
+s AS MATERIALIZED (
+  SELECT doc_id, list_distinct(CASE WHEN len(w) >= 4 THEN list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' '))
+    WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s FROM w),
+u AS MATERIALIZED (SELECT doc_id, len(s) AS n, unnest(s) AS x FROM s),
+p AS MATERIALIZED (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM u a JOIN u b ON a.x = b.x AND a.doc_id <> b.doc_id
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+r(doc_id, c) AS (SELECT doc_id, doc_id FROM documents UNION SELECT p.b, r.c FROM r JOIN p ON p.a = r.doc_id),
+g AS (SELECT doc_id, min(c) AS component_id FROM r GROUP BY doc_id)
+SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, g.component_id, s.doc_id = g.component_id AS kept
+FROM s JOIN g ON g.doc_id = s.doc_id""",
+    "op3_chat_format": r"""
+WITH c AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL VALUES (-7, 0, 'user', '\### Assistant: </turn> ok'), (-7, 1, 'assistant', '\### Assistant: </turn> ok')),
+o AS (SELECT *, lag(role) OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS prev FROM c),
+a AS (
+  SELECT conv_id, count(*) AS n, string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text) AS t,
+    coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '') AS l,
+    sum(length(replace(replace(text, '\', '\e'), '<', '\l')) + CASE WHEN prev = role THEN 6 ELSE length(replace(replace(role, '\', '\e'), '<', '\l')) + 15 END) AS f
+  FROM o GROUP BY conv_id)
+SELECT conv_id, n AS n_turns, sha256(t) AS turns_sha256, length(l) AS loss_chars, sha256(l) AS loss_sha256, CAST(f AS BIGINT) AS formatted_chars FROM a""",
+    "op6_warc": """
+WITH p AS (SELECT page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+f AS (SELECT payload_digest, min(page_id) AS least FROM p WHERE payload_bytes >= 100 GROUP BY payload_digest)
+SELECT page_id, payload_bytes, p.payload_digest, CASE WHEN least <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN least <> page_id THEN least END AS refers_to
+FROM p LEFT JOIN f ON f.payload_digest = p.payload_digest""",
+    "op10_lm_scoring": f"""
+WITH w AS (SELECT doc_id, {_WORDS.format(text=_LOWER)} AS w FROM documents),
+g AS (SELECT doc_id, unnest(range(1, len(w) + 1)) AS i, unnest(w) AS w, unnest(list_concat(CAST([NULL] AS VARCHAR[]), w[1:len(w) - 1])) AS v FROM w WHERE len(w) > 0),
+one AS (SELECT w, count(*) AS n FROM g GROUP BY w),
+two AS (SELECT v, w, count(*) AS n FROM g WHERE i > 1 GROUP BY v, w),
+t AS (SELECT count(*) AS n FROM g),
+s AS (
+  SELECT g.doc_id, CASE WHEN two.n >= 2 THEN ln(CAST(two.n AS DOUBLE) / pv.n) WHEN g.i > 1 THEN ln(CAST(0.4 AS DOUBLE) * pw.n / t.n)
+    ELSE ln(CAST(pw.n AS DOUBLE) / t.n) END AS x
+  FROM g CROSS JOIN t JOIN one pw ON pw.w = g.w LEFT JOIN one pv ON pv.w = g.v LEFT JOIN two ON two.v = g.v AND two.w = g.w AND g.i > 1),
+m AS (SELECT doc_id, round(avg(x), 4) AS score FROM s GROUP BY doc_id)
+SELECT w.doc_id, CAST(len(w.w) AS BIGINT) AS n_words, m.score FROM w LEFT JOIN m ON m.doc_id = w.doc_id""",
+}
