@@ -15,21 +15,26 @@ doc_id only.
 from __future__ import annotations
 
 import base64
-import hashlib
 import re
+from array import array
 from collections.abc import Iterator
 from functools import cache
-from itertools import chain, pairwise
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
-#: Entries of a worker's tables of pieces and of pairs of tokens, and the longest piece that is kept in one.
-TABLE_ENTRIES, TABLE_PIECE = 250_000, 64
-#: A space between two characters that aren't white space: a match can start there but never spans it.
-_CUT = re.compile(r"(?<=\S) (?=\S)")
+#: Entries of a worker's tables (of texts between spaces in each of two generations; of pieces; of pairs of tokens), and the
+#: longest text that is kept in one.
+TABLE_ENTRIES, TABLE_TEXT = 300_000, 64
+#: Characters of text whose ids are sent on at once.
+CHUNK_CHARS = 1_000_000
+#: Just before a space between two characters that aren't white space: no match of the pattern spans this place.
+_CUT = re.compile(r"(?<=\S)(?= \S)")
+_PUNCTUATION = "!#$%&()*+,-./:;<=>?@[]^_`{|}~\"\\"
 
 
 class Vocabulary:
@@ -43,64 +48,106 @@ class Vocabulary:
         for token, rank in self.ranks.items():
             self.tokens[rank] = token
         self.longest = max(map(len, self.ranks))
+        #: The last three bytes of tokens, and the length of the longest one that ends so.
+        self.reach: dict[bytes, int] = {}
+        for token in sorted(self.ranks, key=len):
+            self.reach[token[-3:]] = len(token)
         self.pattern = regex.compile(pattern)
+        self._spines: dict[int, tuple[list, list]] = {}
         self._apart: dict[tuple[int, int], bool] = {}
-        self._pieces: dict[str, tuple[int, ...]] = {}
-        self._chunks: dict[str, tuple[int, ...]] = {}
+        self._pieces: dict[str, bytes] = {}
+        self._young: dict[str, bytes] = {}
+        self._old: dict[str, bytes] = {}
 
-    def merge(self, raw: bytes) -> list[int]:
-        """Encoding of a few bytes straight from the definition: merge the pair of least rank, leftmost first."""
+    def merge(self, raw: bytes, stop: int = 1) -> list[bytes]:
+        """Parts of some bytes straight from the definition: merge the pair of least rank, leftmost first, down to `stop` parts."""
         parts = [raw[i : i + 1] for i in range(len(raw))]
-        while len(parts) > 1:
+        while len(parts) > stop:
             rank, i = min((self.ranks.get(a + b, 1 << 60), i) for i, (a, b) in enumerate(pairwise(parts)))
             if rank == 1 << 60:
                 break
             parts[i : i + 2] = [parts[i] + parts[i + 1]]
-        return [self.ranks[p] for p in parts]
+        return parts
+
+    def _spine(self, token: int) -> tuple[list, list]:
+        """The parts that a token's bytes go through at its left and right edge while they are merged, from whole to single byte,
+        each with the rank at which it is merged into the next larger one; empty lists if the bytes never become the token."""
+        known = self._spines.get(token)
+        if known is None:
+            raw, sides = self.tokens[token], ([], [])
+            if self.merge(raw) == [raw]:
+                for side in (0, 1):
+                    part, used = raw, 1 << 60
+                    while True:
+                        sides[side].append((part, used))
+                        if len(part) == 1:
+                            break
+                        part, used = self.merge(part, 2)[-side], self.ranks[part]
+            known = self._spines[token] = sides
+        return known
 
     def stay_apart(self, a: int, b: int) -> bool:
-        """Whether the bytes of tokens a and b, put together, are encoded as a and b; a of -1 asks for b alone."""
+        """Whether the bytes of tokens a and b, put together, are encoded as a and b; a of -1 asks for b alone.
+
+        They are unless a part x at the right edge of a and a part y at the left edge of b make a token that is merged before x
+        and y are merged into larger parts of their own tokens (of equal ranks the left one goes first).
+        """
         known = self._apart.get((a, b))
         if known is None:
-            known = self.merge((self.tokens[a] if a >= 0 else b"") + self.tokens[b]) == ([a, b] if a >= 0 else [b])
+            left = self._spine(b)[0]
+            known = bool(left)
+            if a >= 0 and known:
+                right, get = self._spine(a)[1], self.ranks.get
+                for x, x_used in right:
+                    for y, y_used in left:
+                        rank = get(x + y)
+                        if rank is not None and rank < x_used and rank <= y_used:
+                            known = False
             if len(self._apart) >= TABLE_ENTRIES:
                 self._apart.clear()
             self._apart[a, b] = known
         return known
 
-    def piece(self, text: str) -> tuple[int, ...]:
+    def piece(self, text: str) -> bytes:
+        """Ids of one match of the pattern, as their bytes."""
         known = self._pieces.get(text)
         if known is None:
             raw = text.encode()
             whole = self.ranks.get(raw)
-            known = (whole,) if whole is not None else tuple(PrefixEncoder(self, raw).ids())
-            if len(text) <= TABLE_PIECE:
+            known = array("I", [whole] if whole is not None else PrefixEncoder(self, raw).ids()).tobytes()
+            if len(text) <= TABLE_TEXT:
                 if len(self._pieces) >= TABLE_ENTRIES:
                     self._pieces.clear()
                 self._pieces[text] = known
         return known
 
-    def _chunk(self, text: str) -> tuple[int, ...]:
-        known = self._chunks.get(text)
+    def _between(self, text: str) -> bytes:
+        """Ids of what stands between two cuts."""
+        known = self._old.get(text)
         if known is None:
-            known = tuple(chain.from_iterable(map(self.piece, self.pattern.findall(text))))
-            if len(text) <= TABLE_PIECE:
-                if len(self._chunks) >= TABLE_ENTRIES:
-                    self._chunks.clear()
-                self._chunks[text] = known
+            core = text.rstrip(_PUNCTUATION)
+            word = core[1:] if core[:1] == " " else core
+            if word.isalpha() and (word.isascii() or max(word) < "\u0250"):  # one piece, and one more for the marks behind it
+                known = self.piece(core) + (self.piece(text[len(core) :]) if len(core) < len(text) else b"")
+            else:
+                known = b"".join(map(self.piece, self.pattern.findall(text)))
+        if len(text) <= TABLE_TEXT:
+            if len(self._young) >= TABLE_ENTRIES:
+                self._old, self._young = self._young, {}
+            self._young[text] = known
         return known
 
-    def encode(self, text: str) -> list[int]:
-        """Ids of a whole text. Each stretch from one lone space to the next is matched by itself, which changes no match."""
-        first, *rest = _CUT.split(text)
-        ids = list(self._chunk(first))
-        get, make = self._chunks.get, self._chunk
-        for x in rest:
-            ids += get(" " + x) or make(" " + x)
-        return ids
+    def encode(self, text: str) -> bytes:
+        """Ids of a whole text, as little-endian unsigned 32-bit integers."""
+        parts = _CUT.split(text)
+        found = list(map(self._young.get, parts))
+        for i, x in enumerate(found):
+            if x is None:
+                found[i] = self._between(parts[i])
+        return b"".join(found)
 
-    def decode(self, ids) -> bytes:
-        return b"".join(map(self.tokens.__getitem__, ids))
+    def decode(self, ids: bytes) -> bytes:
+        return b"".join(map(self.tokens.__getitem__, array("I", ids)))
 
 
 class PrefixEncoder:
@@ -115,12 +162,15 @@ class PrefixEncoder:
         begin = len(self.raw)
         self.raw += more
         raw = bytes(self.raw)
+        rank, reach, apart, stay = v.ranks.get, v.reach.get, v._apart.get, v.stay_apart
         for end in range(begin + 1, len(raw) + 1):
-            for start in range(max(0, end - v.longest), end):
-                token = v.ranks.get(raw[start:end])
-                if token is not None and v.stay_apart(last[start], token):
-                    last.append(token)
-                    break
+            for start in range(max(0, end - reach(raw[max(0, end - 3) : end], 2)), end):
+                token = rank(raw[start:end])
+                if token is not None:
+                    known = apart((last[start], token))
+                    if known or known is None and stay(last[start], token):
+                        last.append(token)
+                        break
 
     def replace(self, start: int, end: int, new: bytes) -> None:
         """Puts new in place of bytes start to end and encodes again from there, until old and new prefixes agree."""
@@ -149,14 +199,26 @@ def vocabulary(path: str, pattern: str) -> Vocabulary:
     return Vocabulary(path, pattern)
 
 
+def _slices(column: pa.Array) -> Iterator[tuple[int, int]]:
+    """Ranges of rows with about CHUNK_CHARS bytes each."""
+    sizes = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False))
+    first = 0
+    while first < len(column):
+        base = sizes[first - 1] if first else 0
+        last = max(first + 1, int(np.searchsorted(sizes, base + CHUNK_CHARS, "right")))
+        yield first, last
+        first = last
+
+
 def encode_documents(documents: DataFrame, path: str, pattern: str) -> DataFrame:
     """doc_id, ids: the token ids as little-endian unsigned 32-bit integers, of each whole text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(path, pattern)
         for batch in batches:
-            ids = [np.array(v.encode(t.as_py() or ""), "<u4").tobytes() for t in batch["text"]]
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(ids, pa.binary())], ["doc_id", "ids"])
+            for a, b in _slices(batch["text"]):
+                ids = [v.encode(t or "") for t in batch["text"].slice(a, b - a).to_pylist()]
+                yield pa.RecordBatch.from_arrays([batch["doc_id"].slice(a, b - a), pa.array(ids, pa.binary())], ["doc_id", "ids"])
 
     return documents.select("doc_id", "text").mapInArrow(run, "doc_id long, ids binary")
 
@@ -167,11 +229,9 @@ def decode_documents(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(path, pattern)
         for batch in batches:
-            raw = [v.decode(np.frombuffer(x.as_py(), "<u4").tolist()) for x in batch["ids"]]
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["ids"], pa.array(raw, pa.binary())], ["doc_id", "ids", "raw"])
+            for a, b in _slices(batch["ids"]):
+                ids = batch["ids"].slice(a, b - a)
+                raw = [v.decode(x) for x in ids.to_pylist()]
+                yield pa.RecordBatch.from_arrays([batch["doc_id"].slice(a, b - a), ids, pa.array(raw, pa.binary())], ["doc_id", "ids", "raw"])
 
     return encoded.mapInArrow(run, "doc_id long, ids binary, raw binary")
-
-
-def sha256_hex(raw: bytes) -> str:
-    return hashlib.sha256(raw).hexdigest()

@@ -238,9 +238,11 @@ def near_groups(documents: DataFrame, k: int = 5, percent: int = 80) -> DataFram
 
     keyed = nodes.select("node", "sig").mapInArrow(_keyed, "key long, node long")
     hot = keyed.groupBy("key").agg(F.count("*").alias("met")).where("met > 1")
-    met = keyed.join(hot, "key").join(nodes.select("node", "sig"), "node")
+    # Merge joins at every size, so that one plan holds from the first gigabyte on.
+    met = keyed.join(hot.hint("merge"), "key").join(nodes.select("node", "sig").hint("merge"), "node")
     met = _in_blocks(met, F.ceil(F.col("met") / KEY_BLOCK)).select("key", "pair", "node", "sig")
-    met = met.repartition("key", "pair").sortWithinPartitions("key", "pair")
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))  # set, as what a byte of signatures or sets costs is far above the usual
+    met = met.repartition(tasks, "key", "pair").sortWithinPartitions("key", "pair")
     near = materialize(met.mapInArrow(_met, "a long, b long"), "near")
 
     family = connected_components(near)
@@ -248,9 +250,9 @@ def near_groups(documents: DataFrame, k: int = 5, percent: int = 80) -> DataFram
     sizes = family.groupBy("component").agg(F.count("*").alias("members"), F.sum("n").alias("all"))
     blocks = F.ceil(F.greatest(F.col("members") / FAMILY_BLOCK, F.col("all") / FAMILY_SHINGLES, F.lit(1.0)))
     placed = _in_blocks(family.join(sizes, "component"), blocks).select("node", F.col("component").alias("family"), "pair")
-    one_text = docs.join(family.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi")
-    member = placed.join(one_text.withColumnRenamed("doc_id", "node"), "node")
-    member = member.repartition("family", "pair").sortWithinPartitions("family", "pair")
+    one_text = docs.join(family.select(F.col("node").alias("doc_id")).distinct().hint("merge"), "doc_id", "left_semi")
+    member = placed.join(one_text.withColumnRenamed("doc_id", "node").hint("merge"), "node")
+    member = member.repartition(tasks, "family", "pair").sortWithinPartitions("family", "pair")
     linked = materialize(member.mapInArrow(_confirmed(k, percent), "a long, b long"), "links")
     component = connected_components(linked)
 

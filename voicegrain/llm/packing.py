@@ -22,36 +22,87 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 POOL = 1_024
-CACHE_ENTRIES, CACHE_WORD = 300_000, 64
+#: Words that a worker remembers in each of two generations, the longest word that it keeps, and the text handled at once.
+CACHE_ENTRIES, CACHE_WORD, CHUNK_CHARS = 400_000, 64, 400_000
+_PUNCTUATION = b"!#$%&()*+,-./:;<=>?@[]^_`{|}~\"\\"
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
 class WordTokenizer:
-    """Ids of whole texts from a tokenizer that never joins what ASCII white space separates, word by word."""
+    """Ids of whole texts from a tokenizer that never joins what ASCII white space separates, word by word.
+
+    Words are remembered as their ids' bytes. New words that are letters only (but for punctuation behind them) are encoded
+    together: each is one piece to the tokenizer, and ends with the one of its ids that is marked as a word's end.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.known: dict[bytes, list[int]] = {}
-
-    def ids(self, text: str, end: int) -> np.ndarray:
-        words = text.encode().split()
-        missing = [w for w in dict.fromkeys(words) if w not in self.known]
-        if len(self.known) + len(missing) > CACHE_ENTRIES:
-            self.known = {}
-            missing = list(dict.fromkeys(words))
-        own = {}
-        for w, e in zip(missing, self.tokenizer.encode_batch([w.decode() for w in missing], add_special_tokens=False), strict=True):
-            (self.known if len(w) <= CACHE_WORD else own)[w] = e.ids
-        out: list[int] = []
-        get = self.known.get
+        vocabulary = self.tokenizer.get_vocab()
+        self.kind = "<u2" if max(vocabulary.values()) < 1 << 16 else "<u4"
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        self.young: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
+
+    def _raw(self, words: list[str]) -> list[bytes]:
+        coded = self.tokenizer.encode_batch_fast(words, add_special_tokens=False)
+        return [np.array(e.ids, self.kind).tobytes() for e in coded]
+
+    def _letters(self, words: list[bytes]) -> list[bytes]:
+        """Ids of words of letters only."""
+        flat = np.array(self.tokenizer.encode_batch_fast([b" ".join(words).decode()], add_special_tokens=False)[0].ids, self.kind)
+        ends = np.flatnonzero(self.ends[flat]) + 1
+        if len(ends) != len(words):  # some letter is not one to the tokenizer
+            return self._raw([w.decode() for w in words])
+        raw, width = flat.tobytes(), flat.itemsize
+        cuts = [0, *(ends * width).tolist()]
+        return [raw[i:j] for i, j in zip(cuts, cuts[1:], strict=False)]
+
+    def _learn(self, words: list[bytes]) -> None:
+        """Puts the ids of words that are not in the young generation there."""
+        cores: dict[bytes, bytes] = {}
+        split, rest = [], []
         for w in words:
-            found = get(w)
-            out += own[w] if found is None else found
-        out.append(end)
-        return np.array(out, "<u4")
+            known = self.old.get(w)
+            if known is not None:
+                self.young[w] = known
+                continue
+            core = w.rstrip(_PUNCTUATION)
+            if core.isalpha() or core and core.decode().isalpha():
+                split.append((w, core, w[len(core) :]))
+                cores[core] = b""
+            else:
+                rest.append(w)
+        new = [c for c in cores if c not in self.young]
+        if new:
+            cores.update(zip(new, self._letters(new), strict=True))
+        tails = {t for _, _, t in split if t and t not in self.young} | set(rest)
+        listed = list(tails)
+        coded = dict(zip(listed, self._raw([t.decode() for t in listed]), strict=True)) if listed else {}
+        for w in rest:
+            self.young[w] = coded[w]
+        for w, core, tail in split:
+            ids = cores[core] or self.young[core]
+            self.young[w] = ids + (coded[tail] if tail in coded else self.young[tail]) if tail else ids
+
+    def ids(self, texts: list[str], end: int) -> list[np.ndarray]:
+        """Ids of each text, then `end`, as little-endian unsigned 32-bit integers."""
+        if len(self.young) > CACHE_ENTRIES:
+            self.young, self.old = {}, self.young
+        split = [t.encode().split() for t in texts]
+        seen: set[bytes] = set()
+        seen.update(*split)
+        young = self.young
+        self._learn([w for w in seen if w not in young])
+        last = np.array([end], self.kind).tobytes()
+        out = [np.frombuffer(b"".join(map(young.__getitem__, words)) + last, self.kind).astype("<u4") for words in split]
+        for w in seen:
+            if len(w) > CACHE_WORD:
+                del young[w]
+        return out
 
 
 @cache
@@ -84,40 +135,45 @@ class Packer:
     def _put(self, piece: tuple) -> Iterator[list]:
         self.pool.append(piece)
         if len(self.pool) >= POOL:
-            while len(self.pool) > POOL // 2:
-                yield self._fill()
+            yield from self._fill(POOL // 2)
 
     def flush(self) -> Iterator[list]:
+        yield from self._fill(0)
         while self.pool:
-            if sum(p[2] for p in self.pool) >= self.max_tokens:
-                yield self._fill()
-            else:
-                yield from self._powers()
-
-    def _fill(self) -> list:
-        """One sequence out of the pool."""
-        demand = np.array([(p[2], 1, p[3]) for p in self.pool], float) / self.limit
-        room, free, chosen = np.ones(3), np.ones(len(self.pool), bool), []
-        while True:
-            fits = free & (demand <= room + 1e-9).all(axis=1)
-            if not fits.any():
-                break
-            best = int(np.argmax(np.where(fits, demand @ room, -1.0)))
-            chosen.append(self.pool[best])
-            room -= demand[best]
-            free[best] = False
-        rest = [p for p, f in zip(self.pool, free.tolist(), strict=True) if f]
-        tokens, loss = round(room[0] * self.limit[0]), round(room[2] * self.limit[2])
-        if tokens and room[1] * self.limit[1] > 0.5:
-            for i, (doc, start, length, bears) in enumerate(rest):
-                n = min(tokens, length - bears + loss, length - 1)  # the first n ids fit
-                if n == tokens:
-                    part = max(0, n - (length - bears))
-                    chosen.append((doc, start, n, part))
-                    rest[i] = (doc, start + n, length - n, bears - part)
+            yield from self._powers()
+
+    def _fill(self, keep: int) -> Iterator[list]:
+        """Sequences out of the pool, while it has more than `keep` pieces and the tokens of one sequence."""
+        pool = self.pool
+        length, loss = (np.array([p[i] for p in pool], np.int64) for i in (2, 3))
+        free, count, tokens = np.ones(len(pool), bool), len(pool), int(length.sum())
+        full = self.limit.astype(int)
+        while count > keep and tokens >= self.max_tokens:
+            room, chosen = full.copy(), []
+            while room[1]:
+                fits = free & (length <= room[0]) & (loss <= room[2])
+                weight = room / self.limit**2  # dot product of room and demand, both in units of the limits
+                best = int(np.argmax(np.where(fits, length * weight[0] + weight[1] + loss * weight[2], -1.0)))
+                if not fits[best]:
                     break
-        self.pool = rest
-        return chosen
+                chosen.append(pool[best])
+                room -= (length[best], 1, loss[best])
+                free[best] = False
+                count -= 1
+            if room[0] and room[1]:  # some piece is cut, so that its first ids fill the room
+                head = length - loss
+                cuts = free & (length > room[0]) & (room[0] - head <= room[2])
+                i = int(np.argmax(cuts))
+                if cuts[i]:
+                    n = int(room[0])
+                    part = max(0, n - int(head[i]))
+                    doc, start = pool[i][0], pool[i][1]
+                    chosen.append((doc, start, n, part))
+                    length[i], loss[i] = length[i] - n, loss[i] - part
+                    pool[i] = (doc, start + n, int(length[i]), int(loss[i]))
+            tokens -= sum(p[2] for p in chosen)
+            yield chosen
+        self.pool = [p for p, f in zip(pool, free.tolist(), strict=True) if f]
 
     def _powers(self) -> Iterator[list]:
         """The rest, cut so that each sequence has a power of two of tokens."""
@@ -140,6 +196,19 @@ class Packer:
             yield now
 
 
+def _few(batch: pa.RecordBatch) -> Iterator[tuple[list, list[str]]]:
+    """The batch's ids and texts, about CHUNK_CHARS of text at a time."""
+    names, texts, held = [], [], 0
+    for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"], strict=True):
+        names.append(doc_id)
+        texts.append(text.as_py() or "")
+        held += len(texts[-1])
+        if held >= CHUNK_CHARS:
+            yield names, texts
+            names, texts, held = [], [], 0
+    yield names, texts
+
+
 def pack(documents: DataFrame, path: str, end: int = 1, max_tokens: int = 2_048, max_segments: int = 512, max_loss: int = 2_048) -> DataFrame:
     """One row for each piece (SCHEMA): which ids of which document, and where in which sequence.
 
@@ -170,9 +239,9 @@ def pack(documents: DataFrame, path: str, end: int = 1, max_tokens: int = 2_048,
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names)
 
         for batch in batches:
-            for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"], strict=True):
-                ids = t.ids(text.as_py() or "", end)
-                place(packer.add((doc_id, ids), 0, len(ids), len(ids)))
+            for names, texts in _few(batch):
+                for doc_id, ids in zip(names, t.ids(texts, end), strict=True):
+                    place(packer.add((doc_id, ids), 0, len(ids), len(ids)))
                 if len(rows) >= 20_000:
                     yield out()
         place(packer.flush())
