@@ -56,6 +56,30 @@ def grounded(units: DataFrame) -> DataFrame:
     return units.withColumn("ungrounded", missing).withColumn("is_grounded", F.size("ungrounded") == 0)
 
 
+#: Words by which evidence and texts find each other before they are compared whole.
+EVIDENCE_WORDS = 8
+
+
+def evidence_counts(units: DataFrame, evidence: DataFrame) -> DataFrame:
+    """units: doc_id, text; evidence: item_id, evidence. item_id, n_grounded: how many texts hold each passage verbatim.
+
+    A passage that begins and ends inside words of a text still holds its inner words whole; so they meet on a hash of the
+    second to the ninth word. A passage with fewer words meets on a scan of the texts with the few such passages.
+    """
+    inner = lambda t: F.slice(F.split(t, r"\s+"), 2, EVIDENCE_WORDS)
+    long = evidence.where(F.size(F.split("evidence", r"\s+")) >= EVIDENCE_WORDS + 2).withColumn("key", F.xxhash64(inner(F.col("evidence"))))
+    parts = units.withColumn("w", F.split(F.coalesce("text", F.lit("")), r"\s+"))
+    last = F.size("w") - EVIDENCE_WORDS
+    keys = F.when(last >= 0, F.array_distinct(F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda i: F.xxhash64(F.slice(F.col("w"), i + 1, EVIDENCE_WORDS)))))
+    met = parts.select("doc_id", F.explode(keys).alias("key")).join(long.select("item_id", "key"), "key").select("doc_id", "item_id").distinct()
+    held = met.join(units, "doc_id").join(long.select("item_id", "evidence"), "item_id").where(F.contains("text", F.col("evidence")))
+    short = evidence.where(F.size(F.split("evidence", r"\s+")) < EVIDENCE_WORDS + 2)
+    if not short.isEmpty():
+        held = held.select("item_id").unionByName(units.join(short, F.contains("text", F.col("evidence"))).select("item_id"))
+    n = held.groupBy("item_id").agg(F.count("*").alias("n_grounded"))
+    return evidence.select("item_id").join(n, "item_id", "left").withColumn("n_grounded", F.coalesce("n_grounded", F.lit(0)))
+
+
 def assemble(units: DataFrame, dedup: DataFrame, topics: DataFrame, extracted: DataFrame) -> DataFrame:
     """One wide row for each unit; a duplicate carries its canonical_id only."""
     return units.join(dedup, "unit_id", "left").join(topics, "unit_id", "left").join(extracted.drop("topic_id"), "unit_id", "left")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .similarity import edges, leaders
+from .similarity import centroids, dot, edges, leaders, norm
 
 MATCH, SUGGEST = 0.82, 0.70
 
@@ -46,3 +46,10 @@ def topic_table(assigned: DataFrame) -> DataFrame:
     return assigned.groupBy("topic_seq").agg(
         F.first("topic_label").alias("label"), F.count("*").alias("feedback_count"), F.array_distinct(F.transform(seen, lambda x: x["alias"])).alias("aliases")
     )
+
+
+def drift(nodes: DataFrame, units: DataFrame, below: float = 0.8) -> DataFrame:
+    """topic_id, sim, drifted: cosine of each node's embedding (nodes: topic_id, node) and the centroid of its units."""
+    both = nodes.join(centroids(units), "topic_id")
+    sim = F.round(F.try_divide(dot(F.col("node"), F.col("centroid")), norm(F.col("node")) * norm(F.col("centroid"))), 6)
+    return both.select("topic_id", sim.alias("sim")).withColumn("drifted", F.col("sim") < below)

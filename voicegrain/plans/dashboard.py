@@ -10,8 +10,8 @@ from ..sources.adapters import INTENT_TYPES
 
 
 def r6(c: Column) -> Column:
-    """Six digits: sums of doubles depend on their order behind that."""
-    return F.round(c, 6)
+    """Six digits, of twelve: sums of doubles depend on their order behind that, and a tie must not."""
+    return F.round(F.round(c, 12), 6)
 
 
 def key_figures(units: DataFrame) -> DataFrame:
@@ -33,7 +33,7 @@ def top_topics(units: DataFrame, labels: DataFrame, n: int = 5) -> DataFrame:
 
 def weekly_volume(units: DataFrame) -> DataFrame:
     """week and a count for each intent; weeks without units are there, with zeros."""
-    counted = units.groupBy(F.to_date(F.date_trunc("week", "unit_date")).alias("week")).pivot("intent_type", list(INTENT_TYPES)).agg(F.count("*"))
+    counted = units.groupBy(F.to_date(F.date_trunc("week", "unit_date")).alias("week")).pivot("intent_type", list(INTENT_TYPES)).agg(F.count(F.lit(1)))
     span = units.agg(F.to_date(F.date_trunc("week", F.min("unit_date"))).alias("a"), F.to_date(F.date_trunc("week", F.max("unit_date"))).alias("b"))
     weeks = span.where("a is not null").select(F.explode(F.sequence("a", "b", F.expr("interval 7 days"))).alias("week"))
     return weeks.join(counted, "week", "left").fillna(0, list(INTENT_TYPES))
@@ -91,10 +91,10 @@ def account_rollup(units: DataFrame, accounts: DataFrame) -> DataFrame:
 
 
 ACCOUNT_ORDERS = {
-    "most_units": [F.desc("unit_count")],
-    "worst_sentiment": [F.asc("net_sentiment")],
-    "most_recent": [F.desc("last_date")],
-    "alphabetical": [F.asc(F.lower("name")), F.asc("name")],
+    "most_units": ["unit_count DESC"],
+    "worst_sentiment": ["net_sentiment ASC"],
+    "most_recent": ["last_date DESC"],
+    "alphabetical": ["lower(name) ASC", "name ASC"],
 }
 
 
@@ -102,7 +102,8 @@ def account_list(rolled: DataFrame, needle: str = "", segment: str = "All", orde
     """Accounts whose name holds the needle in any case, of one segment or All, with their place in the order."""
     out = rolled.where(F.contains(F.lower("name"), F.lit(needle.lower()))) if needle else rolled
     out = out if segment == "All" else out.where(F.col("segment") == segment)
-    return out.orderBy(*ACCOUNT_ORDERS[order], "account_id")
+    columns = [(F.expr(c.rpartition(" ")[0]), c.endswith("DESC")) for c in ACCOUNT_ORDERS[order]]
+    return out.orderBy(*(c.desc() if down else c.asc() for c, down in columns), "account_id")
 
 
 def label_counts(units: DataFrame) -> DataFrame:

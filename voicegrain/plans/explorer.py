@@ -95,7 +95,7 @@ def summary(units: DataFrame) -> DataFrame:
     totals = units.agg(
         F.count("*").alias("n_units"),
         F.count_distinct("account_id").alias("n_accounts"),
-        F.round(F.coalesce(F.avg("polarity"), F.lit(0.0)), 6).alias("mean_polarity"),
+        F.round(F.round(F.coalesce(F.avg("polarity"), F.lit(0.0)), 12), 6).alias("mean_polarity"),
     )
     return totals.join(F.broadcast(top("intent_type")), F.lit(True)).join(F.broadcast(top("topic_id")), F.lit(True))  # one row each
 
