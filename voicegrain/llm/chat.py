@@ -1,7 +1,7 @@
 """Chat formatting: turns of a conversation become one training string with a loss mask.
 
 Template: each run of adjacent turns with one role is `<turn ROLE>` text (`<part>` text)* `</turn>` and a line feed. Texts and
-roles are escaped (`\\` to `\\e`, `<` to `\\l`), so that a `<` in the output is always markup and the output can be
+roles are escaped (`\\` to `\\e`, `<` to `\\l`; in roles also `>` to `\\g`), so that a `<` in the output is always markup and the output can be
 read back exactly, merged turns included. Only Spark expressions are used.
 
 Cases: a null text is an empty text, a null role an empty role; turns are ordered by (turn, role, text), nulls first, so ties
@@ -23,6 +23,15 @@ def escape(text: Column) -> Column:
     return F.replace(F.replace(text, F.lit("\\"), F.lit("\\e")), F.lit("<"), F.lit("\\l"))
 
 
+def escape_role(role: Column) -> Column:
+    """A role ends at the first `>`, so its own ones are escaped, too (to `\\g`)."""
+    return F.replace(escape(role), F.lit(">"), F.lit("\\g"))
+
+
+def unescape_role(role: Column) -> Column:
+    return unescape(F.replace(role, F.lit("\\g"), F.lit(">")))
+
+
 def unescape(text: Column) -> Column:
     return F.replace(F.replace(text, F.lit("\\l"), F.lit("<")), F.lit("\\e"), F.lit("\\"))
 
@@ -66,7 +75,7 @@ def format_chats(conversations: DataFrame, assistant: str = "assistant") -> Data
         F.transform(
             "runs",
             lambda r: F.concat(
-                F.array(segment(F.concat(F.lit(OPEN), escape(r["role"]), F.lit(">")), False)),
+                F.array(segment(F.concat(F.lit(OPEN), escape_role(r["role"]), F.lit(">")), False)),
                 F.flatten(
                     F.transform(
                         r["parts"],
@@ -113,7 +122,7 @@ def parse_chats(formatted: DataFrame) -> DataFrame:
                 lambda cut: F.transform(
                     F.split(F.substring(run, cut + 1, F.length(run)), PART),
                     lambda text: F.struct(
-                        unescape(F.substring(run, F.lit(len(OPEN) + 1), cut - len(OPEN) - 1)).alias("role"),
+                        unescape_role(F.substring(run, F.lit(len(OPEN) + 1), cut - len(OPEN) - 1)).alias("role"),
                         unescape(text).alias("text"),
                     ),
                 ),

@@ -83,13 +83,17 @@ def op7_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    "op6_warc": op6_warc,
-    "op10_lm_scoring": op10_lm_scoring,
+    "op1_quality_rules": op1_quality_rules,
+    "op2_near_dedup": op2_near_dedup,
+    "op3_chat_format": op3_chat_format,
     "op4_private_data": op4_private_data,
-    "op9_syncmers": op9_syncmers,
     "op5_byte_bpe": op5_byte_bpe,
+    "op6_warc": op6_warc,
+    "op7_quality_model": op7_quality_model,
     "op8_packing": op8_packing,
-"op2_near_dedup": op2_near_dedup, "op7_quality_model": op7_quality_model, "op1_quality_rules": op1_quality_rules, "op3_chat_format": op3_chat_format}
+    "op9_syncmers": op9_syncmers,
+    "op10_lm_scoring": op10_lm_scoring,
+}
 
 _WORDS = r"list_filter(regexp_split_to_array({text}, '[\x20\x09-\x0D]+'), lambda w: w <> '')"
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -116,7 +120,7 @@ o AS (SELECT *, lag(role) OVER (PARTITION BY conv_id ORDER BY turn, role, text)
 a AS (
   SELECT conv_id, count(*) AS n, string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text) AS t,
     coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '') AS l,
-    sum(length(replace(replace(text, '\', '\e'), '<', '\l')) + CASE WHEN prev = role THEN 6 ELSE length(replace(replace(role, '\', '\e'), '<', '\l')) + 15 END) AS f
+    sum(length(replace(replace(text, '\', '\e'), '<', '\l')) + CASE WHEN prev = role THEN 6 ELSE length(replace(replace(replace(role, '\', '\e'), '<', '\l'), '>', '\g')) + 15 END) AS f
   FROM o GROUP BY conv_id)
 SELECT conv_id, n AS n_turns, sha256(t) AS turns_sha256, length(l) AS loss_chars, sha256(l) AS loss_sha256, CAST(f AS BIGINT) AS formatted_chars FROM a""",
     "op6_warc": """
