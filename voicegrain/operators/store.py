@@ -14,6 +14,11 @@ from pyspark.sql import functions as F
 from ..schemas import FEEDBACK_UNITS, TOPICS, UNIT_SENTIMENTS
 
 TABLES = {"topics": TOPICS, "feedback_units": FEEDBACK_UNITS, "unit_sentiments": UNIT_SENTIMENTS}
+#: What later batches need of earlier ones, appended with each batch: table to schema and key.
+INDEXES = {
+    "dedup_index": ("unit_id string, seq long, embedding array<float>", "unit_id"),
+    "topic_index": ("topic_id string, seq long, label string, embedding array<float>", "topic_id"),
+}
 
 
 def topic_deltas(analysed: DataFrame) -> DataFrame:
@@ -66,16 +71,20 @@ class Store:
         last = m.orderBy(F.col("batch_id").desc()).head() if m is not None else None
         return (last["batch_id"], last["version"]) if last else None
 
+    def has(self, batch_id: int) -> bool:
+        m = self._manifest()
+        return m is not None and not m.where(F.col("batch_id") >= batch_id).isEmpty()
+
     def read(self, name: str) -> DataFrame:
+        schema = TABLES[name] if name in TABLES else INDEXES[name][0]
         now = self.version()
         if now is None:
-            return self.spark.createDataFrame([], TABLES[name])
-        return self.spark.read.schema(TABLES[name]).parquet(f"{self.path}/{name}/{now[1]}")
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).parquet(f"{self.path}/{name}/{now[1]}")
 
-    def apply(self, batch_id: int, topics: DataFrame, units: DataFrame, sentiments: DataFrame) -> bool:
+    def apply(self, batch_id: int, topics: DataFrame, units: DataFrame, sentiments: DataFrame, indexes: dict[str, DataFrame] | None = None) -> bool:
         """Writes a batch; False if it was applied before."""
-        m = self._manifest()
-        if m is not None and not m.where(F.col("batch_id") >= batch_id).isEmpty():
+        if self.has(batch_id):
             return False
         version = f"{batch_id}-{uuid.uuid4().hex}"
         new = {
@@ -83,6 +92,9 @@ class Store:
             "feedback_units": insert_ignore(self.read("feedback_units"), units, "unit_id"),
             "unit_sentiments": insert_ignore(self.read("unit_sentiments"), sentiments, "unit_id"),
         }
+        for name, (_, key) in INDEXES.items():
+            old = self.read(name)
+            new[name] = insert_ignore(old, indexes[name], key) if indexes and name in indexes else old
         for name, df in new.items():
             df.write.parquet(f"{self.path}/{name}/{version}")
         self.spark.createDataFrame([(batch_id, version)], "batch_id long, version string").coalesce(1).write.mode("append").parquet(f"{self.path}/manifest")
