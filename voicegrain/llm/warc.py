@@ -113,7 +113,7 @@ def _writer(folder: str):
         lines: list[str] = []
         directory: list[tuple[str, int, int]] = []
         at = cut = total = 0
-        first = last = None
+        first = last = mark = refers_to = None
         with open_shared(f"{name}.warc.gz", True) as archive, open_shared(f"{name}.cdx", True) as index:
 
             def close_block() -> int:
@@ -125,7 +125,11 @@ def _writer(folder: str):
 
             while start is not None:
                 for row in start.to_pylist():
-                    raw = record(row["page_id"], row["url"], (row["html"] or "").encode(), row["digest"], row["refers_to"])
+                    this = row["key"], row["page_id"], row["digest"]
+                    if not row["is_page"]:  # sorted before the pages that it marks as revisits
+                        mark, refers_to = this, row["refers_to"]
+                        continue
+                    raw = record(row["page_id"], row["url"], (row["html"] or "").encode(), row["digest"], refers_to if this == mark else None)
                     archive.write(raw)
                     lines.append(json.dumps([row["key"], at, len(raw)]))
                     at, total, last = at + len(raw), total + 1, row["key"]
@@ -147,22 +151,17 @@ def _writer(folder: str):
 def write_archives(pages: DataFrame, folder: str | None = None) -> DataFrame:
     """Writes pages (page_id, url, html); returns the table of files: FILES, a row for each task that wrote."""
     folder = folder or f"{shared_dir(pages.sparkSession)}/warc-{uuid.uuid4().hex}"
-    html = F.coalesce("html", F.lit(""))
+    size = F.octet_length(F.coalesce("html", F.lit("")))
     rows = pages.select(
-        F.col("page_id").cast("long").alias("page_id"), "url", "html", F.sha2(html, 256).alias("digest"), url_key(F.col("url")).alias("key")
-    )
-    same = (
-        rows.where(F.octet_length(html) >= REVISIT_BYTES)
-        .groupBy("digest")
-        .agg(F.min("page_id").alias("first"), F.count("*").alias("n"))
-        .where("n > 1")
-        .select("digest", "first")
-        .hint("merge")  # one plan at every size
-    )
-    rows = rows.join(same, "digest", "left").withColumn(
-        "refers_to", F.when(F.coalesce(F.col("page_id") != F.col("first"), F.lit(True)), F.col("first"))
-    )
-    placed = rows.repartitionByRange("key", "page_id").sortWithinPartitions("key", "page_id", "digest")
+        F.col("page_id").cast("long").alias("page_id"), "url", "html", F.sha2(F.coalesce("html", F.lit("")), 256).alias("digest"), url_key(F.col("url")).alias("key")
+    )
+    large = rows.where(size >= REVISIT_BYTES).select("key", "page_id", "digest")
+    same = large.groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first")
+    # Revisits are found without their payloads and meet their pages in the range that both are dealt to, so that html moves once.
+    revisits = large.join(same.hint("merge"), "digest").where(F.coalesce(F.col("page_id") != F.col("first"), F.col("first").isNotNull()))
+    marks = revisits.select("page_id", F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("html"), "digest", "key", F.col("first").alias("refers_to"), F.lit(False).alias("is_page"))
+    both = rows.withColumn("refers_to", F.lit(None).cast("long")).withColumn("is_page", F.lit(True)).unionByName(marks)
+    placed = both.repartitionByRange("key", "page_id").sortWithinPartitions("key", "page_id", "digest", "is_page")
     return materialize(placed.mapInArrow(_writer(folder), FILES), "warc-files")
 
 
