@@ -108,6 +108,39 @@ def test_contexts_discover_unseen_identifiers(spark):
     assert all(got[i] == "" for i in range(34, 64))
 
 
+def spans_of(spark, texts):
+    return {r.doc_id: r.spans for r in private_data.digest(private_data.find(documents(spark, texts))).collect()}
+
+
+def test_discovered_identifiers_are_seeds_of_further_patterns(spark):
+    names = [f"handle#{i}77" for i in range(9)]
+    texts = [f"customer wrote from mailbox address: user{i}@mail.example.com today and left" for i in range(60)]
+    texts += [f"customer wrote from mailbox address: {n} today and left" for n in names]
+    texts += [f"please answer the account {n} before monday" for n in names]
+    texts += ["please answer the account zeta#5512 before monday", "we met the big crowd zeta#9 on monday"]
+    got = spans_of(spark, texts)
+    start = texts[78].index("zeta")
+    assert got[78] == f"identifier:{start}:{start + len('zeta#5512')}"
+    assert got[79] == ""
+
+
+def test_identifiers_in_digit_groups(spark):
+    texts = [f"customer wrote from mailbox address: user{i}@mail.example.com today and left" for i in range(60)]
+    unseen = ["4111 1111 1111 1112", "(030) 123 45", "DE89 3704 0044 0532 0130 01", "77-12 88.3"]
+    texts += [f"customer wrote from mailbox address: {n}, today and left" for n in unseen]
+    apart = ["5512,", "5512  7", "5512 7x", "5512 and 7", "1.2.3.4 5512"]
+    texts += [f"customer wrote from mailbox address: {n} today and left" for n in apart]
+    texts += [f"customer wrote from mailbox address: 5512 {i} 1.2.3.4 7 today and left" for i in range(1)]
+    got = spans_of(spark, texts)
+    start = texts[0].index("user")
+    for i, n in enumerate(unseen):
+        assert got[60 + i] == f"identifier:{start}:{start + len(n)}"
+    for i in range(4):
+        assert got[64 + i] == f"identifier:{start}:{start + 4}"
+    assert got[68].split(",")[0] == f"ip:{start}:{start + 7}"
+    assert set(got[69].split(",")) == {f"ip:{start + 7}:{start + 14}", f"identifier:{start}:{start + 6}"}
+
+
 def test_redaction(spark):
     rows = [(1, "mail a@b.cd or 1.2.3.4 now", 7), (1, "mail a@b.cd or 1.2.3.4 now", 7), (None, "a@b.cd", 8), (3, None, None), (4, "clean", 1)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, base int")
