@@ -77,6 +77,21 @@ def test_rules_without_trusted_rows_and_empty_table(spark):
     assert quality_rules.quality_rules(spark.createDataFrame([], SCHEMA), labels).count() == 0
 
 
+def test_threshold_follows_the_trusted_scores(spark):
+    rng = random.Random(11)
+    clean, junk = [f"c{i}" for i in range(50)], [f"j{i}" for i in range(50)]
+    texts = [" ".join(rng.choices(clean, k=100)) for _ in range(80)]
+    texts += [" ".join(rng.choice(junk if rng.random() < 0.2 else clean) for _ in range(100)) for _ in range(20)]
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(80)] + [(80, 0, 0), (None, 1, 0)], "doc_id long, quality int, toxic int")
+    got = {r.doc_id: r for r in quality_rules.quality_rules(documents(spark, texts), labels).collect()}
+    good = sorted(round(got[i].llr, 4) for i in range(80))
+    low = good[0] + (good[1] - good[0]) * quality_rules.LOW * 79
+    threshold = low - quality_rules.MARGIN * ((good[39] + good[40]) / 2 - low)
+    assert all(r.kept == (r.llr >= threshold) for r in got.values())
+    assert all(got[i].kept for i in range(80))
+    assert any(got[i].llr >= -0.12 and not got[i].kept for i in range(80, 100)), [got[i].llr for i in range(100)]
+
+
 # Personal data
 
 FRAGMENTS = [
