@@ -200,6 +200,18 @@ def test_anchors_depend_on_their_window_alone(spark):
     assert 0.5 < len(got[0]) / 397 < 0.8
 
 
+def test_fingerprints_grow_with_the_text(spark):
+    rng = random.Random(4)
+    some = lambda n: [f"q{rng.randrange(10**6)}" for _ in range(n)]
+    passage = some(120)
+    texts = [" ".join(some(9000) + passage + some(3000)), " ".join(some(1000) + passage + some(11_000)), " ".join(some(50))]
+    got = {r.doc_id: r for r in syncmers.edited_pairs(spark.createDataFrame(list(enumerate(texts)), SCHEMA)).collect()}
+    a, b = set(got[1].fp), set(got[0].fp)
+    assert not set(sorted(a | b)[: syncmers.SKETCH]) & a & b
+    assert 0 < got[1].near_next == len(a & b) / len(a | b) < 0.02
+    assert 800 < len(a) < 1200 and len(got[2].fp) < syncmers.SKETCH
+
+
 def test_next_row_with_ties_nulls_and_small_tables(spark):
     assert syncmers.edited_pairs(spark.createDataFrame([], SCHEMA)).count() == 0
     one = syncmers.edited_pairs(spark.createDataFrame([(5, "abcd")], SCHEMA)).collect()

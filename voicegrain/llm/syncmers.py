@@ -2,8 +2,9 @@
 
 A window of 4 words is an anchor if the least hash of its three inner 2-word substrings is that of the first or the last one. The
 choice looks at the window alone, so an anchor survives any edit outside of it; about two thirds of the windows are anchors. A
-fingerprint is the SKETCH least anchor hashes of the whole text, and the likeness of two fingerprints is the usual bottom-k
-estimate of the Jaccard similarity of their anchors. Everything is native.
+fingerprint is the SKETCH least anchor hashes of the whole text, or, if there are more of them, all those under BOUND, so that it
+grows with the text. The likeness of two fingerprints is the share of common ones among the hashes that both cover, an estimate of
+the Jaccard similarity of their anchors. Positions are not used for it. Everything is native.
 
 Cases: a null text is an empty text, has an empty fingerprint, and is like another empty one (1.0) and unlike any other (0.0); a
 text of fewer than 4 words has one anchor, its word sequence; rows with equal ids follow each other by text; a null
@@ -20,6 +21,8 @@ from .shared import let, pairwise, words
 
 SKETCH = 64
 _MASK = (1 << 48) - 1
+#: An eighth of all hashes.
+BOUND = 1 << 45
 
 
 def anchors(text: Column) -> Column:
@@ -48,14 +51,19 @@ def anchors(text: Column) -> Column:
     return let(hashes, chosen)
 
 
+def _least(hashes: Column, size: int) -> Column:
+    """The least `size` of distinct hashes or all under BOUND, whichever are more, ascending."""
+    return let(F.array_sort(hashes), lambda s: F.slice(s, F.lit(1), F.greatest(F.lit(size), F.size(F.filter(s, lambda x: x < BOUND)))))
+
+
 def sketch(text: Column, size: int = SKETCH) -> Column:
-    """The least `size` distinct anchor hashes, ascending."""
-    return F.slice(F.array_sort(F.array_distinct(F.transform(anchors(text), lambda a: a["hash"]))), 1, size)
+    """The fingerprint: the least distinct anchor hashes."""
+    return _least(F.array_distinct(F.transform(anchors(text), lambda a: a["hash"])), size)
 
 
 def likeness(a: Column, b: Column, size: int = SKETCH) -> Column:
     """Estimated share of common anchors, 0 to 1; 1 for two empty sketches."""
-    least = F.slice(F.array_sort(F.array_union(a, b)), 1, size)
+    least = _least(F.array_union(a, b), size)
     both = let(least, lambda u: F.size(F.array_intersect(F.array_intersect(u, a), b)) / F.greatest(F.size(u), F.lit(1)))
     return F.when((F.size(a) == 0) & (F.size(b) == 0), F.lit(1.0)).otherwise(both)
 
