@@ -165,6 +165,30 @@ def test_stream_redelivery_and_batch_sizes(spark, tmp_path):
     assert topics_of(whole) == topics_of(parts)
 
 
+def test_stored_units_keep_their_metadata_and_answers(spark, tmp_path):
+    said = "The login is slow."
+    topic = "LABEL: slow login\nDESCRIPTION: d\nEVIDENCE: login, slow\nCONFIDENCE: 0.9"
+    both = {
+        "sentiment": {"polarity": -0.5, "emotions": [{"emotion": "anger", "confidence": 0.8}], "aspect_sentiments": [{"aspect": "login", "polarity": -0.5, "evidence": "slow"}]},
+        "intent": {"specific_request": "faster", "competitor_mention": "Acme", "churn_indicators": [{"signal": "leaving", "severity": 0.4}]},
+    }
+    answers = spark.createDataFrame([("topic", said, topic), ("combined", said, json.dumps(both))], "kind string, prompt string, raw string")
+    backend = Recorded(answers.select("kind", F.sha2("prompt", 256).alias("prompt_hash"), "raw"))
+    lines = [{"id": f"r{i}", "raw_text": said, "source_channel": "chat", "user_metadata": {"segment": "pro"}} for i in range(2)]
+    good, _ = adapters.parse_messages(spark.createDataFrame([(json.dumps(x),) for x in lines], "value string"))
+    store = Store(spark, str(tmp_path / "store"))
+    assert job.process(good, 0, store, backend, Settings())
+    units = {r.is_duplicate: r for r in store.read("feedback_units").collect()}
+    u, copy = units[False], units[True]
+    assert (u.raw_extracted_label, u.evidence_spans, u.specific_request, u.competitor_mention) == ("slow login", ["login", "slow"], "faster", "Acme")
+    assert [tuple(c) for c in u.churn_indicators] == [("leaving", 0.4)] and u.created_at is not None
+    assert (copy.raw_extracted_label, copy.evidence_spans, copy.churn_indicators) == (None, [], [])
+    assert all((r.metadata.source_channel, r.metadata.user_segment) == ("chat", "pro") for r in units.values())
+    (s,) = store.read("unit_sentiments").collect()
+    assert ([tuple(e) for e in s.emotions], [tuple(a) for a in s.aspect_sentiments]) == ([("anger", 0.8)], [("login", -0.5, "slow")])
+    assert s.created_at is not None
+
+
 def test_every_query_has_rows_or_a_stable_schema(spark):
     for name in ("top_topics_by_intent", "global_search", "stream_windows_session", "review_queue", "conversation_signals"):
         assert catalog.QUERIES[name](spark, SF).columns

@@ -25,7 +25,10 @@ ACCOUNT = "struct<account_name:string,confidence:double,evidence:string>"
 TOPICS = """topic_id string, label string, description string, aliases array<string>, feedback_count long,
 intent_type string, intent_urgency string, created_at timestamp, updated_at timestamp"""
 
-FEEDBACK_UNITS = """unit_id string, parent_cfo_id string, text string, char_start int, char_end int, unit_index int,
-is_duplicate boolean, canonical_id string, topic_id string, topic_label string, topic_confidence double, topic_is_new boolean"""
+FEEDBACK_UNITS = f"""unit_id string, parent_cfo_id string, text string, char_start int, char_end int, unit_index int,
+is_duplicate boolean, canonical_id string, topic_id string, topic_label string, topic_confidence double, topic_is_new boolean,
+metadata {UNIT_METADATA}, raw_extracted_label string, evidence_spans array<string>, specific_request string, competitor_mention string,
+churn_indicators array<struct<signal:string,severity:double>>, created_at timestamp"""
 
-UNIT_SENTIMENTS = "unit_id string, polarity double, intensity string, sarcasm_flag boolean, confidence double"
+UNIT_SENTIMENTS = """unit_id string, polarity double, intensity string, sarcasm_flag boolean, confidence double,
+emotions array<struct<emotion:string,confidence:double>>, aspect_sentiments array<struct<aspect:string,polarity:double,evidence:string>>, created_at timestamp"""

@@ -27,18 +27,19 @@ def rule_backend() -> Rules:
 
 
 def units_of(records: DataFrame, batch_id: int) -> DataFrame:
-    """unit_id, parent_cfo_id, text, char_start, char_end, unit_index, seq, embedding of a batch's records, each record id once."""
+    """unit_id, parent_cfo_id, text, char_start, char_end, unit_index, metadata, seq, embedding of a batch's records, each record id once."""
     given = records.dropDuplicates(["id"]).withColumn("raw_text", chosen_text()).drop("clean_text")
-    units = unitize.sentences(pii.redact(given))
+    units = unitize.with_metadata(unitize.sentences(pii.redact(given)), given)
     ordered = units.repartitionByRange("id", "unit_index").sortWithinPartitions("id", "unit_index")
     return cut(
         ordered.select(
-            unitize.unit_id(F.col("id"), F.col("unit_index")).alias("unit_id"),
+            "unit_id",
             F.col("id").alias("parent_cfo_id"),
             "text",
             "char_start",
             "char_end",
             F.col("unit_index").cast("int").alias("unit_index"),
+            "metadata",
             (F.lit(batch_id << BATCH_BITS) + F.monotonically_increasing_id()).alias("seq"),
             rules.embed(F.col("text")).alias("embedding"),
         )
@@ -61,7 +62,7 @@ def process(records: DataFrame, batch_id: int, store: Store, backend: Backend, s
 
     asked = backend.complete(canonical.select("unit_id", "seq", F.col("text").alias("prompt")), "topic")
     named = asked.select("unit_id", "seq", text.parse_topic(F.col("raw")).alias("t"))
-    named = cut(named.select("unit_id", "seq", "t.label", "t.description", "t.confidence", rules.embed(topics.match_text(F.col("t.label"), F.col("t.description"))).alias("embedding")))
+    named = cut(named.select("unit_id", "seq", "t.label", "t.description", "t.evidence", "t.confidence", rules.embed(topics.match_text(F.col("t.label"), F.col("t.description"))).alias("embedding")))
     stored = store.read("topic_index")
     old = stored.select("seq", "label", F.lit(0.0).alias("confidence"), "embedding")
     assigned = topics.assign_topics(
@@ -70,7 +71,7 @@ def process(records: DataFrame, batch_id: int, store: Store, backend: Backend, s
     ids = stored.select(F.col("seq").alias("topic_seq"), "topic_id").unionByName(
         named.select(F.col("seq").alias("topic_seq"), F.sha2(F.concat(F.lit("topic|"), "unit_id"), 256).alias("topic_id"))
     )
-    matched = cut(assigned.join(ids, "topic_seq").join(named.select("seq", "unit_id", "description", "embedding"), "seq"))
+    matched = cut(assigned.join(ids, "topic_seq").join(named.select("seq", "unit_id", F.col("label").alias("own_label"), "description", "evidence", "embedding"), "seq"))
 
     prompts = canonical.select("unit_id", F.col("text").alias("prompt")).join(matched.select("unit_id", "topic_id"), "unit_id")
     analysed = cut(extract.extract(prompts, store.read("topics"), backend))
@@ -84,12 +85,19 @@ def process(records: DataFrame, batch_id: int, store: Store, backend: Backend, s
         F.count("*").alias("delta"),
     )
     fresh = fresh.join(intents, "topic_id", "left").withColumn("at", now)
-    wide = told.join(matched.select("unit_id", "topic_id", "topic_label", "topic_confidence", "is_new_topic"), "unit_id", "left")
+    topic = matched.select("unit_id", "topic_id", "topic_label", "topic_confidence", "is_new_topic", "own_label", "evidence")
+    intent = analysed.select("unit_id", "intent.specific_request", "intent.competitor_mention", "intent.churn_indicators")
+    wide = told.join(topic, "unit_id", "left").join(intent, "unit_id", "left")
     rows = wide.select(
         "unit_id", "parent_cfo_id", "text", "char_start", "char_end", "unit_index", "is_duplicate", "canonical_id", "topic_id", "topic_label", "topic_confidence",
-        F.col("is_new_topic").alias("topic_is_new"),
+        F.col("is_new_topic").alias("topic_is_new"), "metadata", F.col("own_label").alias("raw_extracted_label"),
+        F.coalesce("evidence", F.array().cast("array<string>")).alias("evidence_spans"), "specific_request", "competitor_mention",
+        F.coalesce("churn_indicators", F.array().cast("array<struct<signal:string,severity:double>>")).alias("churn_indicators"), now.alias("created_at"),
+    )
+    sentiments = analysed.select(
+        "unit_id", "sentiment.polarity", "sentiment.intensity", "sentiment.sarcasm_flag", "sentiment.confidence", "sentiment.emotions",
+        F.col("sentiment.aspects").alias("aspect_sentiments"), now.alias("created_at"),
     )
-    sentiments = analysed.select("unit_id", "sentiment.polarity", "sentiment.intensity", "sentiment.sarcasm_flag", "sentiment.confidence")
     founded = matched.where("is_new_topic").select("topic_id", "seq", F.col("topic_label").alias("label"), "embedding")
     return store.apply(batch_id, fresh, rows, sentiments, {"dedup_index": canonical.select("unit_id", "seq", "embedding"), "topic_index": founded})
 
