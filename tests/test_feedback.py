@@ -13,7 +13,7 @@ from voicegrain.functions import text
 from voicegrain.operators import extract, pii, similarity, topics, unitize
 from voicegrain.operators.backend import Recorded
 from voicegrain.operators.store import Store, integrity
-from voicegrain.plans import catalog, explorer
+from voicegrain.plans import catalog, explorer, review
 from voicegrain.sources import adapters
 from voicegrain.streaming import job
 
@@ -189,6 +189,14 @@ def test_stored_units_keep_their_metadata_and_answers(spark, tmp_path):
     assert s.created_at is not None
 
 
+def test_review_queue_has_five_reasons(spark):
+    rows = [("a", 0.5, True, True, False, None), ("b", 0.9, False, False, True, None), ("c", 0.9, False, None, None, "no array"), ("d", 0.9, False, True, False, None)]
+    units = spark.createDataFrame(rows, "unit_id string, confidence double, is_new_topic boolean, is_grounded boolean, sarcasm_flag boolean, error string")
+    want = [("a", "low confidence"), ("a", "new theme"), ("b", "sarcasm"), ("b", "ungrounded evidence"), ("c", "ambiguous split")]
+    assert sorted((r.unit_id, r.reason) for r in review.queue(units).collect()) == want
+    assert sorted((r.unit_id, r.reason) for r in review.queue(units.drop("is_grounded", "sarcasm_flag", "error")).collect()) == want[:2]
+
+
 def test_every_query_has_rows_or_a_stable_schema(spark):
     for name in ("top_topics_by_intent", "global_search", "stream_windows_session", "review_queue", "conversation_signals"):
         assert catalog.QUERIES[name](spark, SF).columns

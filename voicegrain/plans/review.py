@@ -7,8 +7,17 @@ from pyspark.sql import functions as F
 
 
 def queue(units: DataFrame, below: float = 0.7) -> DataFrame:
-    """unit_id, reason, confidence: a row for each reason to look at a unit."""
+    """unit_id, reason, confidence: a row for each reason to look at a unit.
+
+    units: unit_id, confidence, is_new_topic, and where there are: is_grounded, sarcasm_flag, error (of the unitizer).
+    """
     reasons = {"low confidence": F.col("confidence") < below, "new theme": F.col("is_new_topic")}
+    more = {
+        "is_grounded": ("ungrounded evidence", ~F.col("is_grounded")),
+        "sarcasm_flag": ("sarcasm", F.col("sarcasm_flag")),
+        "error": ("ambiguous split", F.col("error").isNotNull()),
+    }
+    reasons |= dict(told for column, told in more.items() if column in units.columns)
     out = None
     for reason, condition in reasons.items():
         part = units.where(condition).select("unit_id", F.lit(reason).alias("reason"), "confidence")
