@@ -1,7 +1,8 @@
 """From raw documents to packed training sequences: five stages, each written as Parquet and read again as the next one's input.
 
 Every stage works on all rows that its predecessor kept. Rows with a null doc_id cannot be told apart by the stages that
-judge by doc_id; near_dedup lets them pass.
+judge by doc_id; near_dedup lets them pass. Of rows with one doc_id near_dedup keeps the first by text at most, even if their texts
+are unlike; a null text comes first.
 """
 
 from __future__ import annotations

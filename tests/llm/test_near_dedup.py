@@ -1,5 +1,6 @@
 import random
 
+import pytest
 from brute import near_groups as plain
 
 from voicegrain.llm.components import connected_components
@@ -61,3 +62,9 @@ def test_components(spark):
     edges = [(i, i + 1) for i in range(60)] + [(100, 101), (101, 102), (7, 7), (102, 100)]
     got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {**dict.fromkeys(range(61), 0), 100: 100, 101: 100, 102: 100}
+
+
+def test_components_that_do_not_converge_are_an_error(spark):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(40)], "a long, b long")
+    with pytest.raises(RuntimeError):
+        connected_components(edges, max_rounds=1)

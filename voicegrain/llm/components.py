@@ -13,6 +13,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
 
     Each round joins every edge with the least neighbour of one of its ends, so that paths shorten by half or more; edges
     are written to the shared folder after each round. Loops and null ends are ignored, repeated edges count once.
+    An error if the edges still change after max_rounds.
     """
     now = edges.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     now = materialize(now, "edges")
@@ -32,6 +33,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
         if tuple(seen) == mark:
             break
         mark = tuple(seen)
+    else:
+        raise RuntimeError(f"connected_components has not converged after {max_rounds} rounds")
     return now.groupBy("u").agg(F.min("v").alias("component")).withColumnRenamed("u", "node").unionByName(
         now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     )
