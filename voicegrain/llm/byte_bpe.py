@@ -20,7 +20,7 @@ import base64
 import re
 from array import array
 from collections.abc import Iterator
-from functools import cache
+from functools import cache, cached_property
 from itertools import pairwise
 
 import numpy as np
@@ -30,9 +30,9 @@ import regex
 from pyspark.sql import DataFrame
 
 #: Texts between spaces that a worker remembers in each of two generations, the longest one that it keeps, and pairs of tokens.
-TABLE_ENTRIES, TABLE_TEXT, PAIR_ENTRIES = 300_000, 64, 2_000_000
+TABLE_ENTRIES, TABLE_TEXT, PAIR_ENTRIES = 250_000, 64, 1_000_000
 #: Bytes of text that are handled at once; the longest piece that is encoded beside others, and how many bytes of such pieces.
-CHUNK_BYTES, LONGEST_BESIDE, BESIDE_BYTES = 4_000_000, 64, 1_000_000
+CHUNK_BYTES, LONGEST_BESIDE, BESIDE_BYTES = 1_500_000, 64, 300_000
 #: Fixed value: the pattern of which no match goes past a space that stands between two characters other than white space.
 SPACED_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Just before such a space.
@@ -45,7 +45,7 @@ class _Numbers:
 
     def __init__(self, keys: np.ndarray, values: np.ndarray):
         """keys: all different."""
-        self.size, self.bits = len(keys), (4 * len(keys) + 64).bit_length()
+        self.size, self.bits = len(keys), (2 * len(keys) + 64).bit_length()
         self.keys, self.values = np.full(1 << self.bits, -1, np.int64), np.zeros(1 << self.bits, np.int32)
         self._place(keys, values)
 
@@ -100,14 +100,14 @@ class Vocabulary:
         for token in sorted(self.ranks, key=len):
             self.reach[token[-3:]] = len(token)
         self.pattern, self.spaced = regex.compile(pattern), pattern == SPACED_PATTERN
-        self._nodes()
         self._spines: dict[int, tuple[list, list]] = {}
         self._apart: dict[tuple[int, int], bool] = {}
         self._pairs = _Numbers(np.zeros(0, np.int64), np.zeros(0, np.int32))
         self._young: dict[str, bytes] = {}
         self._old: dict[str, bytes] = {}
 
-    def _nodes(self) -> None:
+    @cached_property
+    def _nodes(self) -> tuple[_Numbers, np.ndarray]:
         """The tree of all tokens by their bytes: which node follows a node by a byte, and which token ends in it."""
         after: dict[int, int] = {}
         ends = {}
@@ -116,9 +116,9 @@ class Vocabulary:
             for byte in token:
                 node = after.setdefault(node << 8 | byte, len(after) + 1)
             ends[node] = rank
-        self.token_at = np.full(len(after) + 1, -1, np.int32)
-        self.token_at[list(ends)] = list(ends.values())
-        self.after = _Numbers(np.array(list(after), np.int64), np.array(list(after.values()), np.int32))
+        token_at = np.full(len(after) + 1, -1, np.int32)
+        token_at[list(ends)] = list(ends.values())
+        return _Numbers(np.array(list(after), np.int64), np.array(list(after.values()), np.int32)), token_at
 
     def merge(self, raw: bytes, stop: int = 1) -> list[bytes]:
         """Parts of some bytes straight from the definition: merge the pair of least rank, leftmost first, down to `stop` parts."""
@@ -188,16 +188,17 @@ class Vocabulary:
 
     def _candidates(self, data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Start, length and number of every token that lies in data without going past ends[start]."""
+        after, token_at = self._nodes
         start = np.arange(len(data), dtype=np.int32)
-        node = self.after.get(data.astype(np.int64))
+        node = after.get(data.astype(np.int64))
         out, length = [], 1
         while len(start):
-            token = self.token_at[node]
+            token = token_at[node]
             has = token >= 0
             out.append((start[has], np.full(int(has.sum()), length, np.int32), token[has]))
             more = (node >= 0) & (start + length < ends[start])
             start, node = start[more], node[more]
-            node = self.after.get(node.astype(np.int64) << 8 | data[start + length])
+            node = after.get(node.astype(np.int64) << 8 | data[start + length])
             start, node = start[node >= 0], node[node >= 0]
             length += 1
         return tuple(np.concatenate(x) for x in zip(*out, strict=True))
