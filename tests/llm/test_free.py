@@ -158,7 +158,6 @@ def test_scores_equal_dictionaries(spark, monkeypatch):
     rng = random.Random(6)
     texts = [" ".join(rng.choices(["the", "The", "cat", "sat", "é", "on", "mat", "x" * 40], k=rng.randint(0, 40))) for _ in range(80)] + [None, "", " \n", "the " * 30_000, "the cat", "the cat"]
     monkeypatch.setattr(lm_scoring, "BLOCK_CHARS", 2_000)
-    monkeypatch.setattr(lm_scoring, "PART_CHARS", 5_000)
     got = {r.doc_id: (r.n_words, r.score) for r in lm_scoring.score_documents(documents(spark, texts)).collect()}
     for i, (n, score) in enumerate(lm_scores(texts)):
         assert got[i][0] == n

@@ -1,16 +1,18 @@
 """Stupid-backoff scores of documents under n-gram counts of the whole corpus, computed as joins.
 
-Documents are dealt to blocks of about BLOCK_CHARS characters. Each block explodes its texts to n-grams (words and pairs of
-words, lower-cased A-Z, as 64-bit hashes), counts them, and sends each distinct one with its count to the part of the count
-table that its hash belongs to. So a frequent n-gram costs one entry for each block, not one for each occurrence.
-The parts add up the counts and join them back to the blocks that asked; there the scores are summed for each document.
-Entries travel packed, a row for each block and part.
-
-score = mean of log S over the words; S(w | v) = c(v w) / c(v) if c(v w) >= MIN_COUNT, else BACKOFF * c(w) / N; the first word has
-S = c(w) / N.
-
-Cases: a text without words (null, empty, blank) has 0 words and a null score; repeated rows each count and each get a row; a
-null doc_id is scored like any other; an empty table gives an empty result; other columns are ignored.
+1. Documents are dealt to blocks of about BLOCK_CHARS characters; each block's n-grams (up to `order` words, lower-cased A-Z, as 64-bit
+   hashes) are exploded to distinct rows (block, gram, n). So a frequent n-gram costs a row for each block, not for each occurrence.
+2. Rows are partitioned by the n-gram's hash, where the count table is made, and every row is joined with its n-gram's total. Rows of
+   one block and one of the 2^PART_BITS hash ranges share a shuffled record, so that it is little more than the hashes themselves; the
+   number of records a block makes does not depend on the corpus.
+3. Totals of 2 or more go back to the blocks as rows (block, gram, total) and are joined to the documents' n-grams; what is not
+   among them occurs once. The scores are summed for each document.
+
+score = mean of log S over the words. S(w | v1 .. vk) = c(v1 .. vk w) / c(v1 .. vk) if c(v1 .. vk w) >= MIN_COUNT, else BACKOFF * S(w | v2 .. vk);
+S(w) = c(w) / N. The context is as many of the order - 1 words before as the text has.
+
+Cases: a text without words (null, empty, blank) has 0 words and a null score; repeated rows each count and each get a row, but are
+scored once; a null doc_id is scored like any other; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -19,107 +21,130 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .hashing import chunks, mix, text_buffers, word_hashes
 from .shared import words
 
 MIN_COUNT, BACKOFF = 2, 0.4
-#: Characters of text in a block, and in the share of the corpus whose n-grams one part of the count table holds, about.
-BLOCK_CHARS, PART_CHARS = 8_000_000, 24_000_000
+#: Characters of text in a block, about; bits of a hash that name its range.
+BLOCK_CHARS, PART_BITS = 24_000_000, 16
+#: Repeated rows are given back in groups of so many.
+COPIES = 1_000
 
 
-def _words(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words of a block's texts, and where each text's words begin."""
+def _grams(column: pa.ChunkedArray, order: int) -> Iterator[tuple[int, int, np.ndarray, list[tuple[np.ndarray, np.ndarray]]]]:
+    """For rows [a, b) of some texts: where each text's words begin, and for 1 to order words the n-grams' hashes and the places of
+    their last words."""
     data, offsets = text_buffers(column)
-    hashes, first = [np.zeros(0, np.uint64)], [np.zeros(1, np.int64)]
     for a, b in chunks(offsets):
-        h, at = word_hashes(data, offsets[a : b + 1])
-        first.append(at[1:] + first[-1][-1])
-        hashes.append(h)
-    return np.concatenate(hashes), np.concatenate(first)
-
-
-def _pairs(h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of each word with the one before it, and where that word stands; a text's first word has none."""
-    inner = np.ones(len(h), bool)
-    inner[first[:-1][np.diff(first) > 0]] = False
-    at = np.flatnonzero(inner)
-    return mix(h[at - 1] * np.uint64(3) + mix(h[at])), at
-
-
-def _part_bounds(grams: np.ndarray, parts: int) -> np.ndarray:
-    """Where the parts begin in sorted hashes, and the end: part = floor(hash / 2^32 * parts / 2^32)."""
-    part = ((grams >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
-    return np.searchsorted(part, np.arange(parts + 1, dtype=np.uint64))
-
-
-def _counted(parts: int):
+        h, first = word_hashes(data, offsets[a : b + 1])
+        place = np.arange(len(h)) - np.repeat(first[:-1], np.diff(first))
+        grams, at = h, np.arange(len(h))
+        found = [(grams, at)]
+        for n in range(2, order + 1):
+            at = np.flatnonzero(place >= n - 1)
+            before = np.zeros(len(h), np.uint64)  # the n - 1 words that end just before a place
+            before[found[-1][1]] = found[-1][0]
+            found.append((mix(before[at - 1] * np.uint64(3) + mix(h[at])), at))
+        yield a, b, first, found
+
+
+def _counted(grams: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct n-grams, and the sums of their n."""
+    by = np.argsort(grams, kind="stable")
+    grams, n = grams[by], n[by]
+    begin = np.flatnonzero(np.append(True, grams[1:] != grams[:-1])) if len(grams) else np.zeros(0, np.int64)
+    return grams[begin], np.add.reduceat(n, begin) if len(grams) else n
+
+
+def _exploded(order: int):
     def run(table: pa.Table) -> pa.Table:
-        h, first = _words(table["text"])
-        grams, n = np.unique(np.concatenate((h, _pairs(h, first)[0])), return_counts=True)
-        at = _part_bounds(grams, parts)
-        full = np.flatnonzero(np.diff(at))
-        cut = lambda x, kind: pa.array([x[at[p] : at[p + 1]].astype(kind).tobytes() for p in full], pa.binary())
+        parts = [(np.zeros(0, np.uint64), np.zeros(0, np.int64))]
+        copies = table["copies"].to_numpy()
+        for a, b, first, found in _grams(table["text"], order):
+            of = np.repeat(copies[a:b], np.diff(first))
+            parts.append(_counted(np.concatenate([g for g, _ in found]), np.concatenate([of[at] for _, at in found])))
+        grams, n = _counted(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]))
+        part = (grams >> np.uint64(64 - PART_BITS)).astype(np.int32)
+        begin = np.flatnonzero(np.append(True, part[1:] != part[:-1])) if len(part) else np.zeros(0, np.int64)
+        at = pa.array(np.append(begin, len(part)), pa.int32())
         block = table["block"][0].as_py() if table.num_rows else 0
-        return pa.table({"block": pa.array([block] * len(full), pa.int64()), "part": pa.array(full, pa.int64()), "grams": cut(grams, "<u8"), "n": cut(n, "<u4")})
+        return pa.table(
+            {
+                "block": pa.array(np.full(len(begin), block, np.int64)),
+                "part": pa.array(part[begin]),
+                "grams": pa.ListArray.from_arrays(at, pa.array(grams.view(np.int64))),
+                "n": pa.ListArray.from_arrays(at, pa.array(n)),
+            }
+        )
 
     return run
 
 
-def _summed(table: pa.Table) -> pa.Table:
-    """One part of the count table: adds up what the blocks sent, and answers each in its own order."""
-    grams = [np.frombuffer(x, "<u8") for x in table["grams"].to_pylist()]
-    n = [np.frombuffer(x, "<u4") for x in table["n"].to_pylist()]
-    known, place = np.unique(np.concatenate(grams), return_inverse=True)
-    total = np.bincount(place, np.concatenate(n), len(known)).astype("<u8")
-    cuts = np.cumsum([len(g) for g in grams])[:-1]
-    answers = [total[p].tobytes() for p in np.split(place, cuts)]
-    return pa.table({"block": table["block"], "part": table["part"], "n": pa.array(answers, pa.binary())})
-
-
-def _scored(tokens: int):
-    def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
-        h, first = _words(docs["text"])
-        pair, at = _pairs(h, first)
-        known, place = np.unique(np.concatenate((h, pair)), return_inverse=True)
-        answers = answers.sort_by("part")
-        count = np.frombuffer(b"".join(answers["n"].to_pylist()), "<u8").astype(float)
-        if len(count) != len(known):
-            raise ValueError("a block's answers do not match its n-grams")
-        one, two = count[place[: len(h)]], count[place[len(h) :]]
-        logs = np.log(one / tokens) if len(h) else np.zeros(0)
-        seen = two >= MIN_COUNT
-        logs[at] = np.where(seen, np.log(np.where(seen, two, 1) / one[at - 1]), logs[at] + np.log(BACKOFF))
-        n = np.diff(first)
-        owner = np.repeat(np.arange(len(n)), n)
-        total = np.bincount(owner, logs, len(n))
-        score = pa.array(total / np.maximum(n, 1), mask=n == 0)
-        return pa.table({"doc_id": docs["doc_id"], "n_words": pa.array(n.astype(np.int64)), "score": score})
+def _scored(tokens: int, order: int):
+    def run(docs: pa.Table, totals: pa.Table) -> pa.Table:
+        totals = totals.sort_by("gram")
+        known, total = totals["gram"].to_numpy(), totals["total"].to_numpy()
+
+        def count(grams: np.ndarray) -> np.ndarray:
+            if not len(known):
+                return np.ones(len(grams))
+            keys = grams.view(np.int64)
+            at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
+            return np.where(known[at] == keys, total[at], 1).astype(float)
+
+        n_words, sums = [np.zeros(0, np.int64)], [np.zeros(0)]
+        for a, b, first, found in _grams(docs["text"], order):
+            shorter = count(found[0][0])
+            logs = np.log(shorter / tokens)
+            for grams, at in found[1:]:
+                now = np.ones(len(logs))
+                now[at] = count(grams)
+                seen = now[at] >= MIN_COUNT
+                logs[at] = np.where(seen, np.log(now[at] / shorter[at - 1]), logs[at] + np.log(BACKOFF))
+                shorter = now
+            n = np.diff(first)
+            n_words.append(n)
+            sums.append(np.bincount(np.repeat(np.arange(b - a), n), logs, b - a))
+        n, total_log = np.concatenate(n_words), np.concatenate(sums)
+        score = pa.array(total_log / np.maximum(n, 1), mask=n == 0)
+        return pa.table({"doc_id": docs["doc_id"], "n_words": pa.array(n), "score": score, "copies": docs["copies"]})
 
     return run
 
 
-def score_documents(documents: DataFrame) -> DataFrame:
-    """doc_id, n_words, score for each row, with counts of all rows."""
+def _dealt(documents: DataFrame, order: int) -> tuple[DataFrame, DataFrame, int]:
+    """Documents by block, repeated rows as one with their number; their n-grams (block, part, grams, n); and N."""
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     size = docs.agg(F.sum(F.length("text")).alias("chars"), F.sum(F.size(words(F.col("text"))).cast("long")).alias("tokens")).head()
-    chars, tokens = size["chars"] or 0, size["tokens"] or 0
-    blocks, parts = 1 + chars // BLOCK_CHARS, 1 + chars // PART_CHARS
-    dealt = docs.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)))
-    asked = dealt.groupBy("block").applyInArrow(_counted(parts), "block long, part long, grams binary, n binary")
-    answers = asked.groupBy("part").applyInArrow(_summed, "block long, part long, n binary")
-    return dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_scored(tokens), "doc_id long, n_words long, score double")
-
-
-def ngram_counts(documents: DataFrame) -> DataFrame:
-    """The count table itself: gram (hash), n; one row for each distinct word or pair of words."""
-
-    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            h, first = _words(batch["text"])
-            grams, n = np.unique(np.concatenate((h, _pairs(h, first)[0])), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(grams.view(np.int64)), pa.array(n)], ["gram", "n"])
-
-    return documents.select("text").mapInArrow(explode, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+    blocks = 1 + (size["chars"] or 0) // BLOCK_CHARS
+    placed = docs.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks))).repartition("block")
+    dealt = placed.groupBy("block", "doc_id", "text").agg(F.count("*").alias("copies"))
+    grams = dealt.groupBy("block").applyInArrow(_exploded(order), "block long, part int, grams array<long>, n array<long>")
+    return dealt, grams, size["tokens"] or 0
+
+
+def _rows(grams: DataFrame) -> DataFrame:
+    """block, part, gram, n: partitioned by part, which is a part of the gram's hash."""
+    placed = grams.repartition("part").select("block", "part", "n", F.posexplode("grams").alias("i", "gram"))
+    return placed.select("block", "part", "gram", F.get("n", F.col("i")).alias("n"))
+
+
+def score_documents(documents: DataFrame, order: int = 2) -> DataFrame:
+    """doc_id, n_words, score for each row, with counts of all rows; n-grams have `order` words at most."""
+    dealt, grams, tokens = _dealt(documents, order)
+    total = F.sum("n").over(Window.partitionBy("gram", "part"))
+    totals = _rows(grams).select("block", "gram", total.alias("total")).where("total > 1")
+    scored = dealt.groupBy("block").cogroup(totals.groupBy("block")).applyInArrow(
+        _scored(tokens, order), "doc_id long, n_words long, score double, copies long"
+    )
+    full, rest = F.floor(F.col("copies") / COPIES).cast("int"), (F.col("copies") % COPIES).cast("int")
+    sizes = scored.withColumn("some", F.explode(F.concat(F.array_repeat(F.lit(COPIES), full), F.array(rest))))
+    return sizes.select("doc_id", "n_words", "score", F.explode(F.array_repeat(F.lit(0), F.col("some"))).alias("copy")).drop("copy")
+
+
+def ngram_counts(documents: DataFrame, order: int = 2) -> DataFrame:
+    """The count table: gram (hash), n; one row for each distinct n-gram of up to `order` words."""
+    return _rows(_dealt(documents, order)[1]).groupBy("gram", "part").agg(F.sum("n").alias("n")).drop("part")
