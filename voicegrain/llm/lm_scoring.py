@@ -5,8 +5,8 @@
 2. Rows are partitioned by the n-gram's hash, where the count table is made, and every row is joined with its n-gram's total. Rows of
    one block and one of the 2^PART_BITS hash ranges share a shuffled record, so that it is little more than the hashes themselves; the
    number of records a block makes does not depend on the corpus.
-3. Totals of 2 or more go back to the blocks as rows (block, gram, total) and are joined to the documents' n-grams; what is not
-   among them occurs once. The scores are summed for each document.
+3. The totals go back to the blocks, those of one block and range as one record in the order of the n-grams, and are joined to the
+   documents' n-grams there. The scores are summed for each document.
 
 score = mean of log S over the words. S(w | v1 .. vk) = c(v1 .. vk w) / c(v1 .. vk) if c(v1 .. vk w) >= MIN_COUNT, else BACKOFF * S(w | v2 .. vk);
 S(w) = c(w) / N. The context is as many of the order - 1 words before as the text has.
@@ -59,14 +59,19 @@ def _counted(grams: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return grams[begin], np.add.reduceat(n, begin) if len(grams) else n
 
 
+def _distinct(table: pa.Table, order: int) -> tuple[np.ndarray, np.ndarray]:
+    """A block's n-grams, sorted, and how often it has them."""
+    copies = table["copies"].to_numpy()
+    parts = [(np.zeros(0, np.uint64), np.zeros(0, np.int64))]
+    for a, b, first, found in _grams(table["text"], order):
+        of = np.repeat(copies[a:b], np.diff(first))
+        parts.append(_counted(np.concatenate([g for g, _ in found]), np.concatenate([of[at] for _, at in found])))
+    return _counted(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]))
+
+
 def _exploded(order: int):
     def run(table: pa.Table) -> pa.Table:
-        parts = [(np.zeros(0, np.uint64), np.zeros(0, np.int64))]
-        copies = table["copies"].to_numpy()
-        for a, b, first, found in _grams(table["text"], order):
-            of = np.repeat(copies[a:b], np.diff(first))
-            parts.append(_counted(np.concatenate([g for g, _ in found]), np.concatenate([of[at] for _, at in found])))
-        grams, n = _counted(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]))
+        grams, n = _distinct(table, order)
         part = (grams >> np.uint64(64 - PART_BITS)).astype(np.int32)
         begin = np.flatnonzero(np.append(True, part[1:] != part[:-1])) if len(part) else np.zeros(0, np.int64)
         at = pa.array(np.append(begin, len(part)), pa.int32())
@@ -85,15 +90,13 @@ def _exploded(order: int):
 
 def _scored(tokens: int, order: int):
     def run(docs: pa.Table, totals: pa.Table) -> pa.Table:
-        totals = totals.sort_by("gram")
-        known, total = totals["gram"].to_numpy(), totals["total"].to_numpy()
+        known, _ = _distinct(docs, order)
+        total = totals.sort_by("part")["totals"].combine_chunks().flatten().to_numpy(zero_copy_only=False)
+        if len(total) != len(known):
+            raise ValueError("a block's totals do not match its n-grams")
 
         def count(grams: np.ndarray) -> np.ndarray:
-            if not len(known):
-                return np.ones(len(grams))
-            keys = grams.view(np.int64)
-            at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
-            return np.where(known[at] == keys, total[at], 1).astype(float)
+            return total[np.searchsorted(known, grams)].astype(float)
 
         n_words, sums = [np.zeros(0, np.int64)], [np.zeros(0)]
         for a, b, first, found in _grams(docs["text"], order):
@@ -127,16 +130,17 @@ def _dealt(documents: DataFrame, order: int) -> tuple[DataFrame, DataFrame, int]
 
 
 def _rows(grams: DataFrame) -> DataFrame:
-    """block, part, gram, n: partitioned by part, which is a part of the gram's hash."""
+    """block, part, i, gram, n: partitioned by part, which is a part of the gram's hash; i is the gram's place in its block and part."""
     placed = grams.repartition("part").select("block", "part", "n", F.posexplode("grams").alias("i", "gram"))
-    return placed.select("block", "part", "gram", F.get("n", F.col("i")).alias("n"))
+    return placed.select("block", "part", "i", "gram", F.get("n", F.col("i")).alias("n"))
 
 
 def score_documents(documents: DataFrame, order: int = 2) -> DataFrame:
     """doc_id, n_words, score for each row, with counts of all rows; n-grams have `order` words at most."""
     dealt, grams, tokens = _dealt(documents, order)
-    total = F.sum("n").over(Window.partitionBy("gram", "part"))
-    totals = _rows(grams).select("block", "gram", total.alias("total")).where("total > 1")
+    joined = _rows(grams).select("block", "part", "i", F.sum("n").over(Window.partitionBy("gram", "part")).alias("total"))
+    inside = F.array_sort(F.collect_list(F.struct("i", "total")))  # no more than one block's n-grams
+    totals = joined.groupBy("part", "block").agg(F.transform(inside, lambda x: x["total"]).alias("totals"))
     scored = dealt.groupBy("block").cogroup(totals.groupBy("block")).applyInArrow(
         _scored(tokens, order), "doc_id long, n_words long, score double, copies long"
     )
