@@ -85,19 +85,99 @@ def base_rules(text):
     return n, sum(map(len, w)), sum(c in "#*$%&|<>" for c in text), dup, len(covered), n < 20 or 100 * len(covered) > 30 * n
 
 
-def lm_scores(rows):
-    """[(n_words, score)] for texts, by dictionaries of words and pairs."""
+def lm_scores(rows, order=2):
+    """[(n_words, score)] for texts, by dictionaries of n-grams."""
     import math
     from collections import Counter
 
     texts = [WORD.findall(lower(t)) for t in rows]
-    one = Counter(w for t in texts for w in t)
-    two = Counter(p for t in texts for p in zip(t, t[1:], strict=False))
-    total = sum(one.values())
+    count = Counter(tuple(t[i : i + n]) for t in texts for n in range(1, order + 1) for i in range(len(t) - n + 1))
+    total = sum(map(len, texts))
 
-    def log_s(t, i):
-        if i and two[t[i - 1], t[i]] >= 2:
-            return math.log(two[t[i - 1], t[i]] / one[t[i - 1]])
-        return math.log((0.4 if i else 1) * one[t[i]] / total)
+    def log_s(gram):
+        if len(gram) == 1:
+            return math.log(count[gram] / total)
+        if count[gram] >= 2:
+            return math.log(count[gram] / count[gram[:-1]])
+        return math.log(0.4) + log_s(gram[1:])
 
-    return [(len(t), sum(log_s(t, i) for i in range(len(t))) / len(t) if t else None) for t in texts]
+    return [(len(t), sum(log_s(tuple(t[max(0, i - order + 1) : i + 1])) for i in range(len(t))) / len(t) if t else None) for t in texts]
+
+
+KINDS = ("email", "ip", "card", "phone")
+
+
+def occurrences(text):
+    """[(start, end, instance, seed kind or None, patterns)] as the docstring of private_data has them."""
+    import regex
+
+    text = text or ""
+    spans = base_spans(text)
+    all_words = [(m.start(), m.end(), m[0]) for m in WORD.finditer(text)]
+    marked = [i for i, w in enumerate(all_words) if regex.search(r"[0-9@_\p{Lu}]", w[2])]
+
+    def patterns(i, j):
+        near = lambda k, edge: all_words[k][2].lower() if 0 <= k < len(all_words) else edge
+        return [f"l {near(i - 2, '^')} {near(i - 1, '^')}", f"b {near(i - 1, '^')} _ {near(j + 1, '$')}"]
+
+    out = []
+    for kind, a, b in spans:
+        inside = [i for i in marked if all_words[i][1] > a and all_words[i][0] < b]
+        out.append((a, b, text[a:b].lower(), KINDS.index(kind), patterns(inside[0], inside[-1])))
+    trimmed = []
+    for i in marked:
+        start, end, w = all_words[i]
+        core = regex.sub(r"[^\p{L}0-9]+$", "", (bare := regex.sub(r"^[^\p{L}0-9+@]+", "", w)))
+        a = start + len(w) - len(bare)
+        free = not any(s < a + len(core) and a < e for _, s, e in spans)
+        leads = free and regex.search(r"^[^\p{L}0-9+@]*(?:[A-Z]{2}(?=[0-9]{2}$)|\+?)\(?[0-9][0-9().-]*(?<=[0-9)])$", w)
+        follows = free and i and text[all_words[i - 1][1] : start] == " " and regex.search(r"^\(?[0-9][0-9().-]*[^\p{L}0-9@]*$", w)
+        trimmed.append((i, a, a + len(core), free, start if w[0] == "(" else a, leads, follows))
+    k = 0
+    while k < len(trimmed):
+        last = k
+        while last + 1 < len(trimmed) and trimmed[last + 1][6] and trimmed[last][5] and trimmed[last + 1][0] == trimmed[last][0] + 1:
+            last += 1
+        i, a, _, free, opened, _, _ = trimmed[k]
+        a, b = a if last == k else opened, trimmed[last][2]
+        if free and a < b:
+            out.append((a, b, text[a:b].lower(), None, patterns(i, trimmed[last][0])))
+        k = last + 1
+    return out
+
+
+def discovered(texts, min_seeds=3, min_worth=0.7):
+    """For each text the sorted [(kind, start, end)] that trusted patterns add."""
+    from collections import Counter
+
+    each = [occurrences(t) for t in texts]
+    edges = Counter((p, o[2]) for os in each for o in os for p in o[4])
+    known = {}
+    for os in each:
+        for o in os:
+            if o[3] is not None:
+                known[o[2]] = (min(o[3], known.get(o[2], (9,))[0]), 1.0)
+    while True:
+        totals, sums, seeds = Counter(), Counter(), Counter()
+        for (p, x), n in edges.items():
+            totals[p] += n
+            if x in known:
+                sums[p, known[x][0]] += n * known[x][1]
+                seeds[p, known[x][0]] += 1
+        trusted = {}
+        for (p, kind), s in sums.items():
+            worth = s / (totals[p] + 1)
+            if seeds[p, kind] >= min_seeds and worth >= min_worth:
+                trusted[p] = max(trusted.get(p, (0, -9)), (worth, -kind))
+        new = {}
+        for p, x in edges:
+            if p in trusted and x not in known:
+                new[x] = max(new.get(x, (0, -9)), trusted[p])
+        if not new:
+            break
+        known.update({x: (-k, w) for x, (w, k) in new.items()})
+    out = []
+    for os in each:
+        found = [(max((trusted[p] for p in o[4] if p in trusted), default=None), o) for o in os if o[3] is None]
+        out.append(sorted((-best[1], o[0], o[1]) for best, o in found if best))
+    return out

@@ -51,6 +51,20 @@ def test_bpe_equals_the_library_and_round_trips(spark, reference_bpe):
     assert byte_bpe.encode_documents(spark.createDataFrame([], SCHEMA), BPE, public_tokenizers.PATTERN).count() == 0
 
 
+def test_bpe_equals_the_library_for_another_pattern(spark):
+    other = r"[^\r\n\p{L}\p{N}]?\p{Lu}*\p{Ll}+|\p{N}{1,3}| ?[^\s\p{L}\p{N}]+[\r\n]*|\s*[\r\n]+|\s+(?!\S)|\s+|\p{L}"
+    library = tiktoken.Encoding("other", pat_str=other, mergeable_ranks=load_tiktoken_bpe(BPE), special_tokens={})
+    texts = [*odd_texts(11, 100), "helloWorld camelCaseName", "a bC dE"]
+    for r in byte_bpe.encode_documents(documents(spark, texts), BPE, other).collect():
+        assert np.frombuffer(r.ids, "<u4").tolist() == library.encode_ordinary(texts[r.doc_id] or ""), texts[r.doc_id]
+
+
+def test_bpe_of_repeated_rows(spark):
+    rows = [(1, "same text here")] * 5 + [(None, None)] * 2
+    got = byte_bpe.encode_documents(spark.createDataFrame(rows, SCHEMA), BPE, public_tokenizers.PATTERN).collect()
+    assert len(got) == 7 and len({(r.doc_id, bytes(r.ids)) for r in got}) == 2
+
+
 def test_prefix_encoder_appends_and_edits(reference_bpe):
     rng = random.Random(2)
     v = byte_bpe.vocabulary(BPE, public_tokenizers.PATTERN)
@@ -73,9 +87,8 @@ def test_prefix_encoder_appends_and_edits(reference_bpe):
 
 def test_packing_places_each_id_once(spark):
     tokenizer = Tokenizer.from_file(WORDS)
-    tokenizer.encode_special_tokens = True
     rng = random.Random(3)
-    texts = odd_texts(2, 60) + [" ".join(f"word{rng.randrange(500)}" for _ in range(rng.randint(1, 900))) for _ in range(60)]
+    texts = odd_texts(2, 60) + ["<|endoftext|> x", "a<|endoftext|>.<|startoftext|>b", "<|ENDOFTEXT|> <|endoftext|", "x " * 500_000] + [" ".join(f"word{rng.randrange(500)}" for _ in range(rng.randint(1, 900))) for _ in range(60)]
     rows = packing.pack(documents(spark, texts), WORDS).collect()
     pieces, held = defaultdict(list), defaultdict(list)
     for r in rows:
@@ -96,7 +109,8 @@ def test_packing_places_each_id_once(spark):
         for p in sorted(parts, key=lambda p: p.offset):
             assert p.offset == at
             at += p.length
-        assert at <= 2048 and len(parts) <= 512
+        assert at <= 2048 and len(parts) <= 128
+        assert sum(max(0, p.start + p.length - max(p.start, p.doc_tokens // 2)) for p in parts) <= 1536  # the later half bears loss
         padding += 0 if at & (at - 1) == 0 else 2048 - at
     assert padding <= 0.02 * sum(r.length for r in rows)
     assert packing.pack(spark.createDataFrame([], SCHEMA), WORDS).count() == 0
@@ -118,6 +132,16 @@ def test_packer_holds_all_three_limits():
         assert sum(p[1] for p in parts) == n and sum(p[2] for p in parts) == loss
 
 
+def test_waiting_pieces_hold_their_own_ids_alone():
+    packer = packing.Packer(2048, 128, 1536, packing.Ids.part)
+    for i in range(200):
+        ids = np.arange(1_000_000, dtype="<u4")
+        for sequence in packer.add(packing.Ids(i, len(ids), 0, ids), 0, len(ids), len(ids) // 2):
+            assert all((doc.ids[start - doc.first] == start) for doc, start, _, _ in sequence)
+        assert sum(p[0].ids.nbytes for p in packer.pool) <= packing.POOL * 2048 * 4
+        assert all(p[0].ids.base is None for p in packer.pool)
+
+
 # Archives
 
 
@@ -154,14 +178,23 @@ def test_index_finds_keys_over_several_blocks(spark):
 # Language-model scores
 
 
-def test_scores_equal_dictionaries(spark, monkeypatch):
+@pytest.mark.parametrize("order", [1, 2, 3, 4])
+def test_scores_equal_dictionaries(spark, monkeypatch, order):
     rng = random.Random(6)
     texts = [" ".join(rng.choices(["the", "The", "cat", "sat", "é", "on", "mat", "x" * 40], k=rng.randint(0, 40))) for _ in range(80)] + [None, "", " \n", "the " * 30_000, "the cat", "the cat"]
     monkeypatch.setattr(lm_scoring, "BLOCK_CHARS", 2_000)
-    got = {r.doc_id: (r.n_words, r.score) for r in lm_scoring.score_documents(documents(spark, texts)).collect()}
-    for i, (n, score) in enumerate(lm_scores(texts)):
+    got = {r.doc_id: (r.n_words, r.score) for r in lm_scoring.score_documents(documents(spark, texts), order).collect()}
+    for i, (n, score) in enumerate(lm_scores(texts, order)):
         assert got[i][0] == n
         assert (got[i][1] is None) if score is None else abs(got[i][1] - score) < 1e-9
+
+
+def test_scores_of_repeated_rows_and_small_tables(spark):
+    rows = [(7, "a b c"), (None, "b c d")] * 1_500 + [(8, "a b"), (8, None)]
+    got = lm_scoring.score_documents(spark.createDataFrame(rows, SCHEMA)).collect()
+    want = lm_scores([t for _, t in rows])
+    told = sorted(((r.doc_id, r.n_words, None if r.score is None else round(r.score, 9)) for r in got), key=str)
+    assert told == sorted(((d, n, None if s is None else round(s, 9)) for (d, _), (n, s) in zip(rows, want, strict=True)), key=str)
     assert lm_scoring.score_documents(spark.createDataFrame([], SCHEMA)).count() == 0
     assert sorted(r.n for r in lm_scoring.ngram_counts(spark.createDataFrame([(1, "a b a b"), (2, None)], SCHEMA)).collect()) == [1, 2, 2, 2]
 

@@ -1,21 +1,24 @@
 """Vector bin packing of tokenized examples, by the dot-product heuristic.
 
-An example is cut into full sequences and a remainder; remainders are placed under three limits at once: tokens, segments and
-loss-bearing tokens. A bin is filled one piece at a time by the piece that fits and has the greatest dot product of its demand
-with the bin's remaining room, each in units of the limit. What room the heuristic leaves is filled by cutting a
-piece, as pieces may be cut anywhere. What is left at the end of a partition is cut into sequences of a power of two, which
-need no padding. Each partition of the input is packed where it is read, so nothing is shuffled; at most
-POOL pieces wait at a time, so memory is bounded.
+An example's ids are a prompt and an answer; only the answer bears loss. It is cut into pieces that fit a sequence, and they are placed
+under three limits at once: tokens, segments and loss-bearing tokens. A bin is filled one piece at a time by the piece that fits and has
+the greatest dot product of its demand with the bin's remaining room, each in units of the limit. What room the heuristic leaves is filled
+by cutting a piece, as pieces may be cut anywhere. What is left at the end of a partition is cut into sequences of a power of two, which
+need no padding. Each partition of the input is packed where it is read, so nothing is shuffled; at most POOL pieces wait at a
+time, each with its own ids alone, so memory is bounded by them and the longest document.
 
 Cases: a null text is an empty text, whose only id is the end mark; repeated rows are packed again; an empty table gives an empty
-result; other columns are ignored. Sequence ids are unique over the whole result: the partition's number, then a count.
+result; other columns are ignored. Sequence ids are unique over the whole result: the partition's number, then a count. The strings of the
+tokenizer's special tokens in a text become those tokens, as in the library, unless special_as_text.
 """
 
 from __future__ import annotations
 
+import math
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import cache
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -35,11 +38,11 @@ class WordTokenizer:
     together: each is one piece to the tokenizer, and ends with the one of its ids that is marked as a word's end.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, special_as_text: bool = False):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.tokenizer.encode_special_tokens = special_as_text
         vocabulary = self.tokenizer.get_vocab()
         self.kind = "<u2" if max(vocabulary.values()) < 1 << 16 else "<u4"
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
@@ -93,29 +96,51 @@ class WordTokenizer:
         if len(self.young) > CACHE_ENTRIES:
             self.young, self.old = {}, self.young
         split = [t.encode().split() for t in texts]
-        seen: set[bytes] = set()
-        seen.update(*split)
         young = self.young
-        self._learn([w for w in seen if w not in young])
+        found = [list(map(young.get, words)) for words in split]
+        gaps = [[i for i, x in enumerate(ids) if x is None] if None in ids else () for ids in found]
+        new = {words[i] for words, gap in zip(split, gaps, strict=True) for i in gap}
+        self._learn(list(new))
         last = np.array([end], self.kind).tobytes()
-        out = [np.frombuffer(b"".join(map(young.__getitem__, words)) + last, self.kind).astype("<u4") for words in split]
-        for w in seen:
+        out = []
+        for words, ids, gap in zip(split, found, gaps, strict=True):
+            for i in gap:
+                ids[i] = young[words[i]]
+            ids.append(last)
+            out.append(np.frombuffer(b"".join(ids), self.kind).astype("<u4"))
+        for w in new:
             if len(w) > CACHE_WORD:
                 del young[w]
         return out
 
 
 @cache
-def tokenizer(path: str) -> WordTokenizer:
-    return WordTokenizer(path)
+def tokenizer(path: str, special_as_text: bool = False) -> WordTokenizer:
+    return WordTokenizer(path, special_as_text)
+
+
+class Ids(NamedTuple):
+    """The ids from place `first` on, or some of them, of a document that has `total` in all."""
+
+    doc_id: int | None
+    total: int
+    first: int
+    ids: np.ndarray
+
+    def part(self, start: int, length: int) -> Ids:
+        at = start - self.first
+        return Ids(self.doc_id, self.total, start, self.ids[at : at + length].copy())
 
 
 class Packer:
-    """Takes pieces and gives full sequences; demand of a piece: (tokens, 1 segment, loss-bearing tokens)."""
+    """Takes pieces and gives full sequences; demand of a piece: (tokens, 1 segment, loss-bearing tokens).
+
+    hold(doc, start, length): what is kept of a document while one of its pieces waits.
+    """
 
-    def __init__(self, max_tokens: int, max_segments: int, max_loss: int):
+    def __init__(self, max_tokens: int, max_segments: int, max_loss: int, hold: Callable = lambda doc, start, length: doc):
         self.limit = np.array([max_tokens, max_segments, max_loss], float)
-        self.max_tokens = max_tokens
+        self.max_tokens, self.hold = max_tokens, hold
         self.pool: list[tuple] = []
         self.sequences = 0
 
@@ -133,7 +158,8 @@ class Packer:
             yield from self._put((doc, start, length, loss))
 
     def _put(self, piece: tuple) -> Iterator[list]:
-        self.pool.append(piece)
+        doc, start, length, loss = piece
+        self.pool.append((self.hold(doc, start, length), start, length, loss))
         if len(self.pool) >= POOL:
             yield from self._fill(POOL // 2)
 
@@ -209,26 +235,36 @@ def _few(batch: pa.RecordBatch) -> Iterator[tuple[list, list[str]]]:
     yield names, texts
 
 
-def pack(documents: DataFrame, path: str, end: int = 1, max_tokens: int = 2_048, max_segments: int = 512, max_loss: int = 2_048) -> DataFrame:
+def pack(
+    documents: DataFrame,
+    path: str,
+    end: int = 1,
+    max_tokens: int = 2_048,
+    max_segments: int = 128,
+    max_loss: int = 1_536,
+    answer: float = 0.5,
+    special_as_text: bool = False,
+) -> DataFrame:
     """One row for each piece (SCHEMA): which ids of which document, and where in which sequence.
 
-    The ids of a document are those of the tokenizer file at `path`, then `end`; all of them bear loss.
+    The ids of a document are those of the tokenizer file at `path`, then `end`. The last ones, a share of `answer`, bear loss.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         first_id = TaskContext.get().partitionId() << 40
-        packer = Packer(max_tokens, max_segments, max_loss)
-        t = tokenizer(path)
+        packer = Packer(max_tokens, max_segments, max_loss, Ids.part)
+        t = tokenizer(path, special_as_text)
         rows: list[tuple] = []
 
         def place(sequences: Iterator[list]) -> None:
             for sequence in sequences:
                 offset = 0
-                for (doc_id, ids), start, length, _ in sequence:
-                    crc = zlib.crc32(ids[start : start + length].tobytes())
-                    rows.append((doc_id, start, length, crc, len(ids), first_id + packer.sequences, offset))
+                for doc, start, length, _ in sequence:
+                    at = start - doc.first
+                    crc = zlib.crc32(doc.ids[at : at + length].tobytes())
+                    rows.append((doc.doc_id, start, length, crc, doc.total, first_id + packer.sequences, offset))
                     offset += length
                 packer.sequences += 1
 
@@ -241,9 +277,9 @@ def pack(documents: DataFrame, path: str, end: int = 1, max_tokens: int = 2_048,
         for batch in batches:
             for names, texts in _few(batch):
                 for doc_id, ids in zip(names, t.ids(texts, end), strict=True):
-                    place(packer.add((doc_id, ids), 0, len(ids), len(ids)))
-                if len(rows) >= 20_000:
-                    yield out()
+                    place(packer.add(Ids(doc_id, len(ids), 0, ids), 0, len(ids), math.ceil(answer * len(ids))))
+                    if len(rows) >= 20_000:
+                        yield out()
         place(packer.flush())
         yield out()
 
