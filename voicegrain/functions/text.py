@@ -123,6 +123,7 @@ CONSUMER_DOMAINS = (
     "gmail.com", "yahoo.com", "outlook.com", "hotmail.com", "icloud.com", "live.com", "me.com", "aol.com", "protonmail.com",
     "pm.me", "googlemail.com", "msn.com", "ymail.com",
 )
+# Fixed value: the pattern of an e-mail address whose domain names an account.
 DOMAIN_PATTERN = r"\b[A-Za-z0-9._%+\-]+@([A-Za-z0-9.\-]+\.[A-Za-z]{2,})\b"
 
 
@@ -130,3 +131,94 @@ def email_domain(text: Column) -> Column:
     """The first e-mail domain that isn't a consumer provider's, lower-cased; null without one."""
     found = F.transform(F.regexp_extract_all(text, F.lit(DOMAIN_PATTERN), F.lit(1)), lambda d: F.lower(d))
     return F.try_element_at(F.filter(found, lambda d: ~d.isin(*CONSUMER_DOMAINS)), F.lit(1))
+
+
+def bind(value: Column, body) -> Column:
+    """body(x) with x bound to value, so that value is computed once however often body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def running(values: Column, combine) -> Column:
+    """The running results of an associative operation over an array<int>, such as its running sums. They are made in blocks of about the
+    root of its size, so that no list grows over all of it."""
+    none = F.array().cast("array<int>")
+    last = lambda a: F.element_at(a, -1)
+
+    def blocked(a: Column, width: Column) -> Column:
+        blocks = F.transform(F.sequence(F.lit(0), F.ceil(F.size(a) / width).cast("int") - 1), lambda i: F.slice(a, i * width + 1, width))
+        own = F.transform(
+            blocks,
+            lambda b: F.aggregate(b, none, lambda acc, x: F.concat(acc, F.array(F.when(F.size(acc) == 0, x).otherwise(combine(last(acc), x))))),
+        )
+        add = lambda acc, b: bind(last(acc), lambda at: F.concat(acc, F.transform(b, lambda x: combine(at, x))))
+        return F.aggregate(own, none, lambda acc, b: F.when(F.size(acc) == 0, b).otherwise(add(acc, b)))
+
+    def run(a: Column) -> Column:
+        return F.when(F.size(a) == 0, none).otherwise(bind(F.ceil(F.sqrt(F.size(a))).cast("int"), lambda width: blocked(a, width)))
+
+    return bind(values, run)
+
+
+def overlaps(spans: Column) -> Column:
+    """array<struct<first:int,last:int,end:int>>: the groups of sorted spans (start, end) that overlap, by index, and where each ends. Spans
+    that only touch stay apart."""
+
+    def run(s: Column, ends: Column) -> Column:
+        heads = F.filter(
+            F.transform(s, lambda x, i: F.when((i == 0) | (x["start"] >= F.coalesce(F.get(ends, i - 1), F.lit(0))), i)), lambda i: i.isNotNull()
+        )
+        group = lambda first, last: F.struct(first.alias("first"), last.alias("last"), F.get(ends, last).alias("end"))
+        return bind(heads, lambda h: F.transform(h, lambda i, k: bind(F.coalesce(F.get(h, k + 1), F.size(s)) - 1, lambda last: group(i, last))))
+
+    return bind(spans, lambda s: bind(running(F.transform(s, lambda x: x["end"]), lambda a, b: F.greatest(a, b)), lambda ends: run(s, ends)))
+
+
+def matches(text: Column, pattern: str, group: int = 0) -> Column:
+    """array<struct<start:int,end:int,value:string,before:string>> of a pattern's matches, `before` being what lies between the last match
+    and this one. With a group, start and value are the group's, which must end the match."""
+
+    def placed(whole: Column, before: Column, ends: Column) -> Column:
+        values = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else whole
+        return F.transform(
+            values,
+            lambda v, i: F.struct((F.get(ends, i) - F.length(v)).alias("start"), F.get(ends, i).alias("end"), v.alias("value"), F.get(before, i).alias("before")),
+        )
+
+    def run(whole: Column) -> Column:
+        between = F.split(text, pattern, -1)
+        some = bind(
+            between, lambda b: bind(running(F.transform(whole, lambda v, i: F.length(v) + F.length(F.get(b, i))), lambda x, y: x + y), lambda ends: placed(whole, b, ends))
+        )
+        none = F.array().cast("array<struct<start:int,end:int,value:string,before:string>>")
+        return F.when(F.size(whole) == 0, none).otherwise(some)
+
+    return bind(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), run)
+
+
+def replace_spans(text: Column, spans: Column) -> Column:
+    """text with each span (start, end, label) replaced by its label; spans are sorted and do not overlap.
+
+    The text is cut by groups of spans first, as finding a place in a text means walking to it.
+    """
+
+    def grouped(s: Column, width: Column) -> Column:
+        groups = F.transform(F.sequence(F.lit(0), F.ceil(F.size(s) / width).cast("int") - 1), lambda i: F.slice(s, i * width + 1, width))
+
+        def one(g: Column, begin: Column) -> Column:
+            end = F.element_at(g, -1)["end"]
+            kept = lambda part: F.transform(
+                g,
+                lambda x, i: bind(
+                    F.when(i == 0, begin).otherwise(F.get(g, F.greatest(i - 1, F.lit(0)))["end"]),
+                    lambda at: F.concat(F.substring(part, at - begin + 1, x["start"] - at), x["label"]),
+                ),
+            )
+            return bind(F.substring(text, begin + 1, end - begin), lambda part: F.array_join(kept(part), ""))
+
+        ends = lambda gs: F.transform(gs, lambda g, i: one(g, F.when(i == 0, F.lit(0)).otherwise(F.element_at(F.get(gs, F.greatest(i - 1, F.lit(0))), -1)["end"])))
+        return F.concat(F.array_join(bind(groups, ends), ""), F.substring(text, F.element_at(s, -1)["end"] + 1, F.length(text)))
+
+    def run(s: Column) -> Column:
+        return F.when(F.size(s) == 0, text).otherwise(bind(F.ceil(F.sqrt(F.size(s))).cast("int"), lambda width: grouped(s, width)))
+
+    return bind(spans, run)

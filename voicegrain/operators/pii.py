@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import bind, matches, overlaps, replace_spans
+
 # The patterns of the seven kinds.
 PATTERNS: tuple[tuple[str, str], ...] = (
     ("EMAIL", r"(?i)\b[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}\b"),
@@ -24,46 +26,18 @@ PATTERNS: tuple[tuple[str, str], ...] = (
     ("ACCOUNT_NUM", r"(?i)(?:account|order|ticket|ref|reference|id|#|no\.?)\s*[:\-]?\s*([A-Za-z0-9\-]{6,20})"),
 )
 STRICT_ACCOUNT = r"(?i)(?:\b(?:account|order|ticket|ref|reference|id|no\.?)|#)\s*[:\-]?\s*(?:(?:is|number|id)\s+)?([A-Za-z0-9\-]*[0-9][A-Za-z0-9\-]{4,})"
-#: Kind of named entity to kind of personal data, for an entity backend.
+# Kind of named entity to kind of personal data, for an entity backend.
 ENTITY_KINDS = {"PERSON": "PERSON_NAME", "ORG": "ORG_NAME", "GPE": "ADDRESS", "LOC": "ADDRESS", "FAC": "ADDRESS"}
 
 SPAN = "struct<start:int,entity:int,rank:int,end:int,kind:string>"
 
 
-def _bind(value: Column, body) -> Column:
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def _found(text: Column, rank: int, kind: str, pattern: str) -> Column:
     """Spans of one pattern. Where the pattern has a group it ends the match, and the span is the group's."""
-    group = 1 if kind == "ACCOUNT_NUM" else 0
-    none = F.array().cast(f"array<{SPAN}>")
-
-    def place(whole: Column) -> Column:
-        gaps = F.split(text, pattern, -1)
-        values = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else whole
-        rows = F.arrays_zip(whole.alias("w"), F.slice(gaps, F.lit(1), F.size(whole)).alias("g"), values.alias("v"))
-        walked = F.aggregate(
-            rows,
-            F.struct(F.lit(0).alias("at"), none.alias("spans")),
-            lambda acc, x: _bind(
-                acc["at"] + F.length(x["g"]) + F.length(x["w"]),
-                lambda end: F.struct(
-                    end.alias("at"),
-                    F.concat(
-                        acc["spans"],
-                        F.array(
-                            F.struct(
-                                (end - F.length(x["v"])).alias("start"), F.lit(0).alias("entity"), F.lit(rank).alias("rank"), end.alias("end"), F.lit(kind).alias("kind")
-                            )
-                        ),
-                    ).alias("spans"),
-                ),
-            ),
-        )
-        return F.when(F.size(whole) == 0, none).otherwise(walked["spans"])
-
-    return _bind(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), place)
+    span = lambda m: F.struct(
+        m["start"].alias("start"), F.lit(0).alias("entity"), F.lit(rank).alias("rank"), m["end"].alias("end"), F.lit(kind).alias("kind")
+    )
+    return F.transform(matches(text, pattern, 1 if kind == "ACCOUNT_NUM" else 0), span)
 
 
 def regex_spans(text: Column, mode: str = "reference") -> Column:
@@ -74,31 +48,26 @@ def regex_spans(text: Column, mode: str = "reference") -> Column:
 
 def merge_spans(spans: Column, mode: str = "reference") -> Column:
     """Sorts by (start, pattern before entity, order) and joins what overlaps; spans that only touch stay apart."""
-    ordered = F.array_sort(spans)
 
-    def step(acc: Column, s: Column) -> Column:
-        prev = F.try_element_at(acc, F.lit(-1))
-        named = F.when((s["end"] - s["start"]) > (prev["end"] - prev["start"]), s["kind"]).otherwise(prev["kind"]) if mode == "strict" else prev["kind"]
-        joined = F.struct(
-            prev["start"].alias("start"), prev["entity"].alias("entity"), prev["rank"].alias("rank"), F.greatest(prev["end"], s["end"]).alias("end"), named.alias("kind")
+    def named(s: Column, g: Column) -> Column:
+        if mode != "strict":
+            return F.get(s, g["first"])["kind"]
+        inside = F.slice(s, g["first"] + 1, g["last"] - g["first"] + 1)
+        return F.array_max(F.transform(inside, lambda x, i: F.struct((x["end"] - x["start"]).alias("n"), (-i).alias("i"), x["kind"].alias("kind"))))["kind"]
+
+    def joined(s: Column, g: Column) -> Column:
+        first = F.get(s, g["first"])
+        return F.struct(
+            first["start"].alias("start"), first["entity"].alias("entity"), first["rank"].alias("rank"), g["end"].alias("end"), named(s, g).alias("kind")
         )
-        overlap = (F.size(acc) > 0) & F.coalesce(s["start"] < prev["end"], F.lit(False))
-        return F.when(overlap, F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(joined))).otherwise(F.concat(acc, F.array(s)))
 
-    return F.aggregate(ordered, F.array().cast(f"array<{SPAN}>"), step)
+    return bind(F.array_sort(spans), lambda s: F.transform(overlaps(s), lambda g: joined(s, g)))
 
 
 def apply_spans(text: Column, spans: Column) -> Column:
     """text with each span replaced by [KIND]."""
-    return F.aggregate(
-        spans,
-        F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
-        lambda acc, s: F.struct(
-            s["end"].alias("at"),
-            F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit("["), s["kind"], F.lit("]")).alias("out"),
-        ),
-        lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))),
-    )
+    label = lambda s: F.concat(F.lit("["), s["kind"], F.lit("]"))
+    return replace_spans(text, F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), label(s).alias("label"))))
 
 
 def redact(records: DataFrame, mode: str = "reference", entities: str | None = None) -> DataFrame:
