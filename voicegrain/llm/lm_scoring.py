@@ -29,7 +29,7 @@ from .shared import words
 
 MIN_COUNT, BACKOFF = 2, 0.4
 #: Characters of text in a block, about; bits of a hash that name its range.
-BLOCK_CHARS, PART_BITS = 24_000_000, 16
+BLOCK_CHARS, PART_BITS = 12_000_000, 16
 #: Repeated rows are given back in groups of so many.
 COPIES = 1_000
 
