@@ -181,3 +181,45 @@ def discovered(texts, min_seeds=3, min_worth=0.7):
         found = [(max((trusted[p] for p in o[4] if p in trusted), default=None), o) for o in os if o[3] is None]
         out.append(sorted((-best[1], o[0], o[1]) for best, o in found if best))
     return out
+
+
+def fingerprint(text, size, bound):
+    """[(hash, position)] of closed syncmers: windows of 4 words whose least 2-word hash (signed) is the first's or the last's."""
+    import struct
+
+    import xxhash
+
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    chain = lambda *hs: _chain(struct, xxhash, hs)
+    h = [signed(xxhash.xxh64_intdigest(w.encode(), 42)) for w in WORD.findall(text or "")]
+    s = [chain(a, b) for a, b in zip(h, h[1:], strict=False)]
+    mask = (1 << 48) - 1
+    if len(s) < 3:
+        found = [(chain(*h) & mask, 0)] if h else []
+    else:
+        found = [(chain(s[i], s[i + 2]) & mask, i) for i in range(len(s) - 2) if s[i + 1] >= min(s[i], s[i + 2])]
+    least = {}
+    for x, i in found:
+        least.setdefault(x, i)
+    out = sorted(least.items())
+    return out[: max(size, sum(x < bound for x, _ in out))]
+
+
+def _chain(struct, xxhash, hs):
+    seed = 42
+    for x in hs:
+        seed = xxhash.xxh64_intdigest(struct.pack("<q", x), seed)
+    return seed - (1 << 64) if seed >> 63 else seed
+
+
+def positional_likeness(a, b, size, bound):
+    """Share of anchors that two or more others share the difference of places with, among those that both fingerprints cover."""
+    from collections import Counter
+
+    if not a or not b:
+        return float(not a and not b)
+    union = sorted({x for x, _ in a} | {x for x, _ in b})
+    covered = union[: max(size, sum(x < bound for x in union))]
+    at, other = dict(a), dict(b)
+    shifts = Counter(other[x] - at[x] for x in covered if x in at and x in other)
+    return sum(n for n in shifts.values() if n >= min(2, len(covered))) / len(covered)
