@@ -8,14 +8,19 @@
    every pair under that distance meets under one of 40 keys. (Pairs at 16 to 20 differing symbols that meet are kept, too. A
    pair of similarity 0.8 is missed with a chance of about 3 in 100,000.)
 4. Nodes that meet and differ in at most 20 symbols form families: inside a key's group a breadth-first walk compares
-   signatures and emits a tree, never all pairs. A family that is large is cut into blocks, and pairs of blocks are spread over
-   tasks, so a hot key or family is neither gathered in one task nor dropped.
-5. Inside a family all pairs are decided on full sets (a product of incidence matrices, block by block); again a
-   tree for each pair of blocks is emitted. Components of these confirmed links are the groups.
+   signatures and emits a tree, never all pairs. A key's group that is large is cut into blocks, and pairs of blocks are spread over
+   tasks, so a hot key is neither gathered in one task nor dropped.
+5. Families are confirmed on full sets. First all members are compared with the family's centre, the member whose keys most others
+   have, in blocks that each get a copy of it. Those that it does not link are then compared with all members, by pairs of blocks, so that
+   a text is copied once for each block of them, and not for each block of the family. Components of the confirmed links are the groups.
+
+Joins on keys that many rows share (a set with many copies, a node with many links) are sort-merge joins, whose skewed sides Spark splits
+(spark.sql.adaptive.skewJoin.enabled); what is grouped by such a key is aggregated before it is shuffled.
 
 Cases: null, empty and blank texts have no shingles and are linked with nothing; a text of fewer than k words is one shingle;
-repeated rows share a class; rows of a null doc_id are linked through their text, and have a null component if nothing else is
-linked to them; an empty table gives an empty result; columns other than doc_id and text are ignored.
+repeated rows share a class; rows of one doc_id count as linked, even if their texts are unlike; rows of a null doc_id are linked
+through their text, and have a null component if nothing else is linked to them; an empty table gives an empty result; columns other than
+doc_id and text are ignored.
 """
 
 from __future__ import annotations
@@ -35,7 +40,7 @@ CHUNKS, WIDTH = 8, 5
 SYMBOLS = CHUNKS * WIDTH
 #: Signatures that differ in more symbols are not compared on full sets.
 MAX_DIFFERENCE = 20
-#: Nodes of one key, and shingles of one family, that a task holds at once; more are cut into blocks of this size.
+#: Nodes of one key, and nodes and shingles of one family, that a block holds.
 KEY_BLOCK, FAMILY_BLOCK, FAMILY_SHINGLES = 2_048, 128, 1_000_000
 _SEEDS = np.random.default_rng(77).integers(1, 2**63, (2, SYMBOLS), dtype=np.uint64) | np.uint64(1)
 _SALTS = mix(np.arange(1, SYMBOLS + 1, dtype=np.uint64)).reshape(CHUNKS, WIDTH)
@@ -153,9 +158,10 @@ def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(edges[0]), pa.array(edges[1])], ["a", "b"])
 
 
-def _links(values: list[np.ndarray], percent: int) -> np.ndarray:
-    """Matrix of which sets are alike: 100 * intersection >= percent * union."""
-    n = len(values)
+def _links(some: list[np.ndarray], others: list[np.ndarray], percent: int) -> np.ndarray:
+    """Matrix of which of some sets are like which others: 100 * intersection >= percent * union."""
+    values = some + others
+    n, k = len(values), len(some)
     sizes = np.array([len(v) for v in values], np.float64)
     owner = np.repeat(np.arange(n), [len(v) for v in values])
     flat = np.concatenate(values)
@@ -166,14 +172,14 @@ def _links(values: list[np.ndarray], percent: int) -> np.ndarray:
     shared = np.bincount(column) > 1
     keep = shared[column]
     column, owner = (np.cumsum(shared) - 1)[column[keep]], owner[keep]
-    common = np.zeros((n, n))
+    common = np.zeros((k, n - k))
     step = max(1, 4_000_000 // n)
     for lo in range(0, int(shared.sum()), step):
         a, b = np.searchsorted(column, (lo, lo + step))
         m = np.zeros((n, step), np.float32)
         m[owner[a:b], column[a:b] - lo] = 1
-        common += m @ m.T
-    return 100 * common >= percent * (sizes[:, None] + sizes[None, :] - common)
+        common += m[:k] @ m[k:].T
+    return 100 * common >= percent * (sizes[:k, None] + sizes[None, k:] - common)
 
 
 def _tree(linked: np.ndarray, node: np.ndarray, a: list, b: list) -> None:
@@ -189,23 +195,27 @@ def _tree(linked: np.ndarray, node: np.ndarray, a: list, b: list) -> None:
 
 
 def _confirmed(k: int, percent: int):
+    """Groups of one family and pair, sorted by side, to a forest of the links between the sets of side 0 and those of side 1."""
     by = ["family", "pair"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _groups(batches, by):
             at = _bounds(table, by)
-            node = table["node"].to_numpy()
+            node, side = table["node"].to_numpy(), table["side"].to_numpy()
             a: list[int] = []
             b: list[int] = []
             for lo, hi in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
-                if hi - lo < 2:
+                cut = int((side[lo:hi] == 0).sum())
+                if not 0 < cut < hi - lo:
                     continue
                 data, offsets = text_buffers(table["text"].slice(lo, hi - lo))
                 values: list[np.ndarray] = []
                 for x, y in chunks(offsets):
-                    flat, cut = shingles(*word_hashes(data, offsets[x : y + 1]), k)
-                    values += np.split(flat, cut[1:-1])
-                _tree(_links(values, percent), node[lo:hi], a, b)
+                    flat, ends = shingles(*word_hashes(data, offsets[x : y + 1]), k)
+                    values += np.split(flat, ends[1:-1])
+                linked = np.zeros((hi - lo, hi - lo), bool)
+                linked[:cut, cut:] = _links(values[:cut], values[cut:], percent)
+                _tree(linked | linked.T, node[lo:hi], a, b)
             yield pa.RecordBatch.from_arrays([pa.array(np.array(a, np.int64)), pa.array(np.array(b, np.int64))], ["a", "b"])
 
     return run
@@ -223,6 +233,52 @@ def _in_blocks(rows: DataFrame, blocks, node: str = "node") -> DataFrame:
     )
 
 
+def _blocks(members: str, shingles_: str):
+    """How many blocks some nodes with so many shingles make."""
+    return F.ceil(F.greatest(F.col(members) / FAMILY_BLOCK, F.col(shingles_) / FAMILY_SHINGLES, F.lit(1.0))).cast("long")
+
+
+def _own(blocks: str, salt: int):
+    return F.pmod(F.xxhash64("node", F.lit(salt)), F.col(blocks))
+
+
+def _every(blocks: str):
+    return F.explode(F.sequence(F.lit(0).cast("long"), F.col(blocks) - 1))
+
+
+def _compared(placed: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """a, b: links on full sets. placed: family, pair, side, node; of each family and pair the nodes of side 0 are compared with those of side 1."""
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # set, as what a byte of sets costs is far above the usual
+    text = docs.join(placed.select(F.col("node").alias("doc_id")).distinct().hint("merge"), "doc_id", "left_semi")
+    rows = placed.join(text.withColumnRenamed("doc_id", "node").hint("merge"), "node")
+    rows = rows.repartition(tasks, "family", "pair").sortWithinPartitions("family", "pair", "side")
+    return materialize(rows.mapInArrow(_confirmed(k, percent), "a long, b long"), "links")
+
+
+def _confirm(family: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """a, b: links that join whatever members of one family are connected by links. family: node, family, n, popularity."""
+    centres = family.groupBy("family").agg(
+        F.min(F.struct(-F.col("popularity"), "node"))["node"].alias("centre"), F.count("*").alias("members"), F.sum("n").alias("all")
+    )
+    centres = materialize(centres.withColumn("blocks", _blocks("members", "all")), "centres")
+    around = family.join(centres, "family").where(F.col("node") != F.col("centre"))
+    around = around.select("family", _own("blocks", 5).alias("pair"), F.lit(1).alias("side"), "node")
+    centre = centres.select("family", _every("blocks").alias("pair"), F.lit(0).alias("side"), F.col("centre").alias("node"))
+    linked = _compared(around.unionByName(centre), docs, k, percent)
+
+    met = linked.select(F.col("a").alias("node")).unionByName(linked.select(F.col("b").alias("node"))).distinct()
+    left = family.join(centres, "family").where(F.col("node") != F.col("centre")).join(met.hint("merge"), "node", "left_anti")
+    left = materialize(left.select("family", "node", "n", "blocks"), "outsiders")
+    rows = left.groupBy("family").agg(F.count("*").alias("members"), F.sum("n").alias("all"), F.max("blocks").alias("blocks"))
+    rows = rows.select("family", "blocks", _blocks("members", "all").alias("rows"))
+    pair = lambda row, column: (row * F.col("blocks") + column).alias("pair")
+    some = left.drop("blocks").join(rows, "family").withColumn("column", _every("blocks"))
+    some = some.select("family", pair(_own("rows", 7), F.col("column")), F.lit(0).alias("side"), "node")
+    others = family.join(rows, "family").withColumn("row", _every("rows"))
+    others = others.select("family", pair(F.col("row"), _own("blocks", 5)), F.lit(1).alias("side"), "node")
+    return linked.unionByName(_compared(some.unionByName(others), docs, k, percent))
+
+
 def near_groups(documents: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row of documents."""
     spark = documents.sparkSession
@@ -239,22 +295,17 @@ def near_groups(documents: DataFrame, k: int = 5, percent: int = 80) -> DataFram
     keyed = nodes.select("node", "sig").mapInArrow(_keyed, "key long, node long")
     hot = keyed.groupBy("key").agg(F.count("*").alias("met")).where("met > 1")
     # Merge joins at every size, so that one plan holds from the first gigabyte on.
-    met = keyed.join(hot.hint("merge"), "key").join(nodes.select("node", "sig").hint("merge"), "node")
+    keyed = materialize(keyed.join(hot.hint("merge"), "key"), "keys")
+    met = keyed.join(nodes.select("node", "sig").hint("merge"), "node")
     met = _in_blocks(met, F.ceil(F.col("met") / KEY_BLOCK)).select("key", "pair", "node", "sig")
-    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))  # set, as what a byte of signatures or sets costs is far above the usual
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))  # set, as what a byte of signatures costs is far above the usual
     met = met.repartition(tasks, "key", "pair").sortWithinPartitions("key", "pair")
     near = materialize(met.mapInArrow(_met, "a long, b long"), "near")
 
-    family = connected_components(near)
-    family = materialize(family.join(nodes.select("node", "n"), "node"), "families")
-    sizes = family.groupBy("component").agg(F.count("*").alias("members"), F.sum("n").alias("all"))
-    blocks = F.ceil(F.greatest(F.col("members") / FAMILY_BLOCK, F.col("all") / FAMILY_SHINGLES, F.lit(1.0)))
-    placed = _in_blocks(family.join(sizes, "component"), blocks).select("node", F.col("component").alias("family"), "pair")
-    one_text = docs.join(family.select(F.col("node").alias("doc_id")).distinct().hint("merge"), "doc_id", "left_semi")
-    member = placed.join(one_text.withColumnRenamed("doc_id", "node").hint("merge"), "node")
-    member = member.repartition(tasks, "family", "pair").sortWithinPartitions("family", "pair")
-    linked = materialize(member.mapInArrow(_confirmed(k, percent), "a long, b long"), "links")
-    component = connected_components(linked)
+    known = nodes.groupBy("node").agg(F.max("n").alias("n")).join(keyed.groupBy("node").agg(F.sum("met").alias("popularity")), "node")
+    family = connected_components(near).withColumnRenamed("component", "family")
+    family = materialize(family.join(known, "node"), "families")
+    component = connected_components(_confirm(family, docs, k, percent))
 
     grouped = (
         classes.join(component, "node", "left")
