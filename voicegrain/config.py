@@ -5,6 +5,11 @@ from __future__ import annotations
 import os
 from dataclasses import dataclass, fields
 
+from pyspark.sql import SparkSession
+
+#: Used only by a session on this machine alone that names no spark.checkpoint.dir, as in tests.
+LOCAL_DIR = "/tmp/checkpoints/voicegrain"
+
 
 @dataclass(frozen=True)
 class Settings:
@@ -32,3 +37,11 @@ class Settings:
             if raw is not None:
                 given[f.name] = type(f.default)(raw)
         return cls(**given)
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share, as the session names it; an error on a cluster whose session names none."""
+    named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not named and not spark.sparkContext.master.split("[")[0] == "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return (named or LOCAL_DIR).rstrip("/")

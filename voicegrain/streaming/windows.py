@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.similarity import shared_folder
+from ..config import shared_dir
 
 EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 
@@ -42,7 +42,7 @@ def run_to_end(stream: DataFrame, name: str, mode: str = "complete") -> DataFram
     Results and progress are in the shared folder. A batch that runs again replaces what it wrote before.
     """
     spark = stream.sparkSession
-    folder = f"{shared_folder(spark)}/stream-{name}-{uuid.uuid4().hex}"
+    folder = f"{shared_dir(spark)}/stream-{name}-{uuid.uuid4().hex}"
 
     def keep(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{folder}/out/{'batch=%d' % batch_id if mode == 'append' else 'state'}")
