@@ -258,3 +258,23 @@ def test_pipeline(spark, tmp_path):
     packed = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert {r.doc_id for r in packed} == kept.keys()
     assert os.path.exists(f"{tmp_path}/packing") is False
+
+
+def test_pipeline_edge_cases(spark, tmp_path):
+    rng = random.Random(9)
+    schema = "doc_id long, text string, lang string, source string, n_chars long, __row int"
+    some = lambda: " ".join(rng.choices([f"t{i}" for i in range(60)], k=80))
+    one, two, long = some(), some(), " ".join(f"v{rng.randrange(9_000)}" for _ in range(120_000))
+    rows = [(1, one), (1, two), (None, one + " tail"), (None, some()), (7, one), (7, one), (8, long), (9, None), (10, ""), (None, None)]
+    docs = spark.createDataFrame([(i, t, None, None, None, 5) for i, t in rows], schema)
+    kept = corpus_pipeline.dedup(spark, docs, "")
+    assert kept.columns == docs.columns
+    told = sorted(((r.doc_id, r.text) for r in kept.collect()), key=str)
+    assert told == sorted([rows[0], rows[1], rows[3], *rows[6:]], key=str)
+    labels = "doc_id long, quality int, toxic int"
+    for name, texts in (("full", [(i, t) for i, t in rows]), ("empty", [])):
+        folder = f"{tmp_path}/{name}"
+        spark.createDataFrame([(i, t, None, None, None) for i, t in texts], schema.rsplit(",", 1)[0]).write.parquet(f"{folder}/documents.parquet")
+        spark.createDataFrame([(None, 1, 0), (8, None, None)], labels).write.parquet(f"{folder}/labels.parquet")
+        got = corpus_pipeline.run(spark, folder)
+        assert {r.doc_id for r in got.collect()} == ({1, None, 8} if texts else set())

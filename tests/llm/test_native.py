@@ -70,6 +70,17 @@ def test_log_likelihood_ratio(spark):
             assert abs(got[i] - sum(w[b] for b in g) / len(g)) < 1e-9
 
 
+def test_equal_texts_count_once(spark):
+    texts = some_texts(12, 20)
+    rows = list(enumerate(texts))
+    trusted = spark.createDataFrame([(i,) for i in (1, 4, 9)], "doc_id long")
+    weights = lambda rows: quality_rules.bucket_weights(spark.createDataFrame(rows, SCHEMA), trusted, 64).collect()[0].weights
+    plain = weights(rows)
+    for more in ([(3, texts[3])] * 50, [(None, texts[3])] * 50, [(100 + i, texts[4]) for i in range(50)], [(None, None), (5, None)]):
+        assert weights(rows + more) == plain
+    assert weights([*rows, (1, texts[2])]) != plain  # a row of a trusted id is trusted
+
+
 def test_rules_without_trusted_rows_and_empty_table(spark):
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     long = " ".join(f"word{i}" for i in range(50))

@@ -7,22 +7,17 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Used only where the session names no spark.checkpoint.dir, as in tests.
-FALLBACK_DIR = "/tmp/checkpoints/voicegrain"
+from ..config import shared_dir
+
 #: The separators of the contracts' words: space and \t \n \v \f \r.
 SEPARATORS = "[\\x20\\x09-\\x0D]+"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share, as the session names it."""
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return (named or FALLBACK_DIR).rstrip("/")
-
-
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Writes df as Parquet in the shared folder and returns a reader of it.
 
-    This cuts the lineage: losing an executor later costs no recomputation of df.
+    This cuts the lineage: losing an executor later costs no recomputation of df. The table stays until the folder is cleared, as what is
+    returned reads it when it is used.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
