@@ -1,14 +1,13 @@
 """From raw documents to packed training sequences: five stages, each written as Parquet and read again as the next one's input.
 
-Every stage works on all rows that its predecessor kept. Rows with a null doc_id cannot be told apart by the stages that
-judge by doc_id; near_dedup lets them pass. Of rows with one doc_id near_dedup keeps the first by text at most, even if their texts
-are unlike; a null text comes first.
+Every stage works on all rows that its predecessor kept and judges each row for itself: rows with a null or a repeated doc_id are as good as
+any. Null and empty texts and texts of fewer than 20 words go with the base rules; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voicegrain.llm import near_dedup, packing, private_data, quality_model, quality_rules
@@ -30,11 +29,15 @@ def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the least doc_id of each group of near copies."""
-    kept = near_dedup.near_groups(docs.where(F.col("doc_id").isNotNull())).where("kept").select("doc_id").distinct().hint("merge")
-    first = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
-    named = docs.where(F.col("doc_id").isNotNull()).join(kept, "doc_id", "left_semi").withColumn("__n", first).where("__n = 1")
-    return named.select(*docs.columns).unionByName(docs.where(F.col("doc_id").isNull()))
+    """Keeps one row of each group of near copies (five-word shingles, a similarity of 0.8): that with the least doc_id, null ids last."""
+    row = "__row"
+    while row in docs.columns:
+        row += "_"
+    numbered = materialize(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    groups = near_dedup.near_groups(numbered.select(F.col(row).alias("doc_id"), "text")).select(F.col("doc_id").alias(row), "component_id")
+    order = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col(row).alias("row"))
+    kept = groups.join(numbered.select(row, "doc_id"), row).groupBy("component_id").agg(F.min(order)["row"].alias(row)).select(row)
+    return numbered.join(kept.hint("merge"), row, "left_semi").select(*docs.columns)
 
 
 def privacy(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
