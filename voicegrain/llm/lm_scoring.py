@@ -21,6 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,7 +30,7 @@ from .shared import words
 
 MIN_COUNT, BACKOFF = 2, 0.4
 #: Characters of text in a block, about; bits of a hash that name its range.
-BLOCK_CHARS, PART_BITS = 12_000_000, 16
+BLOCK_CHARS, PART_BITS = 24_000_000, 16
 #: Repeated rows are given back in groups of so many.
 COPIES = 1_000
 
@@ -51,22 +52,37 @@ def _grams(column: pa.ChunkedArray, order: int) -> Iterator[tuple[int, int, np.n
         yield a, b, first, found
 
 
-def _counted(grams: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted distinct n-grams, and the sums of their n."""
-    by = np.argsort(grams, kind="stable")
-    grams, n = grams[by], n[by]
+def _counted(grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct n-grams, and how often each is there. Sorts grams in place."""
+    grams.sort()
     begin = np.flatnonzero(np.append(True, grams[1:] != grams[:-1])) if len(grams) else np.zeros(0, np.int64)
-    return grams[begin], np.add.reduceat(n, begin) if len(grams) else n
+    return grams[begin], np.diff(np.append(begin, len(grams)))
+
+
+def _all(column: pa.ChunkedArray, order: int) -> np.ndarray:
+    """All n-grams of some texts."""
+    found = [np.zeros(0, np.uint64)]
+    for _, _, _, grams in _grams(column, order):
+        found += [g for g, _ in grams]
+    return np.concatenate(found)
 
 
 def _distinct(table: pa.Table, order: int) -> tuple[np.ndarray, np.ndarray]:
     """A block's n-grams, sorted, and how often it has them."""
-    copies = table["copies"].to_numpy()
-    parts = [(np.zeros(0, np.uint64), np.zeros(0, np.int64))]
-    for a, b, first, found in _grams(table["text"], order):
-        of = np.repeat(copies[a:b], np.diff(first))
-        parts.append(_counted(np.concatenate([g for g, _ in found]), np.concatenate([of[at] for _, at in found])))
-    return _counted(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]))
+    repeated = table.filter(pc.greater(table["copies"], 1))
+    once = table["text"] if not repeated.num_rows else table.filter(pc.equal(table["copies"], 1))["text"]
+    grams, n = _counted(_all(once, order))
+    if repeated.num_rows:
+        parts = [(grams, n)]
+        for i, copies in enumerate(repeated["copies"].to_pylist()):
+            more, times = _counted(_all(repeated["text"].slice(i, 1), order))
+            parts.append((more, times * copies))
+        grams, n = (np.concatenate(x) for x in zip(*parts, strict=True))
+        by = np.argsort(grams, kind="stable")
+        grams, n = grams[by], n[by]
+        begin = np.flatnonzero(np.append(True, grams[1:] != grams[:-1])) if len(grams) else np.zeros(0, np.int64)
+        grams, n = grams[begin], np.add.reduceat(n, begin) if len(grams) else n
+    return grams, n
 
 
 def _exploded(order: int):
