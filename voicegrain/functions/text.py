@@ -39,29 +39,39 @@ def parse_topic(raw: Column) -> Column:
 
 
 def _json(raw: Column, schema: str) -> tuple[Column, Column]:
-    """Parsed struct, and whether the answer was JSON at all."""
+    """Parsed struct, its numbers and flags as strings, and whether the answer was JSON at all."""
     bare = strip_fences(raw)
-    return F.from_json(bare, schema), F.try_parse_json(bare).isNotNull()
+    return F.from_json(bare, schema.replace("double", "string").replace("boolean", "string")), F.try_parse_json(bare).isNotNull()
+
+
+def _number(x: Column) -> Column:
+    """Models write numbers with and without quotes; what is no number is 0."""
+    return F.coalesce(x.try_cast("double"), F.lit(0.0))
 
 
 def _sentiment(s: Column) -> Column:
+    emotions = F.transform(s["emotions"], lambda e: F.struct(e["emotion"].alias("emotion"), _number(e["confidence"]).alias("confidence")))
+    aspects = F.transform(
+        s["aspect_sentiments"], lambda a: F.struct(a["aspect"].alias("aspect"), _number(a["polarity"]).alias("polarity"), a["evidence"].alias("evidence"))
+    )
     return F.struct(
-        F.coalesce(s["polarity"], F.lit(0.0)).alias("polarity"),
+        _number(s["polarity"]).alias("polarity"),
         F.coalesce(s["intensity"], F.lit("mild")).alias("intensity"),
-        F.coalesce(s["emotions"], F.array().cast("array<struct<emotion:string,confidence:double>>")).alias("emotions"),
-        F.coalesce(s["aspect_sentiments"], F.array().cast("array<struct<aspect:string,polarity:double,evidence:string>>")).alias("aspects"),
-        F.coalesce(s["sarcasm"], F.lit(False)).alias("sarcasm_flag"),
-        F.coalesce(s["confidence"], F.lit(0.0)).alias("confidence"),
+        F.coalesce(emotions, F.array().cast("array<struct<emotion:string,confidence:double>>")).alias("emotions"),
+        F.coalesce(aspects, F.array().cast("array<struct<aspect:string,polarity:double,evidence:string>>")).alias("aspects"),
+        F.coalesce(s["sarcasm"].try_cast("boolean"), F.lit(False)).alias("sarcasm_flag"),
+        _number(s["confidence"]).alias("confidence"),
     )
 
 
 def _intent(s: Column) -> Column:
+    churn = F.transform(s["churn_indicators"], lambda c: F.struct(c["signal"].alias("signal"), _number(c["severity"]).alias("severity")))
     return F.struct(
         F.coalesce(s["intent_type"], F.lit("complaint")).alias("intent_type"),
         F.coalesce(s["urgency"], F.lit("medium")).alias("urgency"),
         F.nullif(s["specific_request"], F.lit("")).alias("specific_request"),
         F.nullif(s["competitor_mention"], F.lit("")).alias("competitor_mention"),
-        F.coalesce(s["churn_indicators"], F.array().cast("array<struct<signal:string,severity:double>>")).alias("churn_indicators"),
+        F.coalesce(churn, F.array().cast("array<struct<signal:string,severity:double>>")).alias("churn_indicators"),
     )
 
 
@@ -92,7 +102,7 @@ def parse_account(raw: Column, domain: Column) -> Column:
     )
     return F.struct(
         name.alias("account_name"),
-        F.coalesce(got["confidence"], F.lit(0.0)).alias("confidence"),
+        _number(got["confidence"]).alias("confidence"),
         F.coalesce(got["evidence"], F.lit("")).alias("evidence"),
         method.alias("method"),
     )

@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import email_domain, parse_account, parse_combined, parse_sentiment
 from .backend import Backend
 
 
-def extract(units: DataFrame, topics: DataFrame, backend: Backend) -> DataFrame:
-    """units: unit_id, topic_id, prompt; topics: topic_id, intent_type, intent_urgency. unit_id, sentiment, intent, from_cache.
+def extract(units: DataFrame, topics: DataFrame, backend: Backend, asked_of: Callable[[str, Column], Column] | None = None) -> DataFrame:
+    """units: unit_id, topic_id, prompt; topics: topic_id, intent_type, intent_urgency. unit_id, sentiment, intent, from_cache, error.
 
-    A unit whose topic has a stored intent asks for its sentiment only; any other asks for both in one call.
+    A unit whose topic has a stored intent asks for its sentiment only; any other asks for both in one call. asked_of makes the prompt of a
+    kind of call from the column text, where units have no prompts of their own.
     """
+    ask = lambda rows, kind: backend.complete(rows.withColumn("prompt", asked_of(kind, F.col("text"))) if asked_of else rows, kind)
     known = units.join(topics.select("topic_id", "intent_type", "intent_urgency"), "topic_id", "left")
     cached, fresh = known.where(F.col("intent_type").isNotNull()), known.where(F.col("intent_type").isNull())
     empty_churn = F.array().cast("array<struct<signal:string,severity:double>>")
@@ -24,9 +28,9 @@ def extract(units: DataFrame, topics: DataFrame, backend: Backend) -> DataFrame:
         F.lit(None).cast("string").alias("competitor_mention"),
         empty_churn.alias("churn_indicators"),
     )
-    one = backend.complete(cached, "sentiment").select("unit_id", "topic_id", parse_sentiment(F.col("raw")).alias("sentiment"), kept.alias("intent"), F.lit(True).alias("from_cache"))
-    two = backend.complete(fresh, "combined").withColumn("both", parse_combined(F.col("raw")))
-    two = two.select("unit_id", "topic_id", F.col("both.sentiment").alias("sentiment"), F.col("both.intent").alias("intent"), F.lit(False).alias("from_cache"))
+    one = ask(cached, "sentiment").select("unit_id", "topic_id", parse_sentiment(F.col("raw")).alias("sentiment"), kept.alias("intent"), F.lit(True).alias("from_cache"), "error")
+    two = ask(fresh, "combined").withColumn("both", parse_combined(F.col("raw")))
+    two = two.select("unit_id", "topic_id", F.col("both.sentiment").alias("sentiment"), F.col("both.intent").alias("intent"), F.lit(False).alias("from_cache"), "error")
     return one.unionByName(two)
 
 
@@ -56,26 +60,33 @@ def grounded(units: DataFrame) -> DataFrame:
     return units.withColumn("ungrounded", missing).withColumn("is_grounded", F.size("ungrounded") == 0)
 
 
-#: Words by which evidence and texts find each other before they are compared whole.
-EVIDENCE_WORDS = 8
+#: Words by which evidence and texts find each other before they are compared whole, and how many passages without such words are allowed.
+EVIDENCE_WORDS, MAX_WORDLESS = 8, 1_000
 
 
 def evidence_counts(units: DataFrame, evidence: DataFrame) -> DataFrame:
     """units: doc_id, text; evidence: item_id, evidence. item_id, n_grounded: how many texts hold each passage verbatim.
 
-    A passage that begins and ends inside words of a text still holds its inner words whole; so they meet on a hash of the
-    second to the ninth word. A passage with fewer words meets on a scan of the texts with the few such passages.
+    A passage that begins and ends inside words of a text still holds its inner words whole; so they meet on a hash of its first inner
+    words, eight or as many as there are. Passages of one or two words have none and are looked for in every text: an error if there are
+    more than MAX_WORDLESS of them.
     """
-    inner = lambda t: F.slice(F.split(t, r"\s+"), 2, EVIDENCE_WORDS)
-    long = evidence.where(F.size(F.split("evidence", r"\s+")) >= EVIDENCE_WORDS + 2).withColumn("key", F.xxhash64(inner(F.col("evidence"))))
-    parts = units.withColumn("w", F.split(F.coalesce("text", F.lit("")), r"\s+"))
-    last = F.size("w") - EVIDENCE_WORDS
-    keys = F.when(last >= 0, F.array_distinct(F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda i: F.xxhash64(F.slice(F.col("w"), i + 1, EVIDENCE_WORDS)))))
-    met = parts.select("doc_id", F.explode(keys).alias("key")).join(long.select("item_id", "key"), "key").select("doc_id", "item_id").distinct()
-    held = met.join(units, "doc_id").join(long.select("item_id", "evidence"), "item_id").where(F.contains("text", F.col("evidence")))
-    short = evidence.where(F.size(F.split("evidence", r"\s+")) < EVIDENCE_WORDS + 2)
-    if not short.isEmpty():
-        held = held.select("item_id").unionByName(units.join(short, F.contains("text", F.col("evidence"))).select("item_id"))
+    split = lambda c: F.split(F.coalesce(c, F.lit("")), r"\s+")
+    inner = F.greatest(F.least(F.size(split(F.col("evidence"))) - 2, F.lit(EVIDENCE_WORDS)), F.lit(0))
+    items = evidence.select("item_id", "evidence", inner.alias("n")).withColumn("key", F.xxhash64("n", F.slice(split(F.col("evidence")), F.lit(2), F.col("n"))))
+    sizes = sorted(r["n"] for r in items.select("n").distinct().collect())  # EVIDENCE_WORDS + 1 of them at most
+    grams = lambda n: F.when(
+        F.size("w") >= n, F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - n + 1, F.lit(1))), lambda i: F.xxhash64(F.lit(n), F.slice(F.col("w"), i, F.lit(n))))
+    ).otherwise(F.array().cast("array<bigint>"))
+    keyed = units.withColumn("w", split(F.col("text")))
+    keys = F.array_distinct(F.concat(*(grams(n) for n in sizes if n), F.array().cast("array<bigint>")))
+    met = keyed.select("doc_id", F.explode(keys).alias("key")).join(items.where("n > 0").select("item_id", "key"), "key").select("doc_id", "item_id").distinct()
+    held = met.join(units, "doc_id").join(items.select("item_id", "evidence"), "item_id").where(F.contains("text", F.col("evidence"))).select("item_id")
+    if sizes and not sizes[0]:
+        short = items.where("n = 0").select("item_id", "evidence")
+        if short.count() > MAX_WORDLESS:
+            raise ValueError(f"more than {MAX_WORDLESS} passages of one or two words")
+        held = held.unionByName(units.join(F.broadcast(short), F.contains("text", F.col("evidence"))).select("item_id"))  # MAX_WORDLESS rows at most
     n = held.groupBy("item_id").agg(F.count("*").alias("n_grounded"))
     return evidence.select("item_id").join(n, "item_id", "left").withColumn("n_grounded", F.coalesce("n_grounded", F.lit(0)))
 

@@ -1,14 +1,15 @@
-"""Stored tables as snapshots: upsert and insert-ignore as joins, one manifest that makes a batch visible.
+"""Stored tables in a folder: upsert and insert-ignore as joins, one manifest that makes a batch visible.
 
-A batch writes new snapshots of its three tables, then the manifest that names them; readers follow the manifest, so a batch is
-seen whole or not at all, and a batch id that the manifest has is not applied again. One writer at a time.
+A batch writes the rows that it adds to the units, sentiments and indexes as a part of its own, and the topics, which change, as a new
+snapshot; then the manifest row that names them. Readers follow the manifest, so a batch is seen whole or not at all, and a batch id that the
+manifest has is not applied again. compact() joins the parts into one. One writer at a time.
 """
 
 from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..schemas import FEEDBACK_UNITS, TOPICS, UNIT_SENTIMENTS
@@ -47,14 +48,26 @@ def upsert_topics(old: DataFrame, new: DataFrame) -> DataFrame:
     )
 
 
+def first_of(rows: DataFrame, key: str) -> DataFrame:
+    """Of rows with one key the first one, in the order of all their columns as JSON, however they are dealt."""
+    order = F.row_number().over(Window.partitionBy(key).orderBy(F.to_json(F.struct(*rows.columns))))
+    return rows.withColumn("__n", order).where("__n = 1").drop("__n")
+
+
+def absent(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
+    """Those rows of new whose key old lacks; of rows of one key in new, the first one."""
+    return first_of(new.join(old.select(key), key, "left_anti").select(*new.columns), key)
+
+
 def insert_ignore(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
-    """old, and those rows of new whose key it lacks; of rows of one key in new, one."""
-    fresh = new.dropDuplicates([key]).join(old.select(key), key, "left_anti")
-    return old.unionByName(fresh.select(*old.columns))
+    """old, and what absent() gives."""
+    return old.unionByName(absent(old, new, key).select(*old.columns))
 
 
 class Store:
-    """The three tables in a folder."""
+    """The tables in a folder."""
+
+    MANIFEST = "batch_id long, version string, whole boolean"
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
@@ -64,12 +77,16 @@ class Store:
         where = files.Path(f"{self.path}/manifest")
         if not where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(where):
             return None
-        return self.spark.read.schema("batch_id long, version string").parquet(f"{self.path}/manifest")
+        return self.spark.read.schema(self.MANIFEST).parquet(f"{self.path}/manifest")
 
-    def version(self) -> tuple[int, str] | None:
+    def versions(self) -> list[str]:
+        """The parts that make up the tables, the last one with the topics; a row for each batch since the last compact()."""
         m = self._manifest()
-        last = m.orderBy(F.col("batch_id").desc()).head() if m is not None else None
-        return (last["batch_id"], last["version"]) if last else None
+        if m is None:
+            return []
+        rows = sorted((r["batch_id"], r["whole"], r["version"]) for r in m.collect())
+        begin = max((i for i, r in enumerate(rows) if r[1]), default=0)
+        return [version for _, _, version in rows[begin:]]
 
     def has(self, batch_id: int) -> bool:
         m = self._manifest()
@@ -77,29 +94,42 @@ class Store:
 
     def read(self, name: str) -> DataFrame:
         schema = TABLES[name] if name in TABLES else INDEXES[name][0]
-        now = self.version()
-        if now is None:
+        parts = self.versions()
+        if not parts:
             return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(f"{self.path}/{name}/{now[1]}")
+        if name == "topics":
+            parts = parts[-1:]
+        return self.spark.read.schema(schema).parquet(*(f"{self.path}/{name}/{v}" for v in parts))
+
+    def _name(self, batch_id: int, version: str, whole: bool) -> None:
+        self.spark.createDataFrame([(batch_id, version, whole)], self.MANIFEST).coalesce(1).write.mode("append").parquet(f"{self.path}/manifest")
 
     def apply(self, batch_id: int, topics: DataFrame, units: DataFrame, sentiments: DataFrame, indexes: dict[str, DataFrame] | None = None) -> bool:
         """Writes a batch; False if it was applied before."""
         if self.has(batch_id):
             return False
         version = f"{batch_id}-{uuid.uuid4().hex}"
-        new = {
-            "topics": upsert_topics(self.read("topics"), topics),
-            "feedback_units": insert_ignore(self.read("feedback_units"), units, "unit_id"),
-            "unit_sentiments": insert_ignore(self.read("unit_sentiments"), sentiments, "unit_id"),
-        }
-        for name, (_, key) in INDEXES.items():
+        upsert_topics(self.read("topics"), topics).write.parquet(f"{self.path}/topics/{version}")
+        added = {"feedback_units": (units, "unit_id"), "unit_sentiments": (sentiments, "unit_id")}
+        for name, (schema, key) in INDEXES.items():
+            added[name] = ((indexes or {}).get(name, self.spark.createDataFrame([], schema)), key)
+        for name, (rows, key) in added.items():
             old = self.read(name)
-            new[name] = insert_ignore(old, indexes[name], key) if indexes and name in indexes else old
-        for name, df in new.items():
-            df.write.parquet(f"{self.path}/{name}/{version}")
-        self.spark.createDataFrame([(batch_id, version)], "batch_id long, version string").coalesce(1).write.mode("append").parquet(f"{self.path}/manifest")
+            absent(old, rows, key).select(*old.columns).write.parquet(f"{self.path}/{name}/{version}")
+        self._name(batch_id, version, False)
         return True
 
+    def compact(self) -> None:
+        """Joins the parts of every table into one, under the id of the last batch."""
+        m = self._manifest()
+        last = m.agg(F.max("batch_id").alias("b")).head()["b"] if m is not None else None
+        if last is None:
+            return
+        version = f"{last}-{uuid.uuid4().hex}"
+        for name in (*TABLES, *INDEXES):
+            self.read(name).write.parquet(f"{self.path}/{name}/{version}")
+        self._name(last, version, True)
+
 
 def integrity(units: DataFrame, topics: DataFrame, sentiments: DataFrame) -> DataFrame:
     """check, bad: how many rows break each key or reference, and how many topic counts differ from their units."""

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import strip_fences
 from ..schemas import UNITS
+from .backend import Backend, prompt
 
 #: Every character belongs to one segment: text up to and with its closing marks or line ends.
 SEGMENT = r"[^.!?\n]*[.!?\n]+|[^.!?\n]+"
@@ -102,6 +103,14 @@ def with_metadata(units: DataFrame, records: DataFrame) -> DataFrame:
     return units.join(carried, "id", "left").withColumn("unit_id", unit_id(F.col("id"), F.col("unit_index")))
 
 
+def model_units(records: DataFrame, backend: Backend) -> DataFrame:
+    """Units as a model splits the records (id, clean_text, source_channel, source_metadata): what parse_units gives."""
+    text = F.coalesce("clean_text", F.lit(""))
+    asked = prompt("unitize", text, channel=F.col("source_channel"), survey_question=F.col("source_metadata.survey_question"))
+    answers = backend.complete(records.select("id", text.alias("text"), (text if backend.plain else asked).alias("prompt")), "unitize")
+    return parse_units(answers.select("id", "text", "raw"))
+
+
 def unit_counts(units: DataFrame) -> DataFrame:
     """id, unit_count, is_atomic."""
     return units.groupBy("id").agg(F.count("*").alias("unit_count")).withColumn("is_atomic", F.col("unit_count") <= 1)

@@ -13,9 +13,9 @@ from pyspark.sql.streaming.query import StreamingQuery
 from ..config import Settings
 from ..functions import rules, text
 from ..operators import extract, pii, topics, unitize
-from ..operators.backend import Backend, Rules
-from ..operators.similarity import cut, edges, leaders
-from ..operators.store import Store
+from ..operators.backend import Backend, Rules, prompt
+from ..operators.similarity import cut, edges, edges_between, leaders
+from ..operators.store import Store, first_of
 from ..sources.adapters import chosen_text, parse_messages
 
 #: A batch's units are numbered from batch_id * 2^45 on, in order of record id and place.
@@ -26,10 +26,15 @@ def rule_backend() -> Rules:
     return Rules({"topic": rules.topic_answer, "sentiment": rules.sentiment_answer, "combined": rules.combined_answer})
 
 
-def units_of(records: DataFrame, batch_id: int) -> DataFrame:
-    """unit_id, parent_cfo_id, text, char_start, char_end, unit_index, metadata, seq, embedding of a batch's records, each record id once."""
-    given = records.dropDuplicates(["id"]).withColumn("raw_text", chosen_text()).drop("clean_text")
-    units = unitize.with_metadata(unitize.sentences(pii.redact(given)), given)
+def units_of(records: DataFrame, batch_id: int, backend: Backend) -> DataFrame:
+    """unit_id, parent_cfo_id, text, char_start, char_end, unit_index, metadata, seq, embedding of a batch's records, each record id once.
+
+    A backend that answers `unitize` splits the records, else sentences do.
+    """
+    given = first_of(records, "id").withColumn("raw_text", chosen_text()).drop("clean_text")
+    clean = pii.redact(given)
+    split = unitize.model_units(clean, backend) if backend.kinds is None or "unitize" in backend.kinds else unitize.sentences(clean)
+    units = unitize.with_metadata(split, given)
     ordered = units.repartitionByRange("id", "unit_index").sortWithinPartitions("id", "unit_index")
     return cut(
         ordered.select(
@@ -50,31 +55,34 @@ def process(records: DataFrame, batch_id: int, store: Store, backend: Backend, s
     """Analyses one batch and stores it; False if it was stored before."""
     if store.has(batch_id):
         return False
-    units = units_of(records, batch_id).join(store.read("feedback_units").select("unit_id"), "unit_id", "left_anti")
+    units = units_of(records, batch_id, backend).join(store.read("feedback_units").select("unit_id"), "unit_id", "left_anti")
+    asked_of = lambda kind, said: said if backend.plain else prompt(kind, said)
 
     known = store.read("dedup_index")
-    pool = units.select("seq", "unit_id", "embedding").unionByName(known.select("seq", "unit_id", "embedding"))
-    found = leaders(pool, edges(pool, settings.dedup_threshold), known)
+    new = units.select("seq", "unit_id", "embedding")
+    pairs = cut(edges(new, settings.dedup_threshold).unionByName(edges_between(new, known, settings.dedup_threshold)))
+    met = known.join(pairs.select(F.col("a").alias("seq")).distinct(), "seq", "left_semi").select("seq", "unit_id", "embedding")
+    pool = new.unionByName(met)
+    found = leaders(pool, pairs, met)
     names = pool.select(F.col("seq").alias("canonical_seq"), F.col("unit_id").alias("canonical_id"))
     dedup = found.join(names, "canonical_seq").select("seq", "is_duplicate", F.when(F.col("is_duplicate"), F.col("canonical_id")).alias("canonical_id"))
     told = cut(units.join(dedup, "seq"))
     canonical = told.where(~F.col("is_duplicate"))
 
-    asked = backend.complete(canonical.select("unit_id", "seq", F.col("text").alias("prompt")), "topic")
+    asked = backend.complete(canonical.select("unit_id", "seq", asked_of("topic", F.col("text")).alias("prompt")), "topic")
     named = asked.select("unit_id", "seq", text.parse_topic(F.col("raw")).alias("t"))
-    named = cut(named.select("unit_id", "seq", "t.label", "t.description", "t.evidence", "t.confidence", rules.embed(topics.match_text(F.col("t.label"), F.col("t.description"))).alias("embedding")))
+    named = cut(named.select("unit_id", "seq", "t.label", "t.description", "t.evidence", "t.confidence", rules.embed(topics.match_text(F.col("t.label"), F.col("t.description"))).alias("embedding"), rules.embed(topics.stored_text(F.col("t.label"), F.col("t.description"))).alias("stored_embedding")))
     stored = store.read("topic_index")
-    old = stored.select("seq", "label", F.lit(0.0).alias("confidence"), "embedding")
     assigned = topics.assign_topics(
-        named.select("seq", "label", "confidence", "embedding").unionByName(old), settings.topic_threshold, settings.suggest_threshold, stored
+        named.select("seq", "label", "confidence", "embedding", "stored_embedding"), settings.topic_threshold, settings.suggest_threshold, stored
     )
     ids = stored.select(F.col("seq").alias("topic_seq"), "topic_id").unionByName(
         named.select(F.col("seq").alias("topic_seq"), F.sha2(F.concat(F.lit("topic|"), "unit_id"), 256).alias("topic_id"))
     )
-    matched = cut(assigned.join(ids, "topic_seq").join(named.select("seq", "unit_id", F.col("label").alias("own_label"), "description", "evidence", "embedding"), "seq"))
+    matched = cut(assigned.join(ids, "topic_seq").join(named.select("seq", "unit_id", F.col("label").alias("own_label"), "description", "evidence", "stored_embedding"), "seq"))
 
-    prompts = canonical.select("unit_id", F.col("text").alias("prompt")).join(matched.select("unit_id", "topic_id"), "unit_id")
-    analysed = cut(extract.extract(prompts, store.read("topics"), backend))
+    prompts = canonical.select("unit_id", "text").join(matched.select("unit_id", "topic_id"), "unit_id")
+    analysed = cut(extract.extract(prompts, store.read("topics"), backend, asked_of))
     intents = extract.learned_intents(analysed, canonical.select("unit_id", "seq"))
 
     now = F.current_timestamp()
@@ -98,7 +106,7 @@ def process(records: DataFrame, batch_id: int, store: Store, backend: Backend, s
         "unit_id", "sentiment.polarity", "sentiment.intensity", "sentiment.sarcasm_flag", "sentiment.confidence", "sentiment.emotions",
         F.col("sentiment.aspects").alias("aspect_sentiments"), now.alias("created_at"),
     )
-    founded = matched.where("is_new_topic").select("topic_id", "seq", F.col("topic_label").alias("label"), "embedding")
+    founded = matched.where("is_new_topic").select("topic_id", "seq", F.col("topic_label").alias("label"), F.col("stored_embedding").alias("embedding"))
     return store.apply(batch_id, fresh, rows, sentiments, {"dedup_index": canonical.select("unit_id", "seq", "embedding"), "topic_index": founded})
 
 
@@ -114,7 +122,7 @@ def messages(spark: SparkSession, settings: Settings) -> DataFrame:
             .load()
             .select("value")
         )
-    return spark.readStream.option("maxFilesPerTrigger", 1).text(settings.input_path)
+    return spark.readStream.option("maxFilesPerTrigger", settings.batch_size).text(settings.input_path)
 
 
 def start(spark: SparkSession, settings: Settings, backend: Backend | None = None, once: bool = False) -> StreamingQuery:
