@@ -76,6 +76,32 @@ def tree(spark: SparkSession, d: str) -> DataFrame:
 
 # Redaction and unitization
 
+# Fixed values, as the SQL side has them for itself: kinds, patterns and the group that is the value.
+PII_SQL = (
+    ("EMAIL", r"(?i)\b[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}\b", 0),
+    ("PHONE", r"(?:\+?1[\s\-.]?)?(?:\(?\d{3}\)?[\s\-.]?)\d{3}[\s\-.]?\d{4}", 0),
+    ("CREDIT_CARD", r"\b(?:4[0-9]{12}(?:[0-9]{3})?|5[1-5][0-9]{14}|3[47][0-9]{13}|6(?:011|5[0-9]{2})[0-9]{12}|(?:[0-9]{4}[\s\-]?){3}[0-9]{4})\b", 0),
+    ("SSN", r"\b\d{3}[- ]?\d{2}[- ]?\d{4}\b", 0),
+    ("IP_ADDRESS", r"\b(?:(?:25[0-5]|2[0-4]\d|[01]?\d\d?)\.){3}(?:25[0-5]|2[0-4]\d|[01]?\d\d?)\b", 0),
+    ("URL", r"(?i)https?://[^\s<>\"]+|www\.[^\s<>\"]+", 0),
+    ("ACCOUNT_NUM", r"(?i)(?:account|order|ticket|ref|reference|id|#|no\.?)\s*[:\-]?\s*([A-Za-z0-9\-]{6,20})", 1),
+)
+#: Spans of all patterns, those that overlap as one of the first one's kind (z), and the texts without them (c).
+REDACTION = "b AS MATERIALIZED (SELECT doc_id, source, coalesce(text, '') AS t FROM documents), m AS (" + " UNION ALL ".join(
+    f"SELECT doc_id, {rank} AS rank, '{kind}' AS kind, list_transform(range(1, len(w) + 1), lambda i: {{'e': list_sum(list_transform(w[1:i], lambda x: length(x))) "
+    f"+ list_sum(list_transform(g[1:i], lambda x: length(x))), 'n': length(v[i])}}) AS p FROM (SELECT doc_id, regexp_extract_all(t, '{pattern}') AS w, "
+    f"string_split_regex(t, '{pattern}') AS g, regexp_extract_all(t, '{pattern}', {group}) AS v FROM b) WHERE len(w) > 0"
+    for rank, (kind, pattern, group) in enumerate(PII_SQL)
+) + """),
+x AS (SELECT doc_id, rank, kind, CAST(q.e - q.n AS BIGINT) AS s, CAST(q.e AS BIGINT) AS e FROM (SELECT doc_id, rank, kind, unnest(p) AS q FROM m)),
+y AS (SELECT *, coalesce(s >= max(e) OVER (PARTITION BY doc_id ORDER BY s, rank, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true) AS fresh FROM x),
+k AS (SELECT *, sum(CAST(fresh AS INT)) OVER (PARTITION BY doc_id ORDER BY s, rank, e ROWS UNBOUNDED PRECEDING) AS grp FROM y),
+z AS (SELECT doc_id, grp, min(s) AS s, max(e) AS e, first(kind ORDER BY s, rank, e) AS kind FROM k GROUP BY doc_id, grp),
+o AS (SELECT *, lag(e, 1, 0) OVER (PARTITION BY doc_id ORDER BY s) AS a FROM z),
+f AS (SELECT b.doc_id, count(*) AS n, max(o.e) AS last, string_agg(substring(t, CAST(a + 1 AS BIGINT), CAST(s - a AS BIGINT)) || '[' || kind || ']', '' ORDER BY s) AS head
+  FROM o JOIN b ON b.doc_id = o.doc_id GROUP BY b.doc_id),
+c AS (SELECT b.doc_id, source, coalesce(n, 0) AS n, CASE WHEN n IS NULL THEN t ELSE head || substring(t, CAST(last + 1 AS BIGINT)) END AS clean FROM b LEFT JOIN f ON f.doc_id = b.doc_id)"""
+
 
 @query(
     "SELECT source, pii_type, sum(n)::BIGINT AS n FROM ("
@@ -90,13 +116,13 @@ def pii_pattern_counts(spark, d):
     return pii.counts_by_kind(marked, "source")
 
 
-@query()
+@query(f"WITH {REDACTION} SELECT concat('doc-', doc_id) AS id, n > 0 AS pii_redacted, n AS n_spans, sha256(clean) AS clean_sha256 FROM c")
 def pii_redacted(spark, d):
     done = pii.redact(adapters.cfo_from_documents(table(spark, d, "documents")))
     return done.select("id", "pii_redacted", F.size("pii_spans").cast("long").alias("n_spans"), F.sha2("clean_text", 256).alias("clean_sha256"))
 
 
-@query()
+@query(f"WITH {REDACTION} SELECT source AS source_channel, kind AS pii_type, count(*) AS n FROM z JOIN b ON b.doc_id = z.doc_id GROUP BY source, kind")
 def pii_type_counts(spark, d):
     done = pii.redact(adapters.cfo_from_documents(table(spark, d, "documents")))
     return pii.counts_by_kind(done, "source_channel")
@@ -113,7 +139,12 @@ def unitize_segments(spark, d):
     return parts.groupBy("id").agg(F.count("*").alias("n_segments"), F.sum(F.length("x")).alias("n_chars"))
 
 
-@query()
+@query(r"""
+WITH x AS (SELECT concat('doc-', doc_id) AS id, regexp_extract_all(text, '[^.!?\n]*[.!?\n]+|[^.!?\n]+') AS p FROM documents),
+y AS (SELECT id, unnest(range(len(p))) AS i, unnest(p) AS p FROM x),
+z AS (SELECT id, i, p, coalesce(sum(length(p)) OVER (PARTITION BY id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + length(p) - length(ltrim(p)) AS s FROM y)
+SELECT id, CAST(i AS INT) AS unit_index, CAST(s AS INT) AS char_start, CAST(s + length(regexp_replace(trim(p), '\n+$', '')) AS INT) AS char_end, sha256(id || '|' || i) AS unit_id
+FROM z WHERE length(regexp_replace(p, '[\s.!?]', '', 'g')) > 0""")
 def unitize_sentences(spark, d):
     records = adapters.cfo_from_documents(table(spark, d, "documents"))
     found = unitize.sentences(records, "raw_text")
@@ -159,7 +190,18 @@ def language_detection(spark, d):
     return table(spark, d, "documents").select("doc_id", "lang", rules.language(F.col("text")).alias("guessed"))
 
 
-@query()
+@query(f"""
+WITH {REDACTION}, w AS (SELECT concat('doc-', doc_id) AS id, string_split_regex(lower(clean), '[^a-zà-ÿ]+') AS w FROM c),
+n AS (SELECT id, w, CAST(len(list_filter(w, lambda x: x IN ('good', 'great', 'love', 'excellent', 'easy', 'fast', 'helpful', 'thanks', 'perfect', 'happy'))) AS DOUBLE) AS p,
+  CAST(len(list_filter(w, lambda x: x IN ('bad', 'slow', 'crash', 'crashes', 'broken', 'hate', 'terrible', 'error', 'fail', 'fails', 'frustrating', 'cancel'))) AS DOUBLE) AS q FROM w),
+v AS (SELECT id, w, CASE WHEN p + q = 0 THEN CAST(0 AS DOUBLE) ELSE (p - q) / (p + q) END AS polarity FROM n),
+i AS (SELECT *, CASE WHEN list_has_any(w, ['cancel', 'leaving', 'switch', 'unsubscribe']) THEN 'churn_signal'
+  WHEN list_has_any(w, ['crash', 'crashes', 'error', 'broken', 'fail', 'fails', 'bug']) THEN 'bug_report'
+  WHEN list_has_any(w, ['wish', 'add', 'feature', 'support', 'please']) THEN 'feature_request'
+  WHEN list_has_any(w, ['how', 'why', 'what', 'when', 'where']) THEN 'question'
+  WHEN list_has_any(w, ['love', 'great', 'excellent', 'thanks', 'perfect']) THEN 'praise' ELSE 'general_comment' END AS intent_type FROM v)
+SELECT id, polarity, CASE WHEN abs(polarity) >= 0.8 THEN 'strong' WHEN abs(polarity) >= 0.4 THEN 'moderate' ELSE 'mild' END AS intensity, intent_type,
+  CASE WHEN intent_type IN ('churn_signal', 'bug_report') THEN 'high' ELSE 'low' END AS urgency FROM i""")
 def rule_analysis(spark, d):
     """Every document through redaction and the rule backend's sentiment and intent answers."""
     clean = pii.redact(adapters.cfo_from_documents(table(spark, d, "documents"))).select("id", "clean_text")
@@ -397,7 +439,8 @@ def impact_score(spark, d):
     return trends.impact(units(spark, d), accounts(spark, d))
 
 
-@query()
+@query(f"""SELECT i.topic_id, impact, unit_count, printf('Topic %d: %d units, impact %.3f', i.topic_id, unit_count, impact) AS line FROM ({ORACLES['impact_score']}) i
+JOIN (WITH {UNITS} SELECT topic_id, count(*) AS unit_count FROM u GROUP BY topic_id) t ON t.topic_id = i.topic_id ORDER BY impact DESC, i.topic_id LIMIT 5""")
 def executive_summary(spark, d):
     u = units(spark, d)
     return trends.executive_inputs(trends.impact(u, accounts(spark, d)), dashboard.topic_stats(u).select("topic_id", "unit_count"))
