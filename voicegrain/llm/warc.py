@@ -2,8 +2,8 @@
 
 Pages are sorted by reversed-host URL key, dealt to ranges, and each task writes one archive (a gzip member for each record) and
 its index: capture lines in compressed blocks of BLOCK_LINES, then a sparse directory with the first key of each
-block, then the directory's length. Looking keys up takes the ranges of the files, a binary search in a file's directory,
-one range read for the block and one for each record. Files go to the folder that all executors share; a task that is run again
+block, then the directory's length. The files' ranges are an index of the same kind, the root. Looking a key up takes a binary search in the
+root's directory and one in a file's, one range read for each block and one for each record; nothing of it passes through the driver. Files go to the folder that all executors share; a task that is run again
 writes under another name, and only the files of the attempt whose rows count are ever read.
 
 A record whose payload (100 bytes or more) equals that of a page with a smaller page_id is a revisit of the smallest one.
@@ -103,6 +103,31 @@ def parse_record(raw: bytes) -> dict:
     }
 
 
+class IndexWriter:
+    """Writes sorted lines (lists, a key first) in compressed blocks, then the directory of the blocks' first keys and its length."""
+
+    def __init__(self, file):
+        self.file, self.lines, self.directory, self.at = file, [], [], 0
+
+    def add(self, line: list) -> None:
+        self.lines.append(json.dumps(line))
+        if len(self.lines) == BLOCK_LINES:
+            self._block()
+
+    def _block(self) -> None:
+        raw = zlib.compress("\n".join(self.lines).encode(), 5)
+        self.directory.append((json.loads(self.lines[0])[0], self.at, len(raw)))
+        self.file.write(raw)
+        self.at += len(raw)
+        self.lines.clear()
+
+    def close(self) -> None:
+        if self.lines:
+            self._block()
+        tail = zlib.compress(json.dumps(self.directory).encode())
+        self.file.write(tail + len(tail).to_bytes(8, "big"))
+
+
 def _writer(folder: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         name = f"{folder}/{uuid.uuid4().hex}"
@@ -110,19 +135,10 @@ def _writer(folder: str):
         start = next(batches, None)
         if start is None:
             return
-        lines: list[str] = []
-        directory: list[tuple[str, int, int]] = []
-        at = cut = total = 0
+        at = total = 0
         first = last = mark = refers_to = None
-        with open_shared(f"{name}.warc.gz", True) as archive, open_shared(f"{name}.cdx", True) as index:
-
-            def close_block() -> int:
-                raw = zlib.compress("\n".join(lines).encode(), 5)
-                directory.append((json.loads(lines[0])[0], cut, len(raw)))
-                index.write(raw)
-                lines.clear()
-                return cut + len(raw)
-
+        with open_shared(f"{name}.warc.gz", True) as archive, open_shared(f"{name}.cdx", True) as file:
+            index = IndexWriter(file)
             while start is not None:
                 for row in start.to_pylist():
                     this = row["key"], row["page_id"], row["digest"]
@@ -131,16 +147,11 @@ def _writer(folder: str):
                         continue
                     raw = record(row["page_id"], row["url"], (row["html"] or "").encode(), row["digest"], refers_to if this == mark else None)
                     archive.write(raw)
-                    lines.append(json.dumps([row["key"], at, len(raw)]))
+                    index.add([row["key"], at, len(raw)])
                     at, total, last = at + len(raw), total + 1, row["key"]
                     first = last if first is None else first
-                    if len(lines) == BLOCK_LINES:
-                        cut = close_block()
                 start = next(batches, None)
-            if lines:
-                cut = close_block()
-            tail = zlib.compress(json.dumps(directory).encode())
-            index.write(tail + len(tail).to_bytes(8, "big"))
+            index.close()
         yield pa.RecordBatch.from_pylist(
             [{"archive": f"{name}.warc.gz", "index": f"{name}.cdx", "first": first, "last": last, "records": total}]
         )
@@ -166,30 +177,52 @@ def write_archives(pages: DataFrame, folder: str | None = None) -> DataFrame:
 
 
 class CaptureIndex:
-    """One index file: its directory is read once, its blocks when a key needs them."""
-
-    def __init__(self, path: str):
-        self.path, self.block, self.at = path, [], -1
-        with open_shared(path) as f:
-            size = f.size()
-            length = int.from_bytes(f.read_at(8, size - 8), "big")
-            self.directory = json.loads(zlib.decompress(f.read_at(length, size - 8 - length)))
+    """An index file: its directory is read once, its blocks when a key needs them."""
+
+    def __init__(self, file):
+        self.file, self.block, self.at = file, [], -1
+        size = file.size()
+        length = int.from_bytes(file.read_at(8, size - 8), "big")
+        self.directory = json.loads(zlib.decompress(file.read_at(length, size - 8 - length)))
         self.keys = [d[0] for d in self.directory]
 
-    def find(self, key: str, file) -> Iterator[tuple[int, int]]:
-        """Offset and length of each record with this key: binary search, then range reads of one block or more."""
+    def since(self, key: str) -> Iterator[list]:
+        """The lines from this key on, by binary search and a range read for each block."""
         i = max(0, bisect.bisect_left(self.keys, key) - 1)  # equal keys may begin in the block before
-        while i < len(self.keys) and self.keys[i] <= key:
+        while i < len(self.keys):
             if i != self.at:
                 _, offset, length = self.directory[i]
-                self.block = [json.loads(x) for x in zlib.decompress(file.read_at(length, offset)).decode().split("\n")]
+                self.block = [json.loads(x) for x in zlib.decompress(self.file.read_at(length, offset)).decode().split("\n")]
                 self.at = i
-            at = bisect.bisect_left(self.block, key, key=lambda line: line[0])
-            while at < len(self.block) and self.block[at][0] == key:
-                yield self.block[at][1], self.block[at][2]
-                at += 1
+            block = self.block
+            yield from block[bisect.bisect_left(block, key, key=lambda line: line[0]) :]
             i += 1
 
+    def find(self, key: str) -> Iterator[tuple[int, int]]:
+        """Offset and length of each record with this key."""
+        for found, offset, length in self.since(key):
+            if found != key:
+                return
+            yield offset, length
+
+
+def write_root(files: DataFrame) -> str:
+    """Writes the root: for each file, sorted, its last key, its first key and its name. It has a line for each task that wrote."""
+    path = f"{shared_dir(files.sparkSession)}/warc-root-{uuid.uuid4().hex}"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        name = f"{path}/{uuid.uuid4().hex}"
+        with open_shared(name, True) as file:
+            root = IndexWriter(file)
+            for batch in batches:
+                for row in batch.to_pylist():
+                    root.add([row["last"], row["first"], row["index"]])
+            root.close()
+        yield pa.RecordBatch.from_pylist([{"root": name}])
+
+    lines = files.select("last", "first", "index").repartition(1).sortWithinPartitions("last", "first", "index")
+    return materialize(lines.mapInArrow(run, "root string"), "warc-roots").head()["root"]
+
 
 CAPTURES = "key string, page_id long, url string, payload binary, payload_bytes long, payload_digest string, record_type string, refers_to long"
 
@@ -197,37 +230,39 @@ CAPTURES = "key string, page_id long, url string, payload binary, payload_bytes
 def lookup(keys: DataFrame, files: DataFrame, with_payload: bool = True) -> DataFrame:
     """All captures (CAPTURES) of the URL keys in column `key`, read back from the archives.
 
-    files has one row for each task that wrote; its ranges, not its directories, are what every task gets.
+    Every task reads what it needs of the root and of the files' indexes.
     """
-    spark = keys.sparkSession
-    ranges = sorted((r["first"], r["last"], r["index"], r["archive"]) for r in files.collect())  # as many as writing tasks
+    if files.isEmpty():
+        return keys.sparkSession.createDataFrame([], CAPTURES)
+    root_path = write_root(files)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lasts = [r[1] for r in ranges]
-        for batch in batches:
-            key, number = [], []
-            for k in batch["key"].to_pylist():
-                i = bisect.bisect_left(lasts, k)
-                while i < len(ranges) and ranges[i][0] <= k:
-                    key.append(k)
-                    number.append(i)
-                    i += 1
-            yield pa.RecordBatch.from_arrays([pa.array(number, pa.int32()), pa.array(key, pa.string())], ["file", "key"])
+        with open_shared(root_path) as file:
+            root = CaptureIndex(file)
+            for batch in batches:
+                key, index = [], []
+                for k in batch["key"].to_pylist():
+                    for _, first, name in root.since(k):
+                        if first > k:
+                            break
+                        key.append(k)
+                        index.append(name)
+                yield pa.RecordBatch.from_arrays([pa.array(index, pa.string()), pa.array(key, pa.string())], ["index", "key"])
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema(
             [("key", pa.string()), ("page_id", pa.int64()), ("url", pa.string()), ("payload", pa.binary()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64())]
         )
         for batch in batches:
-            number, keys_now = batch["file"].to_pylist(), batch["key"].to_pylist()
+            names, keys_now = batch["index"].to_pylist(), batch["key"].to_pylist()
             first = 0
-            while first < len(number):
-                end = bisect.bisect_right(number, number[first])
-                _, _, index_path, archive_path = ranges[number[first]]
-                index, out, held = CaptureIndex(index_path), [], 0
-                with open_shared(index_path) as blocks, open_shared(archive_path) as archive:
+            while first < len(names):
+                end = bisect.bisect_right(names, names[first])
+                out, held = [], 0
+                with open_shared(names[first]) as blocks, open_shared(names[first].removesuffix(".cdx") + ".warc.gz") as archive:
+                    index = CaptureIndex(blocks)
                     for key in keys_now[first:end]:
-                        for offset, length in index.find(key, blocks):
+                        for offset, length in index.find(key):
                             got = parse_record(archive.read_at(length, offset))
                             held += len(got["payload"])
                             out.append({"key": key} | got | ({} if with_payload else {"payload": None}))
@@ -237,8 +272,8 @@ def lookup(keys: DataFrame, files: DataFrame, with_payload: bool = True) -> Data
                 yield pa.RecordBatch.from_pylist(out, schema)
                 first = end
 
-    wanted = keys.select("key").where(F.col("key").isNotNull()).distinct().mapInArrow(deal, "file int, key string")
-    return wanted.repartitionByRange("file", "key").sortWithinPartitions("file", "key").mapInArrow(read, CAPTURES)
+    wanted = keys.select("key").where(F.col("key").isNotNull()).distinct().sortWithinPartitions("key").mapInArrow(deal, "index string, key string")
+    return wanted.repartitionByRange("index", "key").sortWithinPartitions("index", "key").mapInArrow(read, CAPTURES)
 
 
 def round_trip(pages: DataFrame) -> DataFrame:
