@@ -205,6 +205,23 @@ def matches(text: Column, pattern: str, group: int = 0) -> Column:
     return bind(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), run)
 
 
+def cut_spans(text: Column, spans: Column) -> Column:
+    """array<string>: the parts of a text at sorted spans (start, end). The text is cut by groups of spans first, as finding a place in a
+    text means walking to it."""
+
+    def grouped(s: Column, width: Column) -> Column:
+        def one(g: Column) -> Column:
+            begin = F.get(g, F.lit(0))["start"]
+            part = F.substring(text, begin + 1, F.element_at(g, -1)["end"] - begin)
+            return bind(part, lambda p: F.transform(g, lambda x: F.substring(p, x["start"] - begin + 1, x["end"] - x["start"])))
+
+        groups = F.transform(F.sequence(F.lit(0), F.ceil(F.size(s) / width).cast("int") - 1), lambda i: F.slice(s, i * width + 1, width))
+        return F.flatten(F.transform(groups, one))
+
+    none = F.array().cast("array<string>")
+    return bind(spans, lambda s: F.when(F.size(s) == 0, none).otherwise(bind(F.ceil(F.sqrt(F.size(s))).cast("int"), lambda width: grouped(s, width))))
+
+
 def replace_spans(text: Column, spans: Column) -> Column:
     """text with each span (start, end, label) replaced by its label; spans are sorted and do not overlap.
 
