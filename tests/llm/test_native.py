@@ -313,3 +313,12 @@ def test_chat_ties_nulls_and_empty(spark):
     (got,) = chat.parse_chats(chat.format_chats(spark.createDataFrame(rows, schema))).collect()
     assert [(t.role, t.text) for t in got.turns] == [("assistant", "z"), ("user", "a"), ("user", "a"), ("user", "b")]
     assert got.formatted == "<turn assistant>z</turn>\n<turn user>a<part>a<part>b</turn>\n"
+
+
+def test_a_very_long_conversation(spark):
+    rows = [(1, i, "user" if i % 2 else "assistant", f"é<{i}> some words") for i in range(40_000)]
+    began = time.time()
+    (got,) = chat.chat_digest(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    loss = "".join(t for _, _, r, t in rows if r == "assistant")
+    assert (got.n_turns, got.loss_sha256) == (40_000, hashlib.sha256(loss.encode()).hexdigest())
+    assert time.time() - began < 60

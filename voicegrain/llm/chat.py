@@ -5,7 +5,7 @@ roles are escaped (`\\` to `\\e`, `<` to `\\l`; in roles also `>` to `\\g`), so
 read back exactly, merged turns included. Only Spark expressions are used.
 
 Cases: a null text is an empty text, a null role an empty role; turns are ordered by (turn, role, text), nulls first, so ties
-and repeated rows have one defined order and each row stays a turn; rows with a null conv_id form one conversation; an
+and repeated rows have one defined order and each row stays a turn; a conversation is one row, and work grows little faster than its turns; rows with a null conv_id form one conversation; an
 empty table gives an empty result; other columns are ignored, whatever their names.
 """
 
@@ -14,6 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import cut_spans, running
 from .shared import let
 
 OPEN, PART, CLOSE = "<turn ", "<part>", "</turn>\n"
@@ -90,22 +91,14 @@ def format_chats(conversations: DataFrame, assistant: str = "assistant") -> Data
         )
     )
     out = merged.select("conv_id", segments.alias("segments"))
-    spans = F.aggregate(
+    size = lambda s: F.length(s["text"])
+    placed = lambda ends: F.transform(
         "segments",
-        F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start:long,length:long>>").alias("spans")),
-        lambda acc, s: F.struct(
-            (acc["at"] + F.length(s["text"])).alias("at"),
-            F.when(
-                s["loss"] & (F.length(s["text"]) > 0),
-                F.concat(
-                    acc["spans"],
-                    F.array(F.struct(acc["at"].alias("start"), F.length(s["text"]).cast("long").alias("length"))),
-                ),
-            )
-            .otherwise(acc["spans"])
-            .alias("spans"),
+        lambda s, i: F.when(
+            s["loss"] & (size(s) > 0), F.struct((F.get(ends, i) - size(s)).cast("long").alias("start"), size(s).cast("long").alias("length"))
         ),
-    )["spans"]
+    )
+    spans = F.filter(let(running(F.transform("segments", size), lambda a, b: a + b), placed), lambda m: m.isNotNull())
     return out.select(
         "conv_id", F.array_join(F.transform("segments", lambda s: s["text"]), "").alias("formatted"), spans.alias("mask")
     )
@@ -134,9 +127,8 @@ def parse_chats(formatted: DataFrame) -> DataFrame:
 
 def loss_text(formatted: Column, mask: Column) -> Column:
     """All text under the mask, unescaped, in order, with nothing between."""
-    return F.array_join(
-        F.transform(mask, lambda m: unescape(F.substring(formatted, (m["start"] + 1).cast("int"), m["length"].cast("int")))), ""
-    )
+    spans = F.transform(mask, lambda m: F.struct(m["start"].cast("int").alias("start"), (m["start"] + m["length"]).cast("int").alias("end")))
+    return F.array_join(F.transform(cut_spans(formatted, spans), unescape), "")
 
 
 def chat_digest(conversations: DataFrame) -> DataFrame:
