@@ -223,3 +223,51 @@ def positional_likeness(a, b, size, bound):
     at, other = dict(a), dict(b)
     shifts = Counter(other[x] - at[x] for x in covered if x in at and x in other)
     return sum(n for n in shifts.values() if n >= min(2, len(covered))) / len(covered)
+
+
+def classifier_features(text, bits, scale):
+    """{bucket: value} of one text as the docstring of quality_model has them, word by word. Only the hash of a single word is the library's."""
+    import numpy as np
+
+    from voicegrain.llm.hashing import mix, word_hashes
+
+    full = (1 << 64) - 1
+    mixed = lambda x: int(mix(np.array([x & full], np.uint64))[0])
+    spoken = [w.encode() for w in WORD.findall(text or "")]
+    hashes = [int(word_hashes(np.frombuffer(w, np.uint8), np.array([0, len(w)]))[0][0]) for w in spoken]
+    kind = lambda b: 1 if 65 <= b <= 90 else 2 if 97 <= b <= 122 or b >= 128 else 3 if 48 <= b <= 57 else 4
+    shapes = []
+    for i, w in enumerate(spoken):
+        again = sum(1 << back for back in (1, 2) if i >= back and hashes[i] == hashes[i - back])
+        shouted = int(len(w) > 2 and not any(97 <= b <= 122 for b in w))
+        ending = {2: 97, 3: 48}.get(kind(w[-1]), w[-1])
+        shapes.append(mixed((((kind(w[0]) * 256 + ending) * 2 + shouted) * 8 + again) ^ 0xA5A5A5A5A5A5))
+    out = defaultdict(float)
+    for number, grams in enumerate((hashes, shapes)):
+        pairs = [mixed(a * 3 + b + number) for a, b in zip(grams, grams[1:], strict=False)]
+        for found in (grams, pairs):
+            for g in found:
+                out[g & ((1 << bits) - 1)] += scale / len(found)
+    return dict(out)
+
+
+def ftrl(rows, size, epochs=6, alpha=0.5, beta=1.0, l1=1e-3, l2=1e-4):
+    """FTRL-proximal, one weight at a time; rows of ({bucket: value}, label), the last weight is the bias."""
+    import math
+
+    z, n = [0.0] * (size + 1), [0.0] * (size + 1)
+
+    def weight(i):
+        return 0.0 if abs(z[i]) <= l1 else -(z[i] - math.copysign(l1, z[i])) / ((beta + math.sqrt(n[i])) / alpha + l2)
+
+    for _ in range(epochs):
+        for row, label in rows:
+            values = {**row, size: 1.0}
+            w = {i: weight(i) for i in values}
+            wx = max(-30.0, min(30.0, sum(w[i] * x for i, x in values.items())))
+            error = 1 / (1 + math.exp(-wx)) - label
+            for i, x in values.items():
+                g = error * x
+                z[i] += g - (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) / alpha * w[i]
+                n[i] += g * g
+    return [weight(i) for i in range(size + 1)]

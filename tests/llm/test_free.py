@@ -10,7 +10,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
-from brute import base_rules, lm_scores
+from brute import base_rules, classifier_features, ftrl, lm_scores
 from tiktoken.load import load_tiktoken_bpe
 from tokenizers import Tokenizer
 
@@ -224,6 +224,22 @@ def test_classifier_separates_held_out_rows(spark):
     assert all(0 <= r.score <= 1 for r in got.values())
 
 
+def test_classifier_equals_a_plain_version(spark):
+    rng = random.Random(10)
+    texts = [" ".join(rng.choices(["Good", "good", "BAD", "bad", "x1", "7%", "été", "the", "the", "-"], k=rng.randint(1, 30))) for _ in range(60)] + ["", None]
+    labels = {i: int(rng.random() < 0.6) for i in range(len(texts))}
+    docs, size = documents(spark, texts + texts[:5]), 1 << quality_model.BITS
+    told = spark.createDataFrame([*labels.items(), *list(labels.items())[:9]], "doc_id long, quality int")
+    weights = quality_model.train(docs, told)
+    rank = {r.doc_id: r.h for r in docs.selectExpr("doc_id", "xxhash64(doc_id) AS h").collect()}
+    rows = [classifier_features(texts[i], quality_model.BITS, quality_model.SCALE) for i in range(len(texts))]
+    plain = ftrl([(rows[i], labels[i]) for i in sorted(labels, key=lambda i: rank[i])], size)
+    assert np.abs(np.frombuffer(weights, "<f4") - np.array(plain)).max() < 1e-4
+    for r in quality_model.score(docs, weights).collect():
+        dot = sum(plain[b] * v for b, v in rows[r.doc_id % len(texts)].items()) + plain[-1]
+        assert abs(r.score - 1 / (1 + np.exp(-dot))) < 1e-4
+
+
 def test_classifier_edge_cases(spark):
     none = spark.createDataFrame([], "doc_id long, quality int")
     texts = [None, "", " ", "word", "long " * 50_000]
