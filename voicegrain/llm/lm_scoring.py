@@ -31,6 +31,8 @@ from .shared import words
 MIN_COUNT, BACKOFF = 2, 0.4
 #: Characters of text in a block, about; bits of a hash that name its range.
 BLOCK_CHARS, PART_BITS = 24_000_000, 16
+#: Records of n-grams that are sent on at once.
+SENT_ROWS = 4_096
 #: Repeated rows are given back in groups of so many.
 COPIES = 1_000
 
@@ -54,17 +56,29 @@ def _grams(column: pa.ChunkedArray, order: int) -> Iterator[tuple[int, int, np.n
 
 def _counted(grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct n-grams, and how often each is there. Sorts grams in place."""
+    if not len(grams):
+        return grams, np.zeros(0, np.int64)
     grams.sort()
-    begin = np.flatnonzero(np.append(True, grams[1:] != grams[:-1])) if len(grams) else np.zeros(0, np.int64)
-    return grams[begin], np.diff(np.append(begin, len(grams)))
+    fresh = np.empty(len(grams), bool)
+    fresh[0] = True
+    np.not_equal(grams[1:], grams[:-1], out=fresh[1:])
+    begin = np.flatnonzero(fresh)
+    n = np.empty(len(begin), np.int64)
+    np.subtract(begin[1:], begin[:-1], out=n[:-1])
+    n[-1] = len(grams) - begin[-1]
+    del begin
+    return grams[fresh], n
 
 
 def _all(column: pa.ChunkedArray, order: int) -> np.ndarray:
-    """All n-grams of some texts."""
-    found = [np.zeros(0, np.uint64)]
-    for _, _, _, grams in _grams(column, order):
-        found += [g for g, _ in grams]
-    return np.concatenate(found)
+    """All n-grams of some texts, put into one array (two bytes make a word at most, and untouched memory costs nothing)."""
+    size = pc.sum(pc.binary_length(column)).as_py() or 0
+    out, used = np.empty(order * ((size + len(column)) // 2 + 1), np.uint64), 0
+    for _, _, _, found in _grams(column, order):
+        for grams, _ in found:
+            out[used : used + len(grams)] = grams
+            used += len(grams)
+    return out[:used]
 
 
 def _distinct(table: pa.Table, order: int) -> tuple[np.ndarray, np.ndarray]:
@@ -92,7 +106,7 @@ def _exploded(order: int):
         begin = np.flatnonzero(np.append(True, part[1:] != part[:-1])) if len(part) else np.zeros(0, np.int64)
         at = pa.array(np.append(begin, len(part)), pa.int32())
         block = table["block"][0].as_py() if table.num_rows else 0
-        return pa.table(
+        out = pa.table(
             {
                 "block": pa.array(np.full(len(begin), block, np.int64)),
                 "part": pa.array(part[begin]),
@@ -100,6 +114,7 @@ def _exploded(order: int):
                 "n": pa.ListArray.from_arrays(at, pa.array(n)),
             }
         )
+        return pa.Table.from_batches(out.to_batches(max_chunksize=SENT_ROWS), out.schema)
 
     return run
 
