@@ -512,6 +512,38 @@ def metrics_snapshots(spark, d):
     return trends.snapshots(units(spark, d))
 
 
+@query(f"""WITH {UNITS} SELECT CAST(date_trunc('week', unit_date) AS DATE) AS week, count(*) AS n_units, count(DISTINCT topic_id) AS n_topics,
+  CAST(round(CAST(avg(polarity) AS DECIMAL(28, 12)), 6) AS DOUBLE) AS mean_polarity FROM u GROUP BY 1""")
+def metrics_snapshots_weekly(spark, d):
+    return trends.snapshots(units(spark, d), "week")
+
+
+@query(f"WITH {UNITS} SELECT {UNIT_COLUMNS} FROM u WHERE unit_date > (SELECT max(unit_date) FROM u) - 30")
+def explorer_default_window(spark, d):
+    return explorer.default_window(units(spark, d)).select(*UNIT_COLUMNS.split(", "))
+
+
+@query(f"""
+WITH {UNITS}, f AS (SELECT account_id, min(unit_date) AS day FROM u GROUP BY account_id),
+d AS (SELECT day, count(*) AS n_new FROM u JOIN f ON f.account_id = u.account_id AND f.day = u.unit_date GROUP BY day)
+SELECT day, n_new, n_new > (SELECT avg(n_new) + 2.5::DOUBLE * stddev_pop(n_new) FROM d) AS spike FROM d""")
+def new_account_spikes(spark, d):
+    return review.new_account_spikes(units(spark, d))
+
+
+@query(f"""
+WITH p AS (SELECT lang AS gold, guessed AS predicted FROM ({ORACLES['language_detection']}) WHERE lang IS NOT NULL),
+c AS (SELECT gold, predicted, count(*) AS n FROM p GROUP BY gold, predicted),
+g AS (SELECT gold AS label, sum(n)::DOUBLE AS told FROM c GROUP BY gold), s AS (SELECT predicted AS label, sum(n)::DOUBLE AS said FROM c GROUP BY predicted),
+e AS (SELECT coalesce(told, 0) AS told, coalesce(said, 0) AS said, coalesce(c.n, 0)::DOUBLE AS hit FROM g FULL JOIN s ON s.label = g.label LEFT JOIN c ON c.gold = g.label AND c.predicted = g.label),
+t AS (SELECT sum(told) AS n, sum(hit) / sum(told) AS po, avg(2 * hit / (told + said)) AS f1, sum(told * said) / (sum(told) * sum(told)) AS pe FROM e)
+SELECT n::BIGINT AS n, round(po, 6) AS accuracy, round(f1, 6) AS macro_f1, round((po - pe) / (1 - pe), 6) AS kappa FROM t""")
+def language_agreement(spark, d):
+    """Labels of more than two kinds: the languages that rules guess against those that the table tells."""
+    found = language_detection(spark, d).where(F.col("lang").isNotNull())
+    return review.label_agreement(found.select(F.col("lang").alias("gold"), F.col("guessed").alias("predicted")))
+
+
 # Similarity and topics
 
 

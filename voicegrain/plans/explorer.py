@@ -136,3 +136,9 @@ def edit_collection(collections: DataFrame, collection_id: int, add: tuple = (),
 def export_csv(df: DataFrame, path: str) -> None:
     """Every cell quoted, quotes inside cells doubled, with a header."""
     df.write.option("header", True).option("quoteAll", True).option("escape", '"').mode("overwrite").csv(path)
+
+
+def default_window(units: DataFrame, days: int = 30) -> DataFrame:
+    """Units of the last days before the newest one."""
+    newest = units.agg(F.date_sub(F.max("unit_date"), days).alias("__since"))
+    return units.join(F.broadcast(newest), F.col("unit_date") > F.col("__since")).drop("__since")  # one row

@@ -61,6 +61,28 @@ def agreement(pairs: DataFrame) -> DataFrame:
     )
 
 
+def label_agreement(pairs: DataFrame) -> DataFrame:
+    """One row for labels of any number (gold, predicted): n, accuracy, macro_f1 (over labels that either side has), kappa."""
+    c = confusion(pairs)
+    of = lambda side, name: c.groupBy(F.col(side).alias("label")).agg(F.sum("n").alias(name))
+    hits = c.where(F.col("gold") == F.col("predicted")).select(F.col("gold").alias("label"), F.col("n").alias("hit"))
+    each = of("gold", "told").join(of("predicted", "said"), "label", "full").join(hits, "label", "left").na.fill(0, ["told", "said", "hit"])
+    f1 = F.col("hit") * 2 / (F.col("told") + F.col("said"))
+    sums = each.agg(
+        F.sum("told").alias("n"), F.sum("hit").alias("hits"), F.avg(f1).alias("f1"), F.sum(F.col("told").cast("double") * F.col("said")).alias("chance")
+    ).select("n", F.try_divide("hits", "n").alias("po"), "f1", F.try_divide(F.col("chance"), F.col("n").cast("double") * F.col("n")).alias("pe"))
+    r = lambda x, name: F.round(x, 6).alias(name)
+    return sums.select("n", r(F.col("po"), "accuracy"), r(F.col("f1"), "macro_f1"), r(F.try_divide(F.col("po") - F.col("pe"), 1 - F.col("pe")), "kappa"))
+
+
+def new_account_spikes(units: DataFrame, sigmas: float = 2.5) -> DataFrame:
+    """day, n_new, spike: units of accounts on the day that they were first seen; a spike lies over the mean of all days by so many deviations."""
+    first = units.groupBy("account_id").agg(F.min("unit_date").alias("unit_date"))
+    days = units.join(first, ["account_id", "unit_date"]).groupBy(F.col("unit_date").alias("day")).agg(F.count("*").alias("n_new"))
+    usual = days.agg(F.avg("n_new").alias("m"), F.stddev_pop("n_new").alias("s"))
+    return days.join(F.broadcast(usual), F.lit(True)).select("day", "n_new", (F.col("n_new") > F.col("m") + sigmas * F.col("s")).alias("spike"))  # one row
+
+
 STAGES = ("intake", "analyzed", "triaged", "assigned", "resolved")
 
 

@@ -122,6 +122,7 @@ def executive_inputs(impacts: DataFrame, stats: DataFrame, k: int = 5) -> DataFr
     return top.select("topic_id", "impact", "unit_count", line.alias("line"))
 
 
-def snapshots(units: DataFrame) -> DataFrame:
-    """Daily figures to store: day, n_units, n_topics, mean_polarity."""
-    return units.groupBy(F.col("unit_date").alias("day")).agg(F.count("*").alias("n_units"), F.count_distinct("topic_id").alias("n_topics"), r6(F.avg("polarity")).alias("mean_polarity"))
+def snapshots(units: DataFrame, grain: str = "day") -> DataFrame:
+    """Figures to store for each day, or week (its Monday): day or week, n_units, n_topics, mean_polarity."""
+    period = F.col("unit_date") if grain == "day" else F.date_trunc(grain, "unit_date").cast("date")
+    return units.groupBy(period.alias(grain)).agg(F.count("*").alias("n_units"), F.count_distinct("topic_id").alias("n_topics"), r6(F.avg("polarity")).alias("mean_polarity"))
