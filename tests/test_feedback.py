@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 from voicegrain.config import Settings
 from voicegrain.functions import text
 from voicegrain.operators import extract, pii, similarity, topics, unitize
-from voicegrain.operators.backend import Recorded
-from voicegrain.operators.store import Store, integrity
+from voicegrain.operators.backend import Live, Recorded
+from voicegrain.operators.store import Store, insert_ignore, integrity
 from voicegrain.plans import catalog, explorer, review
 from voicegrain.sources import adapters
 from voicegrain.streaming import job
@@ -201,3 +201,77 @@ def test_every_query_has_rows_or_a_stable_schema(spark):
     for name in ("top_topics_by_intent", "global_search", "stream_windows_session", "review_queue", "conversation_signals"):
         assert catalog.QUERIES[name](spark, SF).columns
     assert set(catalog.ORACLES) <= set(catalog.QUERIES)
+
+
+def test_quoted_numbers_and_what_is_no_number(spark):
+    raw = json.dumps({"polarity": "0.5", "confidence": 0.25, "sarcasm": "true", "emotions": [{"emotion": "joy", "confidence": "0.9"}, {"emotion": "calm", "confidence": "much"}]})
+    got = one(spark, text.parse_sentiment(F.lit(raw)))
+    assert (got.polarity, got.confidence, got.sarcasm_flag) == (0.5, 0.25, True)
+    assert [tuple(e) for e in got.emotions] == [("joy", 0.9), ("calm", 0.0)]
+    assert one(spark, text.parse_sentiment(F.lit('{"polarity": "bad"}'))).polarity == 0.0
+
+
+def test_a_failed_call_costs_its_own_item_only(spark):
+    def client(kind):
+        def ask(prompts):
+            if any("bad" in p for p in prompts):
+                raise ValueError("no")
+            return [p.upper() for p in prompts]
+
+        return ask
+
+    rows = spark.createDataFrame([(i, p) for i, p in enumerate(["a", "bad", "c"])], "unit_id int, prompt string").coalesce(1)
+    got = {r.unit_id: (r.raw, r.error) for r in Live(client).complete(rows, "topic").collect()}
+    assert got == {0: ("A", None), 1: (None, "topic: ValueError: no"), 2: ("C", None)}
+
+
+def test_a_model_splits_records_where_it_can(spark, tmp_path):
+    said = "The app is slow and the price is fine"
+    parts = json.dumps([{"text": "The app is slow", "char_start": 0, "char_end": 15}, {"text": "the price is fine", "char_start": 0, "char_end": 3}])
+    answers = spark.createDataFrame([("unitize", said, parts)], "kind string, prompt string, raw string")
+    backend = Recorded(answers.select("kind", F.sha2("prompt", 256).alias("prompt_hash"), "raw"), kinds=None)
+    good, _ = adapters.parse_messages(spark.createDataFrame([(json.dumps({"id": "r1", "raw_text": said}),)], "value string"))
+    store = Store(spark, str(tmp_path / "store"))
+    assert job.process(good, 0, store, backend, Settings())
+    assert sorted((r.text, r.char_start, r.char_end) for r in store.read("feedback_units").collect()) == [("The app is slow", 0, 15), ("the price is fine", 20, 37)]
+
+
+def test_parts_of_the_store_join_and_keys_have_one_choice(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "store"))
+    for i in range(3):
+        good, _ = adapters.parse_messages(spark.createDataFrame([(json.dumps({"id": f"r{i}", "raw_text": f"Word{i} is slow."}),)], "value string"))
+        assert job.process(good, i, store, job.rule_backend(), Settings())
+    view = lambda: {n: sorted(map(str, store.read(n).collect())) for n in ("topics", "feedback_units", "unit_sentiments", "dedup_index", "topic_index")}
+    before = view()
+    assert len(before["feedback_units"]) == 3 == len(store.versions())
+    store.compact()
+    assert view() == before and len(store.versions()) == 1 and store.has(2) and not store.has(3)
+    rows = spark.createDataFrame([("a", 3), ("a", 1), ("b", 2), ("c", 9)], "k string, v int")
+    old = spark.createDataFrame([("c", 0)], "k string, v int")
+    for n in (1, 4):
+        assert sorted(map(tuple, insert_ignore(old, rows.repartition(n), "k").collect())) == [("a", 1), ("b", 2), ("c", 0)]
+
+
+def test_edges_between_equal_a_loop(spark):
+    rng = np.random.default_rng(5)
+    vectors = [(i, rng.normal(size=4).astype(np.float32).tolist()) for i in range(60)]
+    df = spark.createDataFrame(vectors, "seq long, embedding array<float>")
+    got = {(r.a, r.b) for r in similarity.edges_between(df.where("seq >= 30"), df.where("seq < 40"), 0.6, block=16).collect()}
+    m = np.array([v for _, v in vectors])
+    m /= np.linalg.norm(m, axis=1, keepdims=True)
+    assert got == {(a, b) for a in range(40) for b in range(30, 60) if a < b and m[a] @ m[b] >= 0.6} and got
+
+
+def test_evidence_of_every_length(spark):
+    units = spark.createDataFrame([(1, "one two three four five six seven eight nine ten eleven"), (2, "xtwo three fourx"), (3, None)], "doc_id long, text string")
+    told = ["two three four five six seven eight nine ten eleven", "two three four", "hree", "three four", "absent", "", "one two three four five"]
+    evidence = spark.createDataFrame(list(enumerate(told)), "item_id int, evidence string")
+    got = {r.item_id: r.n_grounded for r in extract.evidence_counts(units, evidence).collect()}
+    assert got == {0: 1, 1: 2, 2: 2, 3: 2, 4: 0, 5: 2, 6: 1}
+
+
+def test_spans_in_long_texts(spark):
+    said = "call (555) 867-5309 or mail a.b@cd.org, " * 3000
+    docs = spark.createDataFrame([("x", said)], "id string, raw_text string")
+    got = pii.redact(docs).head()
+    assert got.clean_text == "call [PHONE] or mail [EMAIL], " * 3000 and len(got.pii_spans) == 6000
