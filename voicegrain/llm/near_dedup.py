@@ -246,17 +246,18 @@ def _every(blocks: str):
     return F.explode(F.sequence(F.lit(0).cast("long"), F.col(blocks) - 1))
 
 
-def _compared(placed: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+def _compared(placed: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
     """a, b: links on full sets. placed: family, pair, side, node; of each family and pair the nodes of side 0 are compared with those of side 1."""
-    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # set, as what a byte of sets costs is far above the usual
-    text = docs.join(placed.select(F.col("node").alias("doc_id")).distinct().hint("merge"), "doc_id", "left_semi")
-    rows = placed.join(text.withColumnRenamed("doc_id", "node").hint("merge"), "node")
+    tasks = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # set, as what a byte of sets costs is far above the usual
+    rows = placed.join(texts.hint("merge"), "node")
     rows = rows.repartition(tasks, "family", "pair").sortWithinPartitions("family", "pair", "side")
     return materialize(rows.mapInArrow(_confirmed(k, percent), "a long, b long"), "links")
 
 
 def _confirm(family: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
     """a, b: links that join whatever members of one family are connected by links. family: node, family, n, popularity."""
+    texts = docs.withColumnRenamed("doc_id", "node").join(family.select("node").distinct().hint("merge"), "node", "left_semi")
+    texts = materialize(texts, "family-texts")  # so that the other texts are shuffled once
     centres = family.groupBy("family").agg(
         F.min(F.struct(-F.col("popularity"), "node"))["node"].alias("centre"), F.count("*").alias("members"), F.sum("n").alias("all")
     )
@@ -264,7 +265,7 @@ def _confirm(family: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFr
     around = family.join(centres, "family").where(F.col("node") != F.col("centre"))
     around = around.select("family", _own("blocks", 5).alias("pair"), F.lit(1).alias("side"), "node")
     centre = centres.select("family", _every("blocks").alias("pair"), F.lit(0).alias("side"), F.col("centre").alias("node"))
-    linked = _compared(around.unionByName(centre), docs, k, percent)
+    linked = _compared(around.unionByName(centre), texts, k, percent)
 
     met = linked.select(F.col("a").alias("node")).unionByName(linked.select(F.col("b").alias("node"))).distinct()
     left = family.join(centres, "family").where(F.col("node") != F.col("centre")).join(met.hint("merge"), "node", "left_anti")
@@ -276,7 +277,7 @@ def _confirm(family: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFr
     some = some.select("family", pair(_own("rows", 7), F.col("column")), F.lit(0).alias("side"), "node")
     others = family.join(rows, "family").withColumn("row", _every("rows"))
     others = others.select("family", pair(F.col("row"), _own("blocks", 5)), F.lit(1).alias("side"), "node")
-    return linked.unionByName(_compared(some.unionByName(others), docs, k, percent))
+    return linked.unionByName(_compared(some.unionByName(others), texts, k, percent))
 
 
 def near_groups(documents: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
