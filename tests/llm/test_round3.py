@@ -1,0 +1,233 @@
+"""Importance resampling, centroid clustering and main text, against plain versions."""
+
+import hashlib
+import math
+import random
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import pytest
+
+from voicegrain.llm import importance, main_text, metric_trees
+
+# Importance resampling
+
+
+def features(text, order):
+    w = re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
+    return w, [" ".join(w[i : i + n]) for n in range(1, order + 1) for i in range(len(w) - n + 1)]
+
+
+def plain_resample(rows, target, percent, min_words, seed, buckets, order):
+    bucket = lambda f: zlib.crc32(f.encode()) % buckets
+    s, t = Counter(), Counter()
+    for _, text in rows:
+        s.update(map(bucket, features(text, order)[1]))
+    for text in target:
+        t.update(map(bucket, features(text, order)[1]))
+    big_s, big_t = sum(s.values()), sum(t.values())
+    gain = [math.floor(1000 * math.log((t[b] + 1) * (big_s + buckets) / ((s[b] + 1) * (big_t + buckets)))) for b in range(buckets)]
+    out = []
+    for doc_id, text in rows:
+        w, f = features(text, order)
+        weight = sum(gain[bucket(x)] for x in f) // len(f) if f else 0
+        h = int(hashlib.sha256(f"{seed}:{'' if doc_id is None else doc_id}".encode()).hexdigest()[:8], 16)
+        out.append([doc_id, len(f), weight, weight + math.floor(-1000 * math.log(-math.log((h + 0.5) / 4294967296))), None, len(w)])
+    long_enough = sorted((r for r in out if r[5] >= min_words), key=lambda r: (-r[3], math.inf if r[0] is None else r[0]))
+    for rank, r in enumerate(long_enough[: percent * len(long_enough) // 100], 1):
+        r[4] = rank
+    return sorted((tuple(r[:5]) for r in out), key=repr)
+
+
+ODD = ["The", "the", "cat", "Ünïcode", "日本", "x1", "-", "...", "don't", "A_b", "\n", "\t", "É", "dog", "7", "\x00"]
+
+
+def odd_documents(n=300):
+    rng = random.Random(5)
+    rows = [(i, " ".join(rng.choices(ODD, k=rng.randint(0, 60)))) for i in range(n)]
+    return rows + [(n, None), (n + 1, ""), (None, "the cat sat " * 9), (None, "the cat sat " * 9), (3, rows[3][1]), (3, rows[3][1]), (n + 2, "cat dog " * 5_000), (n + 3, "a" * 5_000)]
+
+
+@pytest.mark.parametrize(("order", "buckets"), [(1, 50), (2, 10_000), (3, 997)])
+def test_resampling_equals_plain_version(spark, order, buckets):
+    rows, target = odd_documents(), ["the cat and the dog", None, "", "Cat cat x1"]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 AS score", "2 AS rank", "3 AS part", "4 AS n_words").repartition(5)
+    got = importance.resample(docs, spark.createDataFrame([(t,) for t in target], "text string"), buckets=buckets, order=order)
+    assert got.columns == ["doc_id", "n_features", "weight", "score", "rank"]
+    assert sorted((tuple(r) for r in got.collect()), key=repr) == plain_resample(rows, target, 25, 20, 7, buckets, order)
+
+
+@pytest.mark.parametrize("order", [1, 2, 3])
+def test_tries_that_are_thrown_away_and_texts_in_pieces_lose_nothing(spark, monkeypatch, order):
+    rows = odd_documents(80)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    small = {"NODES": 5, "PIECE": 3}
+
+    def totals(batches):
+        import pyarrow as pa
+
+        for name, value in small.items():
+            setattr(importance, name, value)
+        counts, trie, n = Counter(), importance.Trie(order, lambda state: 0), 0
+        for batch in batches:
+            for text in batch["text"].to_pylist():
+                ends, last = [], []
+                for piece in importance.words(text):
+                    for word in piece:
+                        ends = trie.step(ends, word)
+                        for node in ends:
+                            node[0] += 1
+                            n += 1
+                    last = [*last, *piece[1 - order :]][1 - order :] if order > 1 else []
+                    if trie.nodes > importance.NODES:
+                        for value, state, _ in trie:
+                            counts[state % 101] += value
+                        ends = trie.restart(last)
+        for value, state, _ in trie:
+            counts[state % 101] += value
+        yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.int64()), pa.array(list(counts.values()), pa.int64())], ["bucket", "n"])
+
+    got = {r.bucket: r.n for r in docs.mapInArrow(totals, "bucket long, n long").collect() if r.n}
+    want = Counter(zlib.crc32(f.encode()) % 101 for _, text in rows for f in features(text, order)[1])
+    assert got == dict(want)
+
+
+def test_resampling_without_documents_or_target(spark):
+    none = spark.createDataFrame([], "doc_id long, text string")
+    assert importance.resample(none, none.select("text")).count() == 0
+    docs = spark.createDataFrame([(i, f"word{i} " * 25) for i in range(8)], "doc_id long, text string")
+    assert sorted(r["rank"] for r in importance.resample(docs, none.select("text")).where("rank IS NOT NULL").collect()) == [1, 2]
+
+
+# Centroid clustering
+
+
+def plain_clusters(rows, size, k, rounds):
+    kept = [(i, [math.floor(64 * float(x)) for x in e]) for i, e in rows if e is not None and len(e) == size and all(x is not None and math.isfinite(x) for x in e)]
+    order = sorted(kept, key=lambda r: (r[0] is None, hashlib.sha256(f"1:{r[0]}".encode()).hexdigest() if r[0] is not None else "", r[1]))
+    centroids = [v for _, v in order[:k]]
+    away = lambda v, c: sum((a - b) ** 2 for a, b in zip(v, c, strict=True))
+    near = lambda v: min(range(len(centroids)), key=lambda c: (away(v, centroids[c]), c))
+    for _ in range(rounds):
+        groups = {}
+        for _, v in kept:
+            groups.setdefault(near(v), []).append(v)
+        centroids = [[sum(x) // len(groups[c]) for x in zip(*groups[c], strict=True)] if c in groups else centroids[c] for c in range(len(centroids))]
+    out = [(i, near(v), away(v, centroids[near(v)])) for i, v in kept]
+    inertia = Counter()
+    for _, c, d in out:
+        inertia[c] += d
+    digest = [hashlib.sha256(",".join(map(str, c)).encode()).hexdigest() for c in centroids]
+    return sorted(((i, c, d, inertia[c], sum(inertia.values()), digest[c]) for i, c, d in out), key=repr)
+
+
+def vectors(kind, size):
+    rng = np.random.default_rng(4)
+    if kind == "random":
+        e = rng.normal(size=(700, size))
+    elif kind == "clustered":
+        e = rng.normal(size=(6, size))[rng.integers(0, 6, 900)] * 5 + rng.normal(size=(900, size)) * 0.01
+    elif kind == "copies":
+        e = np.concatenate([np.ones((600, size)), rng.normal(size=(60, size))])
+    else:
+        e = rng.normal(size=(5, size))
+    rows = [(i, [float(np.float32(x)) for x in v]) for i, v in enumerate(e)]
+    odd = [(9001, None), (9002, [1.0] * (size - 1)), (9003, [None] * size), (9004, [math.nan] * size), (9005, [math.inf] * size), (9006, [-0.01] * size), (9006, [-0.01] * size), (None, [0.5] * size), (9007, [])]
+    return rows + odd
+
+
+@pytest.mark.parametrize(("kind", "size", "rounds"), [("random", 64, 3), ("clustered", 64, 3), ("copies", 64, 2), ("few", 64, 3), ("clustered", 3, 4), ("copies", 8, 0)])
+def test_clusters_equal_plain_version(spark, kind, size, rounds):
+    rows = vectors(kind, size)
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<float>").selectExpr("*", "1 AS cluster", "2 AS v", "3 AS distance").repartition(3)
+    got = metric_trees.cluster(table, rounds=rounds, size=size)
+    assert sorted((tuple(r) for r in got.collect()), key=repr) == plain_clusters(rows, size, 16, rounds)
+
+
+def test_whole_balls_are_taken_where_vectors_are_clustered():
+    rng = np.random.default_rng(1)
+    middles = rng.integers(-500, 500, (8, 16))
+    points = (middles[rng.integers(0, 8, 2_000)] + rng.integers(-2, 3, (2_000, 16))).astype(np.int64)
+    order, sums, counts, radii = metric_trees.build(points)
+    assert sorted(order.tolist()) == list(range(2_000)) and counts[0] == 2_000 and (sums[0] == points.sum(axis=0)).all()
+    tree = metric_trees.Tree(points[order].astype(np.int32).tobytes(), sums.tobytes(), counts.tobytes(), radii.tobytes(), 16)
+    labels, taken, loose = tree.assign(middles.astype(np.float64))
+    assert (labels == metric_trees.squared(points[order], middles).argmin(axis=1)).all()
+    assert loose.sum() < 1_000 and sum(counts[n] for n, _ in taken) == 2_000 - loose.sum()
+
+
+def test_clusters_of_nothing_and_of_too_large_numbers(spark):
+    none = spark.createDataFrame([], "vec_id long, embedding array<float>")
+    assert metric_trees.cluster(none).count() == 0
+    assert metric_trees.cluster(spark.createDataFrame([(1, None)], "vec_id long, embedding array<float>")).count() == 0
+    with pytest.raises(Exception, match="beyond"):
+        metric_trees.cluster(spark.createDataFrame([(1, [1e9] * 64)], "vec_id long, embedding array<float>")).count()
+
+
+# Main text
+
+LONG = "It was a long day, and the river, which had risen, ran past the mill without a sound."
+MORE = "Nobody had seen the ferry, though the bell, as everyone knew, could be heard for miles."
+THIRD = "In the end they walked, slowly and in silence, along the northern bank until dusk."
+ARTICLE = "\n\n".join((LONG, MORE, THIRD))
+PARAGRAPHS = "".join(f"<p>{t}</p>" for t in (LONG, MORE, THIRD))
+MENU = '<nav><ul><li><a href="/a">Home</a></li><li><a href="/b">News, and more news of today</a></li></ul></nav>'
+COMMENTS = "".join(f"<p>I, too, think that comment number {i}, which is long, says a lot, really, about it all.</p>" for i in range(9))
+
+PAGES = {
+    "plain layout": (f"<html><head><title>T, t</title></head><body>{MENU}<div class=content>{PARAGRAPHS}</div><footer>© x, y</footer></body></html>", ARTICLE),
+    "class names": (
+        f'<body><div id="site-header">A header, with commas, and words, more words</div><div class="cookie-notice">We use cookies, as all do, and you agree to that.</div>'
+        f'<div class="post"><h1>Title</h1>{PARAGRAPHS}<div class="ad">Buy, buy, buy, now and here for a small price today.</div></div>'
+        f'<div class="sidebar"><p>Something else, entirely, that nobody reads but is long enough, sadly.</p></div><div id="comments">{COMMENTS}</div></body>',
+        f"Title\n\n{ARTICLE}",
+    ),
+    "article in main": (f"<main><article><h1>Title</h1>{PARAGRAPHS}</article><aside>{COMMENTS}</aside><section class=comments><article>{COMMENTS}</article></section></main>", f"Title\n\n{ARTICLE}"),
+    "sections": (f"<article><header><h1>Title</h1><p>skip this line, as it is in the header of it</p></header><section><p>{LONG}</p><p>{MORE}</p></section><section><p>{THIRD}</p></section></article>", f"Title\n\n{ARTICLE}"),
+    "not closed": (f"<body><nav><ul><li><a href=x>One<li><a href=y>Two</ul></nav><div><p><b>{LONG}<br><p>{MORE}<p>{THIRD}</div><footer>Foot, of the page", ARTICLE),
+    "menu not closed": (f"<body><nav><ul><li><a href=x>One</a></ul><article>{PARAGRAPHS}</article>", ARTICLE),
+    "references": ("<article><p>a &amp; b &lt;p&gt; &eacute;&#233;&#x1F600; &copy &nosuch; &amp;amp; x\n\t y&nbsp;z</p></article>", "a & b <p> éé😀 © &nosuch; &amp; x y z"),
+    "scripts": (f"<article><script>var t = '</p><p>{MORE}';</script><style>p{{}}</style>{PARAGRAPHS}<noscript><p>none</p></noscript><!-- <p>gone</p> --></article>", ARTICLE),
+    "forms": (f"<div><form><p>Your name, please, and your address, and all else</p><input></form>{PARAGRAPHS}<button>Send</button></div>", ARTICLE),
+    "short": ("<body><nav>menu</nav><article><p>One.</p><p>Two.</p></article></body>", "One.\n\nTwo."),
+    "lists": (f"<div><p>{LONG}</p><ul><li>first</li><li>second</li></ul><p>{MORE}</p><blockquote>{THIRD}</blockquote></div>", f"{LONG}\n\nfirst\n\nsecond\n\n{MORE}\n\n{THIRD}"),
+    "links": (f'<div><p>{LONG}</p><p>{MORE}</p></div><div><p><a href="/x">{THIRD}</a></p><p><a href="/y">{LONG}</a></p></div>', f"{LONG}\n\n{MORE}"),
+    "inline": ("<article><p>un<b>bro</b>ken <i>words</i> and<br>lines</p></article>", "unbroken words and lines"),
+    "quotes": (f'<article><p title="a > b">{LONG}</p><p class="x>{MORE}</p></article>', f"{LONG}\n\n{MORE}"),
+    "no markup": (f"{LONG} 1 < 2", f"{LONG} 1 < 2"),
+    "hidden": (f'<article>{PARAGRAPHS}<p style="display: none">{LONG}</p><p hidden>{LONG}</p></article>', ARTICLE),
+    "roles": (f'<div role="banner">{COMMENTS}</div><div class="main">{PARAGRAPHS}</div><div role="contentinfo">{COMMENTS}</div>', ARTICLE),
+    "everything out": (f'<div class="sidebar">{PARAGRAPHS}</div>', ARTICLE),
+    "table": (f"<article>{PARAGRAPHS}<table><tr><td>a<td>b<tr><td>c</table></article>", f"{ARTICLE}\n\na\n\nb\n\nc"),
+    "upper case": (f"<ARTICLE><P>{LONG}</P><SCRIPT>x</SCRIPT></ARTICLE>", LONG),
+    "empty": ("", ""),
+    "markup alone": ("<html><body><div></div><p> </p></body></html>", ""),
+    "ends in a tag": (f"<article><p>{LONG}</p><p", LONG),
+}
+
+
+@pytest.mark.parametrize("name", PAGES)
+def test_main_text(name):
+    page, want = PAGES[name]
+    assert main_text.main_text(page) == want
+
+
+def test_main_text_takes_time_in_proportion_and_any_depth():
+    import time
+
+    for page in ("<div>" * 30_000, "<p" * 30_000, '<a "' * 30_000, "<!--" * 30_000, "<noscript>" * 30_000, "</p>" * 30_000, "<b>" * 30_000 + "</i>" * 30_000, "<script>" + "<" * 60_000, "&" * 60_000):
+        began = time.time()
+        main_text.main_text(page + f"<p>{LONG}</p>")
+        assert time.time() - began < 5, page[:20]
+    assert main_text.main_text("<div>" * 2_000 + f"<p>{LONG}</p>") == LONG
+    assert main_text.main_text(f"<article>{''.join(f'<p>{LONG} {i}</p>' for i in range(20_000))}</article>").count("\n\n") == 19_999
+
+
+def test_main_text_of_a_table(spark):
+    rows = [(1, "u", PAGES["plain layout"][0]), (1, "u", PAGES["plain layout"][0]), (None, None, None), (2, "v", "")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "1 AS text", "2 AS n_chars")
+    got = sorted((tuple(r) for r in main_text.extract(pages).collect()), key=repr)
+    assert got == sorted([(1, "u", ARTICLE, len(ARTICLE))] * 2 + [(None, None, "", 0), (2, "v", "", 0)], key=repr)
+    assert main_text.extract(pages.limit(0)).count() == 0

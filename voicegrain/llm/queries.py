@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, chat, lm_scoring, near_dedup, packing, private_data, quality_model, quality_rules, syncmers, warc
+from . import byte_bpe, chat, importance, lm_scoring, main_text, metric_trees, near_dedup, packing, private_data, quality_model, quality_rules, syncmers, warc
 from .shared import table
 
 
@@ -82,6 +82,18 @@ def op7_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_metric_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metric_trees.cluster(table(spark, sf_dir, "embeddings"))
+
+
+def op13_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text.extract(table(spark, sf_dir, "pages"))
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_near_dedup": op2_near_dedup,
@@ -93,11 +105,29 @@ QUERIES = {
     "op8_packing": op8_packing,
     "op9_syncmers": op9_syncmers,
     "op10_lm_scoring": op10_lm_scoring,
+    "op11_importance_resampling": op11_importance_resampling,
+    "op12_metric_trees": op12_metric_trees,
+    "op13_main_text": op13_main_text,
 }
 
 _WORDS = r"list_filter(regexp_split_to_array({text}, '[\x20\x09-\x0D]+'), lambda w: w <> '')"
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+
+
+def _round(n: int) -> str:
+    """A round of centroid clustering: a<n> is the assignment to c<n>, and c<n + 1> are the centroids after it."""
+    return f"""
+d{n} AS MATERIALIZED (
+  SELECT p.row, p.vec_id, c.c, CAST(list_sum(list_transform(range(1, 65), lambda i: (p.v[i] - c.v[i]) * (p.v[i] - c.v[i]))) AS BIGINT) AS d FROM p CROSS JOIN c{n} c),
+a{n} AS MATERIALIZED (SELECT row, any_value(vec_id) AS vec_id, arg_min(c, d * 64 + c) AS c, min(d) AS d FROM d{n} GROUP BY row),
+m{n} AS (
+  SELECT c, i, CAST(floor(sum(x) / CAST(count(*) AS DOUBLE)) AS BIGINT) AS x
+  FROM (SELECT a.c, unnest(range(1, 65)) AS i, unnest(p.v) AS x FROM a{n} a JOIN p ON p.row = a.row) GROUP BY c, i),
+c{n + 1} AS MATERIALIZED (
+  SELECT c.c, coalesce(m.v, c.v) AS v FROM c{n} c LEFT JOIN (SELECT c, list(x ORDER BY i) AS v FROM m{n} GROUP BY c) m ON m.c = c.c),"""
+
+
 ORACLES: dict[str, str] = {
     "op2_near_dedup": f"""
 WITH RECURSIVE w AS MATERIALIZED (SELECT doc_id, {_WORDS.format(text=_LOWER)} AS w FROM documents),
@@ -141,4 +171,23 @@ s AS (
   FROM g CROSS JOIN t JOIN one pw ON pw.w = g.w LEFT JOIN one pv ON pv.w = g.v LEFT JOIN two ON two.v = g.v AND two.w = g.w AND g.i > 1),
 m AS (SELECT doc_id, round(avg(x), 4) AS score FROM s GROUP BY doc_id)
 SELECT w.doc_id, CAST(len(w.w) AS BIGINT) AS n_words, m.score FROM w LEFT JOIN m ON m.doc_id = w.doc_id""",
+    "op12_metric_trees": f"""
+WITH p AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY vec_id) AS row, vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64),
+c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY h) - 1 AS c, v FROM (SELECT sha256('1:' || vec_id) AS h, v FROM p ORDER BY h LIMIT 16)),
+{"".join(_round(n) for n in range(3))}
+d AS (SELECT p.vec_id, p.row, c.c, CAST(list_sum(list_transform(range(1, 65), lambda i: (p.v[i] - c.v[i]) * (p.v[i] - c.v[i]))) AS BIGINT) AS d FROM p CROSS JOIN c3 c),
+a AS (SELECT row, any_value(vec_id) AS vec_id, arg_min(c, d * 64 + c) AS c, min(d) AS d FROM d GROUP BY row)
+SELECT a.vec_id, CAST(a.c AS INTEGER) AS cluster, a.d AS distance, CAST(sum(a.d) OVER (PARTITION BY a.c) AS BIGINT) AS cluster_inertia,
+  CAST(sum(a.d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c3.v, ',')) AS centroid_sha256
+FROM a JOIN c3 ON c3.c = a.c""",
+    # The given pages have one layout: an article of headings and paragraphs.
+    "op13_main_text": r"""
+WITH a AS (SELECT page_id, url, regexp_extract(coalesce(html, ''), '<article>(.*?)</article>', 1, 's') AS h FROM pages),
+b AS (
+  SELECT page_id, url, list_transform(regexp_split_to_array(replace(replace(h, '<b>', ''), '<br>', ' '), '<[^>]*>'), lambda x:
+    trim(regexp_replace(regexp_replace(regexp_replace(x, '&quot;?', '"', 'g'), '&amp;?', '&', 'g'), '\s+', ' ', 'g'))) AS b FROM a),
+t AS (SELECT page_id, url, array_to_string(list_filter(b, lambda x: x <> ''), chr(10) || chr(10)) AS text FROM b)
+SELECT page_id, url, text, CAST(length(text) AS BIGINT) AS n_chars FROM t""",
 }
