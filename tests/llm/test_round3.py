@@ -60,38 +60,25 @@ def test_resampling_equals_plain_version(spark, order, buckets):
 
 
 @pytest.mark.parametrize("order", [1, 2, 3])
-def test_tries_that_are_thrown_away_and_texts_in_pieces_lose_nothing(spark, monkeypatch, order):
-    rows = odd_documents(80)
-    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
-    small = {"NODES": 5, "PIECE": 3}
-
-    def totals(batches):
-        import pyarrow as pa
-
-        for name, value in small.items():
-            setattr(importance, name, value)
-        counts, trie, n = Counter(), importance.Trie(order, lambda state: 0), 0
-        for batch in batches:
-            for text in batch["text"].to_pylist():
-                ends, last = [], []
-                for piece in importance.words(text):
-                    for word in piece:
-                        ends = trie.step(ends, word)
-                        for node in ends:
-                            node[0] += 1
-                            n += 1
-                    last = [*last, *piece[1 - order :]][1 - order :] if order > 1 else []
-                    if trie.nodes > importance.NODES:
-                        for value, state, _ in trie:
-                            counts[state % 101] += value
-                        ends = trie.restart(last)
-        for value, state, _ in trie:
-            counts[state % 101] += value
-        yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.int64()), pa.array(list(counts.values()), pa.int64())], ["bucket", "n"])
-
-    got = {r.bucket: r.n for r in docs.mapInArrow(totals, "bucket long, n long").collect() if r.n}
-    want = Counter(zlib.crc32(f.encode()) % 101 for _, text in rows for f in features(text, order)[1])
-    assert got == dict(want)
+def test_texts_in_pieces_and_first_levels_thrown_away_lose_nothing(monkeypatch, order):
+    import pyarrow as pa
+
+    monkeypatch.setattr(importance, "PIECE", 3)
+    monkeypatch.setattr(importance, "NODES", 5)
+    texts = [text for _, text in odd_documents(80)[:-2]]
+    trie, met = importance.Trie(order), Counter()
+    for rows, some in importance.segments(pa.array(texts), order - 1):
+        for states, node, owner in trie.levels(some):
+            met.update((rows[o], int(states[n])) for n, o in zip(node, owner, strict=True))
+    assert met == Counter((row, zlib.crc32(x.encode())) for row, text in enumerate(texts) for x in features(text, order)[1])
+
+
+def test_crc_states_are_carried_over_words_of_any_length():
+    for length in (1, 2, 3, 31, 64, 1000, 65_537):
+        word = bytes(range(256)) * (length // 256 + 1)
+        for state in (0, 1, 0xFFFFFFFF, 0x12345678):
+            got = int(importance._through(importance._after(length), np.array(state))) ^ zlib.crc32(word[:length])
+            assert got == zlib.crc32(word[:length], state)
 
 
 def test_resampling_without_documents_or_target(spark):

@@ -1,10 +1,10 @@
 """Importance resampling: documents drawn by how much likelier their words are in a target corpus than in all documents.
 
-Features are all runs of 1 to `order` consecutive words, hashed by CRC-32 to a fixed number of buckets. Each task walks its texts through
-tries of words: a node is a run of words and holds the CRC state of its bytes, so that a longer run's bucket takes only the bytes of its last
-word. In the first pass nodes hold counts, which are added up by bucket when a trie is full and at the task's end; the totals of all tasks are
-merged. In the second pass nodes hold their bucket's gain, and a document's sum is taken while its words walk the same paths. Tries are
-thrown away at NODES nodes, so that memory is bounded; what they have counted is kept. Texts are read twice and never shuffled.
+Features are all runs of 1 to `order` consecutive words, hashed by CRC-32 to a fixed number of buckets. Each task makes tries of its texts'
+words, one for each PIECE bytes of text, level by level in arrays: a node is a distinct run of words, has the run without its last word as its parent, and
+holds the CRC state of its bytes, which comes from the parent's state and the CRC of the last word. In the first pass nodes hold counts, which
+are added up by bucket; the totals of all tasks are merged. In the second pass nodes hold their bucket's gain, and a document's sum is that over
+the nodes which its words lead to. The first level's words are kept from trie to trie, up to NODES of them. Texts are read twice and never shuffled.
 
 Ranks come from one range-partitioned sort of (score, doc_id): rows before a partition and the place in it, so that no task holds more than its range.
 
@@ -15,9 +15,12 @@ Only doc_id and text are read, so that clashing names do no harm.
 
 from __future__ import annotations
 
+import functools
+import itertools
 import math
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,8 +31,8 @@ from pyspark.sql import functions as F
 from .shared import materialize
 
 BUCKETS, ORDER = 10_000, 2
-#: A trie with more nodes is counted and thrown away.
-NODES = 150_000
+#: A first level with more words is thrown away.
+NODES = 400_000
 #: Bytes of text that are split into words at once.
 PIECE = 1_000_000
 _LETTERS = bytes(b if b >= 0x80 or chr(b).isalnum() else 0x20 for b in range(256))
@@ -38,77 +41,110 @@ TO_WORDS = _LETTERS.translate(bytes(b + 32 if 65 <= b <= 90 else b for b in rang
 _GAP = re.compile(rb"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]")
 
 
-def words(text: str | None) -> Iterator[list[bytes]]:
-    """The words of a text, a piece of it at a time."""
-    raw, at = (text or "").encode(), 0
-    while at < len(raw):
-        gap = _GAP.search(raw, at + PIECE)
-        end = gap.start() if gap else len(raw)
-        yield raw[at:end].translate(TO_WORDS).split()
-        at = end
+class Words(dict):
+    """The trie's first level: the number of each word, with its CRC and length."""
+
+    def __init__(self) -> None:
+        self.crc, self.length = array("q"), array("q")
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = number = len(self.crc)
+        self.crc.append(zlib.crc32(word))
+        self.length.append(len(word))
+        return number
+
+
+def _through(table: np.ndarray, state: np.ndarray, row=()) -> np.ndarray:
+    """A linear map of 32-bit numbers, given by its values for each byte at each of the four places; row picks one of several."""
+    out = table[(*row, 0, state & 255)]
+    for place in (1, 2, 3):
+        out = out ^ table[(*row, place, (state >> (8 * place)) & 255)]
+    return out
+
+
+_BYTES = np.arange(256, dtype=np.int64)
+_ONE = np.array([[zlib.crc32(bytes([b])) ^ zlib.crc32(b"\0") for b in range(256)], *(_BYTES << (8 * place) for place in range(3))])
+_SPACE = zlib.crc32(b" ")
+
+
+@functools.cache
+def _after(length: int) -> np.ndarray:
+    """The map of a CRC state that so many more bytes make, but for the bytes' own CRC."""
+    if length == 1:
+        return _ONE
+    half = _after(length // 2)
+    whole = _through(half, half)
+    return whole if length % 2 == 0 else _through(_ONE, whole)
 
 
 class Trie:
-    """Runs of words as paths. A node is [value, CRC state, children by word; None at the last level]; `found` gives a new node's value from its state."""
-
-    def __init__(self, order: int, found) -> None:
-        self.order, self.found = order, found
-        self.clear()
-
-    def clear(self) -> None:
-        self.root, self.nodes = [0, 0, {}], 0
-
-    def step(self, ends: list[list], word: bytes) -> list[list]:
-        """The nodes of all runs that end with word, the shortest first; ends: those of the runs that end before it."""
-        out = []
-        for parent in (self.root, *ends[: self.order - 1]):
-            node = parent[2].get(word)
-            if node is None:
-                state = zlib.crc32(word, zlib.crc32(b" ", parent[1]) if parent is not self.root else 0)
-                node = parent[2][word] = [self.found(state), state, {} if len(out) < self.order - 1 else None]
-                self.nodes += 1
-            out.append(node)
-        return out
-
-    def restart(self, last: list[bytes]) -> list[list]:
-        """Throws the nodes away; returns the new ones of the runs that end with the last words before."""
-        self.clear()
-        ends: list[list] = []
-        for word in last:
-            ends = self.step(ends, word)
-        return ends
-
-    def __iter__(self) -> Iterator[list]:
-        stack = list(self.root[2].values())
-        while stack:
-            node = stack.pop()
-            yield node
-            stack.extend((node[2] or {}).values())
+    """The runs of 1 to `order` words of some segments of texts, level by level.
+
+    A level's nodes are its distinct runs; node n of a level has the CRC states[n], and its parent is the run without the last word.
+    """
+
+    def __init__(self, order: int) -> None:
+        self.order = order
+        self.known = Words()
+
+    def levels(self, segments: list[tuple[list[bytes], int]]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """For each level: the states of its nodes; and of each feature in the order of the text, its node and its segment.
+
+        segments: words, and how many first ones belong to the segment before, whose runs are only continued.
+        """
+        if len(self.known) > NODES:
+            self.known = Words()
+        path = np.fromiter(map(self.known.__getitem__, itertools.chain.from_iterable(w for w, _ in segments)), np.int64)
+        sizes = np.array([len(w) for w, _ in segments], np.int64)
+        end = np.cumsum(sizes)
+        owner = np.repeat(np.arange(len(sizes)), sizes)
+        fresh = (end - sizes + np.array([lead for _, lead in segments], np.int64))[owner]
+        start = np.arange(len(path))
+        crc, length = np.array(self.known.crc, np.int64), np.array(self.known.length, np.int64)
+        words, node = np.unique(path, return_inverse=True)
+        states = crc[words]
+        for run in range(1, self.order + 1):
+            if run > 1:
+                inside = start + run <= end[owner]
+                start, owner, node, fresh = start[inside], owner[inside], node[inside], fresh[inside]
+                keys, node = np.unique(node * len(crc) + path[start + run - 1], return_inverse=True)
+                parent, word = keys // max(len(crc), 1), keys % max(len(crc), 1)
+                lengths, row = np.unique(length[word], return_inverse=True)
+                maps = np.array([_after(n) for n in lengths.tolist()], np.int64).reshape(-1, 4, 256)
+                states = _through(maps, _through(_ONE, states[parent]) ^ _SPACE, (row,)) ^ crc[word]
+            counted = start + run > fresh
+            yield states, node[counted], owner[counted]
+
+
+def segments(texts: pa.Array, lead: int) -> Iterator[tuple[list[int], list[tuple[list[bytes], int]]]]:
+    """The texts' words in segments, about PIECE bytes of text at a time: the rows, and (words, how many are those before)."""
+    rows, held, size = [], [], 0
+    for row, text in enumerate(texts):
+        raw, at, before = text.as_buffer().to_pybytes() if text.is_valid else b"", 0, []
+        while at < len(raw):
+            gap = _GAP.search(raw, at + PIECE)
+            end = gap.start() if gap else len(raw)
+            words = raw[at:end].translate(TO_WORDS).split()
+            rows.append(row)
+            held.append(([*before, *words], len(before)))
+            before = held[-1][0][-lead:] if lead else []
+            size, at = size + end - at, end
+            if size >= PIECE:
+                yield rows, held
+                rows, held, size = [], [], 0
+    if held:
+        yield rows, held
 
 
 def bucket_counts(texts: DataFrame, buckets: int = BUCKETS, order: int = ORDER) -> DataFrame:
     """bucket (int), n (long): how many features of all texts fall into each bucket that has any."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, trie = np.zeros(buckets, np.int64), Trie(order, lambda state: 0)
-
-        def add() -> None:
-            found = np.array([(state % buckets, n) for n, state, _ in trie], np.int64).reshape(-1, 2)
-            np.add.at(total, found[:, 0], found[:, 1])
-
+        total, trie = np.zeros(buckets, np.int64), Trie(order)
         for batch in batches:
-            for text in batch["text"]:
-                ends, last = [], []
-                for piece in words(text.as_py()):
-                    for word in piece:
-                        ends = trie.step(ends, word)
-                        for node in ends:
-                            node[0] += 1
-                    last = [*last, *piece[1 - order :]][1 - order :] if order > 1 else []
-                    if trie.nodes > NODES:
-                        add()
-                        ends = trie.restart(last)
-        add()
+            for _, some in segments(batch["text"], order - 1):
+                for states, node, _ in trie.levels(some):
+                    np.add.at(total, states % buckets, np.bincount(node, minlength=len(states)))
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], ["bucket", "n"])
 
@@ -127,25 +163,18 @@ def weigh(documents: DataFrame, gain: list[int], order: int = ORDER) -> DataFram
     """doc_id, n_words, n_features, weight (long): the floored mean of the gains of a document's features; gain: by bucket."""
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie = Trie(order, lambda state: gain[state % len(gain)])
+        trie, of_bucket = Trie(order), np.array(gain, np.int64)
         for batch in batches:
-            rows = []
-            for text in batch["text"]:
-                ends, last = [], []
-                n_words = n = total = 0
-                for piece in words(text.as_py()):
-                    for word in piece:
-                        ends = trie.step(ends, word)
-                        n += len(ends)
-                        for node in ends:
-                            total += node[0]
-                    n_words += len(piece)
-                    last = [*last, *piece[1 - order :]][1 - order :] if order > 1 else []
-                    if trie.nodes > NODES:
-                        ends = trie.restart(last)
-                rows.append((n_words, n, total // n if n else 0))
-            columns = [pa.array(c, pa.int64()) for c in zip(*rows, strict=True)] if rows else [pa.array([], pa.int64())] * 3
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], *columns], ["doc_id", "n_words", "n_features", "weight"])
+            n_words, n, total = np.zeros((3, batch.num_rows), np.int64)
+            for rows, some in segments(batch["text"], order - 1):
+                row = np.array(rows)
+                np.add.at(n_words, row, [len(w) - lead for w, lead in some])
+                for states, node, owner in trie.levels(some):
+                    gains_here = of_bucket[states % len(of_bucket)][node]
+                    np.add.at(n, row, np.bincount(owner, minlength=len(row)))
+                    np.add.at(total, row[owner], gains_here)
+            weight = total // np.maximum(n, 1)
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], *map(pa.array, (n_words, n, weight))], ["doc_id", "n_words", "n_features", "weight"])
 
     return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(score, "doc_id long, n_words long, n_features long, weight long")
 
