@@ -578,12 +578,16 @@ x AS (SELECT v.vec_id AS seq, c.seq IS NULL AS is_duplicate, CASE WHEN c.seq IS
 {last}"""
 
 
+#: The highest cosine of each canonical vector to the canonical ones before it.
+_BEFORE = """, h AS (SELECT c.seq, max(list_dot_product(p.e, q.e)) AS best FROM c JOIN w q ON q.vec_id = c.seq JOIN c d ON d.seq < c.seq JOIN w p ON p.vec_id = d.seq GROUP BY c.seq)
+SELECT x.seq, is_duplicate, canonical_seq, CASE WHEN is_duplicate THEN similarity ELSE round(coalesce(h.best, CAST(0 AS DOUBLE)), 6) END AS similarity FROM x LEFT JOIN h ON h.seq = x.seq"""
+
+
 def _leaders(spark: SparkSession, d: str, threshold: float) -> DataFrame:
-    v = vectors(spark, d)
-    return similarity.leaders(v, similarity.edges(v, threshold))
+    return similarity.dedup(vectors(spark, d), threshold)
 
 
-@query(_leader_sql(DEDUP_AT, "SELECT * FROM x"))
+@query(_leader_sql(DEDUP_AT, _BEFORE))
 def dedup_leader(spark, d):
     return _leaders(spark, d, DEDUP_AT).drop("was_indexed").withColumn("similarity", F.round("similarity", 6))
 
