@@ -20,6 +20,7 @@ class Settings:
     kafka_topic: str = "feedback"
     batch_size: int = 50
     batch_timeout_ms: int = 5_000
+    compact_after: int = 64
     dedup_threshold: float = 0.95
     topic_threshold: float = 0.82
     suggest_threshold: float = 0.70

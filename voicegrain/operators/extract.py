@@ -47,16 +47,17 @@ def accounts_of(records: DataFrame, backend: Backend, candidates: str = "candida
     )
     silent = F.col("email_domain").isNull() & (F.size(candidates) == 0)
     asked = backend.complete(signalled.where(~silent), "account").withColumn("a", parse_account(F.col("raw"), F.col("email_domain")))
-    asked = asked.select("unit_id", "email_domain", candidates, "a.account_name", "a.confidence", "a.method")
+    kept = F.when(F.col("error").isNull(), F.col(candidates)).otherwise(F.array().cast("array<string>"))  # a failed call drops them
+    asked = asked.select("unit_id", "email_domain", kept.alias(candidates), "a.account_name", "a.confidence", "a.method", "error")
     none = signalled.where(silent).select(
-        "unit_id", "email_domain", candidates, F.lit(None).cast("string").alias("account_name"), F.lit(0.0).alias("confidence"), F.lit("none").alias("method")
+        "unit_id", "email_domain", candidates, F.lit(None).cast("string").alias("account_name"), F.lit(0.0).alias("confidence"), F.lit("none").alias("method"), F.lit(None).cast("string").alias("error")
     )
     return asked.unionByName(none)
 
 
 def grounded(units: DataFrame) -> DataFrame:
-    """units: text, evidence (array). Adds ungrounded (the spans that do not occur) and is_grounded."""
-    missing = F.filter("evidence", lambda s: ~F.contains(F.col("text"), s))
+    """units: text, evidence (array). Adds ungrounded (the spans that do not occur, whatever their case) and is_grounded; no evidence is no wrong one."""
+    missing = F.filter(F.coalesce("evidence", F.array().cast("array<string>")), lambda s: ~F.contains(F.lower("text"), F.lower(s)))
     return units.withColumn("ungrounded", missing).withColumn("is_grounded", F.size("ungrounded") == 0)
 
 
@@ -92,13 +93,24 @@ def evidence_counts(units: DataFrame, evidence: DataFrame) -> DataFrame:
 
 
 def assemble(units: DataFrame, dedup: DataFrame, topics: DataFrame, extracted: DataFrame) -> DataFrame:
-    """One wide row for each unit; a duplicate carries its canonical_id only."""
-    return units.join(dedup, "unit_id", "left").join(topics, "unit_id", "left").join(extracted.drop("topic_id"), "unit_id", "left")
+    """One wide row for each unit; a duplicate carries its canonical_id only. errors: those of all stages that have one (columns named error)."""
+    said = [df.withColumnRenamed("error", f"error_{i}") for i, df in enumerate((units, dedup, topics, extracted.drop("topic_id")))]
+    out = said[0]
+    for more in said[1:]:
+        out = out.join(more, "unit_id", "left")
+    named = [c for c in out.columns if c.startswith("error_")]
+    return out.withColumn("errors", F.array_compact(F.array(*named)) if named else F.array().cast("array<string>")).drop(*named)
 
 
 def batch_metrics(records: DataFrame, analysed: DataFrame) -> DataFrame:
-    """One row: total_cfos, total_units, canonical_units, errors."""
+    """One row: total_cfos, total_units, canonical_units, errors (analysed: is_duplicate, errors)."""
     counts = analysed.agg(
-        F.count("*").alias("total_units"), F.count_if(~F.coalesce("is_duplicate", F.lit(False))).alias("canonical_units"), F.count("error").alias("errors")
+        F.count("*").alias("total_units"), F.count_if(~F.coalesce("is_duplicate", F.lit(False))).alias("canonical_units"), F.coalesce(F.sum(F.size("errors")), F.lit(0)).cast("long").alias("errors")
     )
     return records.agg(F.count("*").alias("total_cfos")).join(F.broadcast(counts), F.lit(True))  # one row on either side
+
+
+def stage_errors(analysed: DataFrame) -> DataFrame:
+    """stage, n: how many units each stage failed for; an error begins with its stage and a colon."""
+    each = analysed.select(F.explode("errors").alias("e"))
+    return each.groupBy(F.substring_index("e", ":", 1).alias("stage")).agg(F.count("*").alias("n"))

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .similarity import centroids, cut, dot, edges, edges_between, leaders, norm
+from .cells import cut
+from .similarity import centroids, dot, edges, edges_between, leaders, norm
 
 MATCH, SUGGEST = 0.82, 0.70
 
@@ -20,11 +21,12 @@ def stored_text(label, description):
     return F.concat(label, F.lit(". "), description)
 
 
-def assign_topics(units: DataFrame, threshold: float = MATCH, suggest: float = SUGGEST, stored: DataFrame | None = None) -> DataFrame:
+def assign_topics(units: DataFrame, threshold: float = MATCH, suggest: float = SUGGEST, stored: DataFrame | None = None, stored_pairs: DataFrame | None = None) -> DataFrame:
     """units: seq, embedding, label, confidence. A row for each: topic_seq (its founder), is_new_topic, topic_confidence,
     suggested_label (null if the extraction was unsure), needs_review, alias (its own label, where that differs from the topic's).
 
-    stored: seq, label, embedding of the topics of earlier batches; those that a unit matches have a row, too. Where units have a column
+    stored: seq, label, embedding of the topics of earlier batches, with stored_pairs their pairs with the units (a, b, sim), where they are known; those
+    that a unit matches have a row, too. Where units have a column
     stored_embedding, a unit is compared by its embedding with the earlier units' stored_embedding.
     """
     if "stored_embedding" in units.columns:
@@ -34,7 +36,7 @@ def assign_topics(units: DataFrame, threshold: float = MATCH, suggest: float = S
     units = units.select("seq", "label", "confidence", "embedding")
     decided = None
     if stored is not None:
-        pairs = cut(pairs.unionByName(edges_between(units, stored, threshold)))
+        pairs = cut(pairs.unionByName(edges_between(units, stored, threshold) if stored_pairs is None else stored_pairs))
         decided = stored.join(pairs.select(F.col("a").alias("seq")).distinct(), "seq", "left_semi")
         units = units.unionByName(decided.select("seq", "label", F.lit(0.0).alias("confidence"), "embedding"))
     chosen = leaders(units, pairs, decided)

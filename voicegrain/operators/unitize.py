@@ -104,11 +104,19 @@ def with_metadata(units: DataFrame, records: DataFrame) -> DataFrame:
 
 
 def model_units(records: DataFrame, backend: Backend) -> DataFrame:
-    """Units as a model splits the records (id, clean_text, source_channel, source_metadata): what parse_units gives."""
+    """Units as a model splits the records (id, clean_text, source_channel, source_metadata, user_metadata): what parse_units gives."""
     text = F.coalesce("clean_text", F.lit(""))
-    asked = prompt("unitize", text, channel=F.col("source_channel"), survey_question=F.col("source_metadata.survey_question"))
+    context = {
+        "channel": F.col("source_channel"),
+        "survey_question": F.col("source_metadata.survey_question"),
+        "star_rating": F.col("source_metadata.star_rating"),
+        "segment": F.col("user_metadata.segment"),
+    }
+    asked = prompt("unitize", text, **context)
     answers = backend.complete(records.select("id", text.alias("text"), (text if backend.plain else asked).alias("prompt")), "unitize")
-    return parse_units(answers.select("id", "text", "raw"))
+    units = parse_units(answers.select("id", "text", "raw"))
+    failed = answers.where("error is not null").select("id", F.col("error").alias("call_error"))
+    return units.join(failed, "id", "left").withColumn("error", F.coalesce("call_error", "error")).drop("call_error")
 
 
 def unit_counts(units: DataFrame) -> DataFrame:

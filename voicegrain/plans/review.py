@@ -25,6 +25,13 @@ def queue(units: DataFrame, below: float = 0.7) -> DataFrame:
     return out
 
 
+def of_store(units: DataFrame, sentiments: DataFrame, below: float = 0.7) -> DataFrame:
+    """The queue of stored units (feedback_units, unit_sentiments): canonical units and those that a model could not split."""
+    joined = units.join(sentiments.select("unit_id", "sarcasm_flag"), "unit_id", "left")
+    split = F.get(F.filter("errors", lambda e: F.startswith(e, F.lit("unitize:"))), F.lit(0))
+    return queue(joined.select("unit_id", F.col("topic_confidence").alias("confidence"), F.col("topic_is_new").alias("is_new_topic"), "is_grounded", "sarcasm_flag", split.alias("error")), below)
+
+
 def priority(units: DataFrame) -> DataFrame:
     """unit_id, priority: uncertainty times the number of similar items."""
     return units.select("unit_id", F.round((1 - F.col("confidence")) * (F.col("duplicate_count") + 1), 6).alias("priority"))

@@ -28,7 +28,10 @@ intent_type string, intent_urgency string, created_at timestamp, updated_at time
 FEEDBACK_UNITS = f"""unit_id string, parent_cfo_id string, text string, char_start int, char_end int, unit_index int,
 is_duplicate boolean, canonical_id string, topic_id string, topic_label string, topic_confidence double, topic_is_new boolean,
 metadata {UNIT_METADATA}, raw_extracted_label string, evidence_spans array<string>, specific_request string, competitor_mention string,
-churn_indicators array<struct<signal:string,severity:double>>, created_at timestamp"""
+churn_indicators array<struct<signal:string,severity:double>>, account_name string, account_method string, account_confidence double,
+email_domain string, ungrounded_spans array<string>, is_grounded boolean, errors array<string>, created_at timestamp"""
+
+BATCHES = "batch_id long, total_cfos long, total_units long, canonical_units long, errors long, processing_ms long, created_at timestamp"
 
 UNIT_SENTIMENTS = """unit_id string, polarity double, intensity string, sarcasm_flag boolean, confidence double,
 emotions array<struct<emotion:string,confidence:double>>, aspect_sentiments array<struct<aspect:string,polarity:double,evidence:string>>, created_at timestamp"""
