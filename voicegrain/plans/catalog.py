@@ -9,11 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import rules, text
-from ..operators import extract, pii, similarity, store, topics, unitize
+from ..operators import agglomerative, extract, pii, similarity, store, topics, unitize
 from ..sources import adapters
 from ..sources.adapters import table
 from ..streaming import windows
-from . import dashboard, explorer, review, signals, taxonomy, trends
+from . import alerts, dashboard, explorer, loess, review, signals, taxonomy, trends
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -646,6 +646,13 @@ def single_link_clusters(spark, d):
     return similarity.clusters(v, similarity.edges(v, DEDUP_AT))
 
 
+@query()
+def bootstrap_clusters(spark, d):
+    """The first taxonomy's clusters: average linkage, cut where 30 to 80 are left."""
+    v = vectors(spark, d).select("seq", "embedding")
+    return agglomerative.flat(v, agglomerative.dendrogram(v))
+
+
 # Taxonomy
 
 
@@ -710,6 +717,64 @@ def promoted_candidates(spark, d):
     return taxonomy.promote(units(spark, d))
 
 
+# Decomposition by loess, alert rules
+
+
+@query()
+def stl_decomposition(spark, d):
+    parts = loess.outliers(loess.decompose(trends.daily_series(units(spark, d))))
+    return parts.select("topic_id", "day", "n", *(F.round(c, 6).alias(c) for c in ("trend", "season", "remainder", "weight", "expected", "z")), "is_anomaly")
+
+
+RULES = alerts.rules_from(
+    [
+        {"rule_id": "topic volume", "entity": "topic", "measure": "volume", "times": 1.3, "days": 7, "cooldown": 2, "severity": "red"},
+        {"rule_id": "account mood", "entity": "account", "measure": "polarity", "below": -0.8, "cooldown": 3, "quiet": 10},
+        {"rule_id": "segment churn", "entity": "segment", "measure": "churn", "above": 30.0, "severity": "red"},
+        {"rule_id": "topic confidence", "entity": "topic", "measure": "confidence", "below": 0.7, "least": 5, "cooldown": 4},
+    ]
+)
+_FIRINGS = f"""WITH {UNITS}, j AS (SELECT u.*, segment FROM u LEFT JOIN a ON a.account_id = u.account_id),
+g AS (SELECT 'topic' AS kind, CAST(topic_id AS VARCHAR) AS entity, * FROM j UNION ALL SELECT 'account', CAST(account_id AS VARCHAR), * FROM j
+  UNION ALL SELECT 'segment', segment, * FROM j WHERE segment IS NOT NULL),
+d AS (SELECT kind, entity, unit_date AS day, count(*) AS units, CAST(count(*) AS DOUBLE) AS volume, avg(polarity) AS polarity, avg(confidence) AS confidence,
+  CAST(count(*) FILTER (intent_type = 'churn_signal') AS DOUBLE) AS churn FROM g GROUP BY kind, entity, unit_date),
+b AS (SELECT *, CAST(1.3 AS DOUBLE) * coalesce(sum(volume) OVER (PARTITION BY kind, entity ORDER BY day RANGE BETWEEN INTERVAL 7 DAY PRECEDING AND INTERVAL 1 DAY PRECEDING), 0) / 7 AS usual FROM d),
+f AS (SELECT 'topic volume' AS rule_id, 'red' AS severity, kind, entity, day, volume AS value, usual AS bound FROM b WHERE kind = 'topic' AND volume > usual AND usual > 0
+  UNION ALL SELECT 'account mood', 'yellow', kind, entity, day, polarity, CAST(-0.8 AS DOUBLE) FROM b WHERE kind = 'account' AND polarity < CAST(-0.8 AS DOUBLE)
+  UNION ALL SELECT 'segment churn', 'red', kind, entity, day, churn, CAST(30 AS DOUBLE) FROM b WHERE kind = 'segment' AND churn > 30
+  UNION ALL SELECT 'topic confidence', 'yellow', kind, entity, day, confidence, CAST(0.7 AS DOUBLE) FROM b WHERE kind = 'topic' AND units >= 5 AND confidence < CAST(0.7 AS DOUBLE))"""
+
+
+@query(f"{_FIRINGS} SELECT rule_id, severity, kind, entity, day, round(value, 6) AS value, round(bound, 6) AS bound FROM f")
+def alert_firings(spark, d):
+    return alerts.firings(alerts.daily(units(spark, d), accounts(spark, d)), RULES)
+
+
+@query(f"""{_FIRINGS},
+k AS (SELECT 'topic volume' AS rule_id, CAST(topic_id AS VARCHAR) AS entity, unit_date AS day, max(CAST(duplicate_count = 0 AS INT)) AS resolves, max(CAST(duplicate_count > 0 AS INT)) AS acks
+  FROM u WHERE is_starred AND confidence >= CAST(0.9 AS DOUBLE) GROUP BY topic_id, unit_date),
+r AS (SELECT * FROM (VALUES ('topic volume', 2, 14), ('account mood', 3, 10), ('segment churn', 1, 14), ('topic confidence', 4, 14)) r(rule_id, cooldown, quiet)),
+e AS (SELECT rule_id, entity, day, 0 AS late, round(value, 6) AS value, severity, kind, 0 AS resolves, 0 AS acks FROM f
+  UNION ALL SELECT rule_id, entity, day, 1, NULL, NULL, NULL, resolves, acks FROM k),
+s AS (SELECT e.*, cooldown, quiet, max(CASE WHEN late = 0 THEN day END) OVER w AS previous, max(CASE WHEN resolves = 1 THEN day END) OVER w AS settled FROM e JOIN r ON r.rule_id = e.rule_id
+  WINDOW w AS (PARTITION BY e.rule_id, entity ORDER BY day, late ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+n AS (SELECT *, sum(CASE WHEN late = 0 AND (previous IS NULL OR day - previous > cooldown OR coalesce(settled >= previous, false)) THEN 1 ELSE 0 END)
+  OVER (PARTITION BY rule_id, entity ORDER BY day, late ROWS UNBOUNDED PRECEDING) AS alert FROM s),
+t AS (SELECT rule_id, entity, alert, max(severity) AS severity, max(kind) AS kind, min(day) AS opened, max(CASE WHEN late = 0 THEN day END) AS last_fired, count(*) FILTER (late = 0) AS n_firings,
+  max(abs(value)) AS peak, max(resolves) AS resolves, max(acks) AS acks, max(quiet) AS quiet FROM n WHERE alert > 0 GROUP BY rule_id, entity, alert)
+SELECT rule_id, entity, severity, kind, opened, last_fired, n_firings, peak,
+  CASE WHEN resolves = 1 OR (SELECT max(day) FROM f) - last_fired >= quiet THEN 'resolved' WHEN acks = 1 THEN 'acknowledged' ELSE 'open' END AS state FROM t""")
+def alert_states(spark, d):
+    """Alerts of all rules; starred units of much confidence stand in for what reviewers did about their topic's volume."""
+    u = units(spark, d)
+    fired = alerts.firings(alerts.daily(u, accounts(spark, d)), RULES)
+    done = u.where("is_starred AND confidence >= 0.9D").select(
+        F.lit("topic volume").alias("rule_id"), F.col("topic_id").cast("string").alias("entity"), F.col("unit_date").alias("day"), F.when(F.col("duplicate_count") == 0, "resolve").otherwise("acknowledge").alias("action")
+    )
+    return alerts.alerts(fired, RULES, done)
+
+
 # Review, evaluation, lifecycle
 
 
