@@ -141,7 +141,8 @@ def occurrences(text):
         i, a, _, free, opened, _, _ = trimmed[k]
         a, b = a if last == k else opened, trimmed[last][2]
         if free and a < b:
-            out.append((a, b, text[a:b].lower(), None, patterns(i, trimmed[last][0])))
+            secret = last == k and re.fullmatch("[0-9a-f]{32,}", text[a:b]) and re.search("[0-9]", text[a:b]) and re.search("[a-f]", text[a:b])
+            out.append((a, b, text[a:b].lower(), 4 if secret else None, patterns(i, trimmed[last][0])))
         k = last + 1
     return out
 
@@ -179,6 +180,7 @@ def discovered(texts, min_seeds=3, min_worth=0.7):
     out = []
     for os in each:
         found = [(max((trusted[p] for p in o[4] if p in trusted), default=None), o) for o in os if o[3] is None]
+        found += [((1.0, -4), o) for o in os if o[3] == 4]
         out.append(sorted((-best[1], o[0], o[1]) for best, o in found if best))
     return out
 

@@ -181,7 +181,7 @@ def test_names_are_discovered_and_contexts_are_whole_words(spark):
 def test_discovery_equals_a_plain_version(spark):
     rng = random.Random(9)
     seeds = ["a{}@b.example.com", "10.0.{}.7", "+1 (234) 567-8{}", "4111 1111 1111 1111"]
-    fill = ["Anna", "x_{}", "ab{}", "5512 {} 7", "(030) {}", "DE89 3704 {}", "tom", "it", "B{},"]
+    fill = ["Anna", "x_{}", "ab{}", "{}" + "0c" * 15, "5512 {} 7", "(030) {}", "DE89 3704 {}", "tom", "it", "B{},"]
     frames = ["send it to {} today", "the box {} is", "{} wrote", "mail: {}", "from {}, and {} too", "call {} or {}"]
     def made(frame):  # each frame has a favourite kind, so that some patterns are worth trusting
         kind = seeds[frames.index(frame) % 4]
@@ -195,6 +195,22 @@ def test_discovery_equals_a_plain_version(spark):
         assert [(s.kind, s.start, s.end) for s in r.found] == want[r.doc_id], texts[r.doc_id]
 
 
+def test_secrets_are_seeds_and_discover_further_ones(spark):
+    made = random.Random(2)
+    key = lambda n, digits="0123456789abcdef": "".join(made.choices(digits, k=n))
+    texts = [f'word{i} token = "{key(38)}0a" more{i}' for i in range(20)]
+    unseen = ["A94F" + key(12, "0123456789ABCDEF"), "Zq7-" + key(20, "qrstuv12"), key(16) + "0a"]
+    texts += [f'other{i} token = "{u}" more' for i, u in enumerate(unseen)]
+    texts += [f"{'1' * 40} and {'a' * 40}, in C99 or Token = X", key(31) + "0 a1"]
+    got = spans_of(spark, texts)
+    for i in range(23):
+        start = texts[i].index('"') + 1
+        assert got[i] == f"secret:{start}:{texts[i].rindex(chr(34))}"
+    assert got[23].split(",") == [f"secret:{len(texts[23]) - 1}:{len(texts[23])}"] and got[24] == f"secret:0:32"
+    clean = {r.doc_id: r.text for r in private_data.redact(documents(spark, texts)).collect()}
+    assert clean[21] == 'other1 token = "[SECRET]" more'
+
+
 def test_texts_with_very_many_matches(spark):
     texts = ["a1 " * 64_000, "a@b.cd " * 64_000, "1.2.3.4, " * 20_000]
     began = time.time()

@@ -58,6 +58,14 @@ def test_empty_table_null_ids_and_repeated_rows(spark):
     ]
 
 
+def test_near_copies_without_ids_are_linked(spark):
+    words = " ".join(f"w{i}" for i in range(300))
+    rows = [(None, words), (None, words + " tail"), (5, words + " more"), (None, "p q r s t u v"), (None, "p q r s t u v"), (9, "a b c d e f g"), (-3, words + " tail")]
+    got = near_groups(spark.createDataFrame(rows, SCHEMA), k=4).collect()
+    told = sorted((str(r.doc_id), str(r.component_id), r.kept) for r in got)
+    assert told == [("-3", "-3", True), ("5", "-3", False), ("9", "9", True), ("None", "-3", False), ("None", "-3", False), ("None", "None", False), ("None", "None", False)]
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(60)] + [(100, 101), (101, 102), (7, 7), (102, 100)]
     got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}

@@ -18,9 +18,9 @@ Joins on keys that many rows share (a set with many copies, a node with many lin
 (spark.sql.adaptive.skewJoin.enabled); what is grouped by such a key is aggregated before it is shuffled.
 
 Cases: null, empty and blank texts have no shingles and are linked with nothing; a text of fewer than k words is one shingle;
-repeated rows share a class; rows of one doc_id count as linked, even if their texts are unlike; rows of a null doc_id are linked
-through their text, and have a null component if nothing else is linked to them; an empty table gives an empty result; columns other than
-doc_id and text are ignored.
+repeated rows share a class; rows of one doc_id count as linked, even if their texts are unlike; rows of a null doc_id go by a hash of their text in its place, are
+linked as any other, and have a null component if no row with a doc_id is linked to them; an empty table gives an empty result; columns other
+than doc_id and text are ignored.
 """
 
 from __future__ import annotations
@@ -68,11 +68,12 @@ def _signed(k: int):
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch["doc_id"].slice(a, b - a),
+                        batch["known"].slice(a, b - a),
                         pa.array(n.astype(np.int64)),
                         pa.array([x.tobytes() for x in whole], pa.binary()),
                         pa.array([x.tobytes() for x in sig], pa.binary()),
                     ],
-                    ["doc_id", "n_shingles", "set", "sig"],
+                    ["doc_id", "known", "n_shingles", "set", "sig"],
                 )
 
     return run
@@ -283,15 +284,20 @@ def _confirm(family: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFr
 def near_groups(documents: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row of documents."""
     spark = documents.sparkSession
-    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    signed = materialize(docs.mapInArrow(_signed(k), "doc_id long, n_shingles long, set binary, sig binary"), "signatures")
+    doc_id = F.col("doc_id").cast("long")
+    docs = documents.select(F.coalesce(doc_id, F.xxhash64(F.lit("no id"), "text")).alias("doc_id"), doc_id.isNotNull().alias("known"), "text")
+    signed = materialize(docs.mapInArrow(_signed(k), "doc_id long, known boolean, n_shingles long, set binary, sig binary"), "signatures")
+    docs = docs.drop("known")
     classes = (
         signed.where("n_shingles > 0")
         .groupBy("set")
-        .agg(F.min("doc_id").alias("node"), F.first("sig").alias("sig"), F.first("n_shingles").alias("n"), F.count("*").alias("rows"))
-    )
-    classes = materialize(classes, "classes")
-    nodes = classes.where(F.col("node").isNotNull()).select("node", "sig", "n")
+        .agg(
+            F.min(F.when(F.col("known"), F.col("doc_id"))).alias("least"), F.min("doc_id").alias("any"),
+            F.first("sig").alias("sig"), F.first("n_shingles").alias("n"), F.count("*").alias("rows"),
+        )
+    )
+    classes = materialize(classes.withColumn("node", F.coalesce("least", "any")).drop("any"), "classes")
+    nodes = classes.select("node", "sig", "n")
 
     keyed = nodes.select("node", "sig").mapInArrow(_keyed, "key long, node long")
     hot = keyed.groupBy("key").agg(F.count("*").alias("met")).where("met > 1")
@@ -308,11 +314,13 @@ def near_groups(documents: DataFrame, k: int = 5, percent: int = 80) -> DataFram
     family = materialize(family.join(known, "node"), "families")
     component = connected_components(_confirm(family, docs, k, percent))
 
+    joined = classes.join(component, "node", "left").select("set", "rows", "least", "component")
+    named = joined.where("component is not null").groupBy("component").agg(F.min("least").alias("least_of_all"))
     grouped = (
-        classes.join(component, "node", "left")
-        .where((F.col("rows") > 1) | F.col("component").isNotNull())
-        .select("set", F.coalesce("component", "node").alias("component"))
+        joined.where((F.col("rows") > 1) | F.col("component").isNotNull())
+        .join(named, "component", "left")
+        .select("set", F.when(F.col("component").isNull(), F.col("least")).otherwise(F.col("least_of_all")).alias("component"))
     )
-    found = signed.drop("sig").join(grouped, "set", "left")
+    found = signed.select(F.when(F.col("known"), F.col("doc_id")).alias("doc_id"), "n_shingles", "set").join(grouped, "set", "left")
     of = F.when(F.col("n_shingles") > 0, F.coalesce("component", "doc_id")).otherwise(F.col("doc_id"))
     return found.select("doc_id", "n_shingles", of.alias("component_id"), F.coalesce(F.col("doc_id") == of, F.lit(False)).alias("kept"))
