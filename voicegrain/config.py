@@ -20,6 +20,8 @@ class Settings:
     kafka_topic: str = "feedback"
     batch_size: int = 50
     batch_timeout_ms: int = 5_000
+    #: Consumers' worth of gathering: each sends a batch when it is full or timed out. 0: a batch is what a trigger reads.
+    gather_shards: int = 1
     compact_after: int = 64
     dedup_threshold: float = 0.95
     topic_threshold: float = 0.82

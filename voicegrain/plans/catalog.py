@@ -12,7 +12,7 @@ from ..functions import rules, text
 from ..operators import agglomerative, extract, pii, similarity, store, topics, unitize
 from ..sources import adapters
 from ..sources.adapters import table
-from ..streaming import windows
+from ..streaming import flush, windows
 from . import alerts, dashboard, explorer, loess, review, signals, taxonomy, trends
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -935,3 +935,14 @@ def stream_dedup_watermark(spark, d):
     """The event stream delivered twice, and told apart by event_id within the watermark."""
     twice = windows.event_stream(spark, d).withColumn("copy", F.explode(F.array(F.lit(1), F.lit(2)))).drop("copy")
     return windows.run_to_end(windows.once(twice).select("event_id", "event_type"), "dedup", mode="append")
+
+
+@query("""SELECT event_id % 8 AS shard, count(*) // 100 AS n_batches, 100 * (count(*) // 100) AS n_messages, 100 AS largest
+FROM events GROUP BY 1 HAVING count(*) >= 100""")
+def stream_full_batches(spark, d):
+    """The event stream gathered by eight consumers: the batches of 100 that are full when the input ends; the rest goes on waiting for its deadline."""
+    payload = F.to_json(F.struct("event_id", "user_id", "event_type", "value"))
+    told = windows.event_stream(spark, d).withWatermark("ts", "30 days").select((F.col("event_id") % 8).alias("shard"), payload.alias("payload"), "ts")
+    sent = windows.run_to_end(flush.gathered(told, 100, 10**12, "ts"), "gathered", mode="append")  # the deadline is decades away
+    sizes = sent.groupBy("shard", "flush").agg(F.count("*").alias("n"))
+    return sizes.groupBy("shard").agg(F.count("*").alias("n_batches"), F.sum("n").alias("n_messages"), F.max("n").cast("int").alias("largest"))

@@ -20,6 +20,7 @@ from ..operators.cells import cut
 from ..operators.similarity import edges, leaders
 from ..operators.store import Store, first_of
 from ..sources.adapters import chosen_text, parse_messages
+from . import flush
 
 #: A batch's units are numbered from batch_id * 2^45 on, in order of record id and place.
 BATCH_BITS = 45
@@ -178,15 +179,29 @@ def messages(spark: SparkSession, settings: Settings) -> DataFrame:
 
 
 def start(spark: SparkSession, settings: Settings, backend: Backend | None = None, once: bool = False) -> StreamingQuery:
-    """Starts the stream; once: until the present input is used up. Messages that are no records go to the folder `rejects`."""
+    """Starts the stream; messages that are no records go to the folder `rejects`.
+
+    Messages are gathered by `gather_shards` consumers and leave each in batches of `batch_size`, or fewer once the first has waited
+    `batch_timeout_ms`; what leaves in one trigger is analysed together. once: what is there now is analysed at once, by files, and the stream ends.
+    """
     store = Store(spark, settings.store_path)
     model = backend or rule_backend()
+    gather = settings.gather_shards > 0 and not once
 
     def batch(raw: DataFrame, batch_id: int) -> None:
+        if gather:
+            raw = cut(raw.select(F.col("payload").alias("value")))  # the state is used once
+            if raw.isEmpty():
+                return
         good, bad = parse_messages(raw)
         bad.write.mode("overwrite").parquet(f"{store.path}/rejects/batch={batch_id}")
         process(good, batch_id, store, model, settings)
 
-    writer = messages(spark, settings).writeStream.option("checkpointLocation", settings.checkpoint_path).foreachBatch(batch)
-    trigger = {"availableNow": True} if once else {"processingTime": f"{settings.batch_timeout_ms} milliseconds"}
+    stream = messages(spark, settings)
+    if gather:
+        payload = F.col("value").cast("string")
+        stream = flush.gathered(stream.select(F.pmod(F.xxhash64(payload), F.lit(settings.gather_shards)).alias("shard"), payload.alias("payload")), settings.batch_size, settings.batch_timeout_ms)
+    writer = stream.writeStream.option("checkpointLocation", settings.checkpoint_path).foreachBatch(batch)
+    every = min(1_000, settings.batch_timeout_ms) if gather else settings.batch_timeout_ms
+    trigger = {"availableNow": True} if once else {"processingTime": f"{every} milliseconds"}
     return writer.trigger(**trigger).start()
