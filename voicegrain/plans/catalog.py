@@ -661,6 +661,25 @@ def tree_paths(spark, d):
     return taxonomy.paths(tree(spark, d)).select("node_id", "root", "depth", "path", F.size("ancestors").alias("n_ancestors"))
 
 
+INTERVALS = """
+o AS (SELECT node_id, ancestors, row_number() OVER (ORDER BY ancestors) AS lo FROM p),
+e AS (SELECT node_id, unnest(ancestors) AS ancestor FROM p),
+t AS (SELECT ancestor, round(sum(weight), 2) AS total, count(*) AS n_nodes FROM e JOIN n ON n.node_id = e.node_id GROUP BY ancestor)
+SELECT o.node_id, n.parent_id, o.lo, o.lo + t.n_nodes - 1 AS hi, t.total FROM o JOIN t ON t.ancestor = o.node_id JOIN n ON n.node_id = o.node_id"""
+
+
+@query(f"WITH RECURSIVE {TREE}, {INTERVALS}")
+def tree_intervals(spark, d):
+    """Where each node's subtree begins and ends in a walk of the tree, by pointer jumping."""
+    return taxonomy.intervals(tree(spark, d))
+
+
+@query(f"""WITH RECURSIVE {TREE.replace("'R' || n_regionkey,", "CASE WHEN n_nationkey = 7 THEN 'R3' ELSE 'R' || n_regionkey END,")}, {INTERVALS}""")
+def tree_intervals_moved(spark, d):
+    """The same after N7 has moved below R3, by renumbering what lies between; the SQL walks the new tree."""
+    return taxonomy.move_interval(taxonomy.intervals(tree(spark, d)), "N7", "R3")
+
+
 @query(f"""WITH RECURSIVE {TREE}, e AS (SELECT node_id, unnest(ancestors) AS ancestor FROM p)
 SELECT ancestor AS node_id, round(sum(weight), 2) AS total, count(*) AS n_nodes FROM e JOIN n ON n.node_id = e.node_id GROUP BY ancestor""")
 def subtree_rollup(spark, d):

@@ -2,28 +2,101 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: A tree deeper than this is refused: four levels are what the taxonomy allows, and some room.
-MAX_DEPTH = 16
+from ..operators.cells import cut
 
 
 def paths(nodes: DataFrame) -> DataFrame:
-    """node_id, root, depth (a root's is 0), path of labels, ancestors (array, the node itself last)."""
-    level = nodes.where("parent_id is null").select(
-        "node_id", F.col("node_id").alias("root"), F.lit(0).alias("depth"), F.col("label").alias("path"), F.array("node_id").alias("ancestors")
+    """node_id, root, depth (a root's is 0), path of labels, ancestors (array, the node itself last), of trees of any depth.
+
+    Every node holds the way up to some ancestor and takes over that one's way in each round, so that ways double and a tree of depth d
+    takes log2(d) rounds. Nodes whose ancestors end at a missing one are left out; a cycle is an error.
+    """
+    ways = nodes.select("node_id", F.col("parent_id").alias("up"), F.col("label").alias("path"), F.array("node_id").alias("ancestors"))
+    looped = F.col("up").isNotNull() & F.array_contains("ancestors", F.col("up"))
+    while True:
+        ways = cut(ways)
+        left = ways.agg(F.count_if(F.col("up").isNotNull()).alias("open"), F.count_if(looped).alias("looped")).head()
+        if left["looped"]:
+            raise ValueError("the tree has a cycle")
+        if not left["open"]:
+            return ways.select("node_id", F.col("ancestors")[0].alias("root"), (F.size("ancestors") - 1).alias("depth"), "path", "ancestors")
+        above = ways.select(F.col("node_id").alias("up"), F.col("up").alias("next"), F.col("path").alias("above"), F.col("ancestors").alias("over"))
+        longer = ways.where("up is not null").join(above, "up").select("node_id", F.col("next").alias("up"), F.concat_ws(" > ", "above", "path").alias("path"), F.concat("over", "ancestors").alias("ancestors"))
+        ways = ways.where("up is null").unionByName(longer)
+
+
+def intervals(nodes: DataFrame) -> DataFrame:
+    """node_id, parent_id, lo, hi, total: places in a walk from the roots down, siblings by node_id; lo to hi is a node's subtree, total its weight.
+
+    The walk enters and leaves every node once. Steps are ranked by pointer jumping: each holds the sum of what lies before its pointer, and
+    both double in log2(2 n) rounds, however deep the trees are. A subtree's size and weight are the difference of its two steps, and ancestry is
+    a comparison of numbers. Nodes under a missing one are left out; a cycle is an error. Siblings are put in order by one window for each parent.
+    """
+    row = nodes.select("node_id", "parent_id", F.coalesce("weight", F.lit(0.0)).alias("weight"))
+    first = row.where("parent_id is not null").groupBy(F.col("parent_id").alias("node_id")).agg(F.min("node_id").alias("child"))
+    beside = row.withColumn("beside", F.lead("node_id").over(Window.partitionBy("parent_id").orderBy("node_id"))).join(first, "node_id", "left")
+    step = lambda way, of: F.concat(F.lit(way), F.col(of))
+    enter = F.struct(step("in ", "node_id").alias("step"), F.coalesce(step("in ", "child"), step("out ", "node_id")).alias("next"), F.lit(1).cast("long").alias("n"), F.col("weight").alias("w"))
+    leave = F.struct(step("out ", "node_id").alias("step"), F.coalesce(step("in ", "beside"), step("out ", "parent_id")).alias("next"), F.lit(0).cast("long").alias("n"), F.lit(0.0).alias("w"))
+    steps = beside.select(F.explode(F.array(enter, leave)).alias("s")).select("s.*")
+    rounds = None
+    while True:
+        steps = cut(steps)
+        left = steps.agg(F.count("*").alias("all"), F.count("next").alias("open"), F.max("n").alias("n")).head()
+        if not left["open"]:
+            break
+        rounds = left["all"].bit_length() + 1 if rounds is None else rounds - 1
+        if rounds == 0:
+            raise ValueError("the tree has a cycle")
+        ahead = steps.select(F.col("step").alias("next"), F.col("next").alias("after"), F.col("n").alias("more"), F.col("w").alias("heavier"))
+        longer = steps.where("next is not null").join(ahead, "next").select("step", F.col("after").alias("next"), (F.col("n") + F.col("more")).alias("n"), (F.col("w") + F.col("heavier")).alias("w"))
+        steps = steps.where("next is null").unionByName(longer)
+    within = lambda way, n, w: steps.where(F.col("step").startswith(way)).select(F.substr("step", F.lit(len(way) + 1)).alias("node_id"), F.col("n").alias(n), F.col("w").alias(w))
+    both = within("in ", "from", "w_from").join(within("out ", "upto", "w_upto"), "node_id").join(row.select("node_id", "parent_id"), "node_id")
+    lo = F.lit(left["n"] or 0) - F.col("from") + 1
+    return both.select("node_id", "parent_id", lo.alias("lo"), (lo + F.col("from") - F.col("upto") - 1).alias("hi"), F.round(F.col("w_from") - F.col("w_upto"), 2).alias("total"))
+
+
+def subtree(numbers: DataFrame, node_id: str) -> DataFrame:
+    """The rows of intervals() that lie in a node's subtree, itself included."""
+    top = numbers.where(F.col("node_id") == node_id).select(F.col("lo").alias("from"), F.col("hi").alias("upto"))
+    return numbers.join(F.broadcast(top), (F.col("lo") >= F.col("from")) & (F.col("lo") <= F.col("upto"))).drop("from", "upto")  # one row
+
+
+def move_interval(numbers: DataFrame, node_id: str, parent_id: str) -> DataFrame:
+    """What intervals() gives after move(): only the nodes between the old and the new place, and the sizes of their ancestors, change.
+
+    A move below the node itself, and one of or to a node that is not there, change nothing.
+    """
+    of = lambda name: numbers.where(F.col("node_id") == name)
+    block = of(node_id).select(F.col("lo").alias("a"), F.col("hi").alias("b"), F.col("total").alias("w"))
+    target = of(parent_id).select(F.col("lo").alias("p_lo"), F.col("hi").alias("p_hi"))
+    elder = numbers.where((F.col("parent_id") == parent_id) & (F.col("node_id") < node_id)).agg(F.max("hi").alias("elder"))
+    told = numbers.join(F.broadcast(block.join(target, F.lit(True)).join(elder, F.lit(True))), F.lit(True), "left")  # one row
+    a, b, size = F.col("a"), F.col("b"), F.col("b") - F.col("a") + 1
+    after = F.coalesce("elder", "p_lo")  # the block's new place is behind this number
+    mine = F.col("lo").between(a, b)
+    shift: Column = (
+        F.when(mine, F.when(after > b, after - b).otherwise(after + 1 - a))
+        .when((F.col("lo") > b) & (F.col("lo") <= after), -size)
+        .when((F.col("lo") < a) & (F.col("lo") > after), size)
+        .otherwise(F.lit(0))
+    )
+    loses = (~mine & (F.col("lo") < a) & (F.col("hi") >= b)).cast("long")
+    gains = (~mine & (F.col("lo") <= F.col("p_lo")) & (F.col("hi") >= F.col("p_hi"))).cast("long")
+    moves = F.coalesce(~F.col("p_lo").between(a, b), F.lit(False))
+    lo = F.col("lo") + F.when(moves, shift).otherwise(F.lit(0))
+    grown = F.when(moves, gains - loses).otherwise(F.lit(0))
+    return told.select(
+        "node_id",
+        F.when(moves & (F.col("node_id") == node_id), F.lit(parent_id)).otherwise(F.col("parent_id")).alias("parent_id"),
+        lo.alias("lo"),
+        (lo + F.col("hi") - F.col("lo") + grown * F.coalesce(size, F.lit(0))).alias("hi"),
+        F.round(F.col("total") + grown * F.coalesce("w", F.lit(0.0)), 2).alias("total"),
     )
-    out = level
-    for depth in range(1, MAX_DEPTH):
-        parent = level.select(F.col("node_id").alias("parent_id"), "root", F.col("path").alias("above"), "ancestors")
-        level = nodes.join(parent, "parent_id").select(
-            "node_id", "root", F.lit(depth).alias("depth"), F.concat_ws(" > ", "above", "label").alias("path"), F.concat("ancestors", F.array("node_id")).alias("ancestors")
-        )
-        if level.isEmpty():
-            return out
-        out = out.unionByName(level)
-    raise ValueError(f"the tree is deeper than {MAX_DEPTH} or has a cycle")
 
 
 def subtree_totals(nodes: DataFrame, walked: DataFrame) -> DataFrame:
