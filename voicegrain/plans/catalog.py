@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import datetime
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import rules, text
-from ..operators import agglomerative, extract, pii, similarity, store, topics, unitize
+from ..config import shared_dir
+from ..operators import agglomerative, extract, language, pii, search_index, similarity, store, topics, unitize
 from ..sources import adapters
 from ..sources.adapters import table
 from ..streaming import flush, windows
@@ -544,6 +546,71 @@ def language_agreement(spark, d):
     return review.label_agreement(found.select(F.col("lang").alias("gold"), F.col("guessed").alias("predicted")))
 
 
+# Fixed values, as the SQL side has them for itself: 59 letters and three places make 205,379 trigrams.
+_TRAINED = """
+WITH d AS (SELECT doc_id, lang, substr(sha256(CAST(doc_id AS VARCHAR)), 1, 1) IN ('0', '1', '2') AS held_out,
+  string_split(regexp_replace(lower(' ' || coalesce(text, '') || ' '), '[^a-zà-ÿ]+', '_', 'g'), '') AS s FROM documents),
+g AS (SELECT doc_id, lang, held_out, gram, count(*) AS n FROM (
+  SELECT doc_id, lang, held_out, unnest(list_transform(list_zip(s, s[2:], s[3:]), lambda x: x[1] || x[2] || x[3])) AS gram FROM d) WHERE gram IS NOT NULL GROUP BY ALL),
+k AS (SELECT lang, gram, sum(n) AS n FROM g WHERE NOT held_out AND lang IN ('en', 'fr', 'de', 'es') GROUP BY lang, gram),
+t AS (SELECT x.lang, coalesce(sum(n), 0) AS total FROM (VALUES ('en'), ('fr'), ('de'), ('es')) x(lang) LEFT JOIN k ON k.lang = x.lang GROUP BY x.lang),
+b AS (SELECT lang, CAST(floor(1000 * ln(CAST(1 AS DOUBLE) / CAST(total + 205379 AS DOUBLE))) AS BIGINT) AS w FROM t),
+m AS (SELECT k.lang, gram, CAST(floor(1000 * ln(CAST(n + 1 AS DOUBLE) / CAST(total + 205379 AS DOUBLE))) AS BIGINT) - b.w AS w FROM k JOIN t ON t.lang = k.lang JOIN b ON b.lang = k.lang),
+z AS (SELECT doc_id, sum(n) AS n FROM g GROUP BY doc_id),
+e AS (SELECT z.doc_id, b.lang, z.n * b.w + coalesce(x.w, 0) AS score FROM z CROSS JOIN b
+  LEFT JOIN (SELECT doc_id, m.lang, sum(n * w) AS w FROM g JOIN m ON m.gram = g.gram GROUP BY doc_id, m.lang) x ON x.doc_id = z.doc_id AND x.lang = b.lang),
+r AS (SELECT doc_id, list(lang ORDER BY score DESC, lang) AS l, list(score ORDER BY score DESC, lang) AS s FROM e GROUP BY doc_id)"""
+
+
+@query(f"""{_TRAINED} SELECT d.doc_id, d.lang, held_out, coalesce(l[1], 'unknown') AS guessed, CAST(coalesce(r.s[1] - r.s[2], 0) AS BIGINT) AS margin FROM d LEFT JOIN r ON r.doc_id = d.doc_id""")
+def trained_language(spark, d):
+    """Every document's language by a model that learned from those that are not held out."""
+    docs = table(spark, d, "documents").withColumn("held_out", language.held_out(F.col("doc_id")))
+    found = language.detect(docs, language.train(docs.where(~F.col("held_out"))))
+    return found.select("doc_id", "lang", "held_out", "guessed", "margin")
+
+
+@query(f"""{_TRAINED}, p AS (SELECT d.lang AS gold, coalesce(l[1], 'unknown') AS predicted FROM d LEFT JOIN r ON r.doc_id = d.doc_id WHERE held_out AND d.lang IS NOT NULL),
+x AS (SELECT label, count(*) FILTER (gold = label) AS told, count(*) FILTER (predicted = label) AS said, count(*) FILTER (gold = label AND predicted = label) AS hit
+  FROM p, (SELECT gold AS label FROM p UNION SELECT predicted FROM p) GROUP BY label)
+SELECT label, told, said, hit, round(hit / said, 6) AS precision, round(hit / told, 6) AS recall, round(2 * hit / (told + said), 6) AS f1 FROM x""")
+def trained_language_quality(spark, d):
+    """The model against the table's languages on what it did not learn from, by language."""
+    found = trained_language(spark, d).where(F.col("held_out") & F.col("lang").isNotNull())
+    return review.label_quality(found.select(F.col("lang").alias("gold"), F.col("guessed").alias("predicted")))
+
+
+def _document_index(spark: SparkSession, d: str) -> search_index.SearchIndex:
+    rows = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("label"))
+    return search_index.SearchIndex(spark, f"{shared_dir(spark)}/search-{uuid.uuid4().hex}").add(rows)
+
+
+@query(ORACLES["global_search"])
+def global_search_indexed(spark, d):
+    """What global_search gives, with the documents found by their index."""
+    return explorer.search(
+        "On",
+        labels(spark, d).select(F.col("topic_id").alias("id"), "label"),
+        accounts(spark, d).select(F.col("account_id").alias("id"), F.col("name").alias("label")),
+        _document_index(spark, d).first("On").select("id", "label"),
+    )
+
+
+_NEEDLES = ("on", "token =", "the of", "é", "licens", "Tion", "no such text")
+
+
+@query("""
+SELECT needle, doc_id, CAST((length(t) - length(replace(t, needle, ''))) // length(needle) AS BIGINT) AS hits FROM (SELECT doc_id, lower(text) AS t FROM documents),
+  (VALUES ('on'), ('token ='), ('the of'), ('licens'), ('tion'), ('no such text')) v(needle) WHERE contains(t, needle)""")
+def search_hits(spark, d):
+    """All documents that hold each of some needles, and how often, by the index; a needle of one character finds nothing."""
+    index, out = _document_index(spark, d), None
+    for needle in _NEEDLES:
+        found = index.find(needle).select(F.lit(needle.lower()).alias("needle"), F.col("id").alias("doc_id"), "hits")
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
 # Similarity and topics
 
 

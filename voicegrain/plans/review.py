@@ -68,6 +68,17 @@ def agreement(pairs: DataFrame) -> DataFrame:
     )
 
 
+def label_quality(pairs: DataFrame) -> DataFrame:
+    """label, told, said, hit, precision, recall, f1 of each label that either side of (gold, predicted) has; a rate without rows is null."""
+    c = confusion(pairs)
+    sides = F.array(F.struct(F.col("gold").alias("label"), F.col("n").alias("told"), F.lit(0).alias("said")), F.struct(F.col("predicted").alias("label"), F.lit(0).alias("told"), F.col("n").alias("said")))
+    hit = F.when(F.col("gold") == F.col("predicted"), F.col("n")).otherwise(0)
+    each = c.select(hit.alias("hit"), F.inline(sides)).groupBy("label").agg(F.sum("told").alias("told"), F.sum("said").alias("said"), (F.sum("hit") / 2).cast("long").alias("hit"))
+    rate = lambda n, of, name: F.round(F.try_divide(n.cast("double"), of), 6).alias(name)
+    h, t, s = F.col("hit"), F.col("told"), F.col("said")
+    return each.select("label", "told", "said", "hit", rate(h, s, "precision"), rate(h, t, "recall"), rate(2 * h, t + s, "f1"))
+
+
 def label_agreement(pairs: DataFrame) -> DataFrame:
     """One row for labels of any number (gold, predicted): n, accuracy, macro_f1 (over labels that either side has), kappa."""
     c = confusion(pairs)
