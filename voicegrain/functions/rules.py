@@ -84,9 +84,14 @@ def combined_answer(text: Column) -> Column:
     return F.to_json(F.struct(_sentiment(text).alias("sentiment"), _intent(text).alias("intent")))
 
 
+def longest_word(text: Column) -> Column:
+    """The longest word in lower case, of equally long ones the last by text; empty without any."""
+    return _bind(words_of(text), lambda w: F.array_max(F.transform(w, lambda x: F.struct(F.length(x).alias("n"), x.alias("w"))))["w"])
+
+
 def topic_answer(text: Column) -> Column:
     """Intent and the longest word, in the line protocol of topics."""
-    longest = _bind(words_of(text), lambda w: F.array_max(F.transform(w, lambda x: F.struct(F.length(x).alias("n"), x.alias("w"))))["w"])
+    longest = longest_word(text)
     return F.concat(F.lit("LABEL: "), intent(text), F.lit(" "), F.coalesce(longest, F.lit("")), F.lit("\nDESCRIPTION: \nEVIDENCE: "), F.coalesce(longest, F.lit("")), F.lit("\nCONFIDENCE: 0.75"))
 
 

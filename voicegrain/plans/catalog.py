@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import rules, text
 from ..config import shared_dir
 from ..operators import agglomerative, extract, language, pii, search_index, similarity, store, topics, unitize
+from ..operators import labels as spelling
 from ..sources import adapters
 from ..sources.adapters import table
 from ..streaming import flush, windows
@@ -945,6 +946,36 @@ def knowledge_edges(spark, d):
     return signals.merge_knowledge(signals.knowledge(older), signals.knowledge(newer))
 
 
+# Labels of near spelling
+
+#: The longest word of each document as its label; letters of two bytes as one, since the SQL side counts edits of bytes.
+_WORDS = """
+WITH RECURSIVE l AS MATERIALIZED (SELECT label, count(*) AS weight, translate(label, 'àáâãäåæçèéêëìíîïðñòóôõö÷øùúûüýþÿ', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ012345') AS x FROM (
+  SELECT list_reverse_sort(list_transform(string_split_regex(lower(coalesce(text, '')), '[^a-zà-ÿ]+'), lambda w: {'n': length(w), 'w': w}))[1].w AS label FROM documents) WHERE label <> '' GROUP BY label),
+o AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY weight DESC, label) AS i FROM l),
+e AS MATERIALIZED (SELECT p.i AS a, q.i AS b, levenshtein(p.x, q.x) AS edits FROM o p JOIN o q ON p.i < q.i AND abs(length(p.x) - length(q.x)) <= 2 WHERE levenshtein(p.x, q.x) <= 2)"""
+
+
+def _words(spark: SparkSession, d: str) -> DataFrame:
+    found = table(spark, d, "documents").select(rules.longest_word(F.col("text")).alias("label")).where("label <> ''")
+    return found.groupBy("label").agg(F.count("*").alias("weight"))
+
+
+@query(f"{_WORDS} SELECT least(p.label, q.label) AS a, greatest(p.label, q.label) AS b, CAST(edits AS INTEGER) AS edits FROM e JOIN o p ON p.i = e.a JOIN o q ON q.i = e.b")
+def near_labels(spark, d):
+    return spelling.near_labels(_words(spark, d), 2)
+
+
+@query(f"""{_WORDS}, n AS MATERIALIZED (SELECT o.i, o.label, (SELECT list(e.a) FROM e WHERE e.b = o.i) AS near FROM o),
+r(i, c) AS (SELECT 0::BIGINT, []::BIGINT[] UNION ALL
+  SELECT r.i + 1, CASE WHEN len(list_intersect(c, coalesce(near, []))) > 0 THEN c ELSE list_append(c, n.i) END FROM r JOIN n ON n.i = r.i + 1),
+c AS MATERIALIZED (SELECT unnest(c) AS i FROM r WHERE i = (SELECT max(i) FROM r)),
+f AS (SELECT b, arg_min(a, (edits, a)) AS a FROM e JOIN c ON c.i = e.a GROUP BY b)
+SELECT o.label, o.weight, CASE WHEN c.i IS NULL THEN k.label ELSE o.label END AS canonical FROM o LEFT JOIN c ON c.i = o.i LEFT JOIN f ON f.b = o.i LEFT JOIN o k ON k.i = f.a""")
+def unified_labels(spark, d):
+    return spelling.unified(_words(spark, d), 2)
+
+
 # Stored tables
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.labels import relabelled
+
 #: Kind of signal to the words of its track; a model backend may fill the same columns.
 WORDS: dict[str, tuple[str, ...]] = {
     "action_item": ("will", "todo", "task", "follow"),
@@ -35,3 +37,11 @@ def merge_knowledge(stored: DataFrame, batch: DataFrame) -> DataFrame:
     return stored.unionByName(batch).groupBy("topic_id", "channel_id", "intent_type").agg(
         F.sum("weight").alias("weight"), F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen")
     )
+
+
+def unify_knowledge(edges: DataFrame, unified_labels: DataFrame) -> DataFrame:
+    """Edges by label, channel and intent, with those of near labels merged under the canonical one."""
+    renamed = relabelled(edges, unified_labels)
+    return renamed.groupBy("label", "channel_id", "intent_type").agg(
+        F.sum("weight").alias("weight"), F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen")
+    )
