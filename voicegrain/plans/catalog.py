@@ -110,7 +110,7 @@ c AS (SELECT b.doc_id, source, coalesce(n, 0) AS n, CASE WHEN n IS NULL THEN t E
     "SELECT source, pii_type, sum(n)::BIGINT AS n FROM ("
     + " UNION ALL ".join(
         f"SELECT source, '{kind}' AS pii_type, len(regexp_extract_all(text, '{pattern.replace(chr(39), chr(39) * 2)}')) AS n FROM documents"
-        for kind, pattern in pii.PATTERNS
+        for kind, pattern, _ in PII_SQL
     )
     + ") GROUP BY source, pii_type HAVING sum(n) > 0"
 )
@@ -131,9 +131,9 @@ def pii_type_counts(spark, d):
     return pii.counts_by_kind(done, "source_channel")
 
 
-@query(rf"""
+@query(r"""
 SELECT id, count(*) AS n_segments, sum(length(x))::BIGINT AS n_chars FROM (
-  SELECT concat('doc-', doc_id) AS id, unnest(regexp_extract_all(text, '{unitize.SEGMENT}')) AS x FROM documents)
+  SELECT concat('doc-', doc_id) AS id, unnest(regexp_extract_all(text, '[^.!?\n]*[.!?\n]+|[^.!?\n]+')) AS x FROM documents)
 WHERE length(regexp_replace(x, '[\s.!?]', '', 'g')) > 0 GROUP BY id""")
 def unitize_segments(spark, d):
     records = adapters.cfo_from_documents(table(spark, d, "documents"))
@@ -160,9 +160,11 @@ def transcript_records(spark, d):
     return adapters.cfo_from_transcripts(table(spark, d, "conversations")).select("id", F.length("raw_text").cast("long").alias("n_chars"))
 
 
-@query(rf"""
-SELECT doc_id, list_filter(list_transform(regexp_extract_all(text, '{text.DOMAIN_PATTERN}', 1), lambda x: lower(x)),
-  lambda x: x NOT IN ({", ".join(f"'{x}'" for x in text.CONSUMER_DOMAINS)}))[1] AS domain FROM documents""")
+# Fixed values, as the SQL side has them for itself: providers of consumers' addresses and the pattern of an address.
+@query(r"""
+SELECT doc_id, list_filter(list_transform(regexp_extract_all(text, '\b[A-Za-z0-9._%+\-]+@([A-Za-z0-9.\-]+\.[A-Za-z]{2,})\b', 1), lambda x: lower(x)),
+  lambda x: x NOT IN ('gmail.com', 'yahoo.com', 'outlook.com', 'hotmail.com', 'icloud.com', 'live.com', 'me.com', 'aol.com', 'protonmail.com',
+    'pm.me', 'googlemail.com', 'msn.com', 'ymail.com'))[1] AS domain FROM documents""")
 def account_email_domain(spark, d):
     return table(spark, d, "documents").select("doc_id", text.email_domain(F.col("text")).alias("domain"))
 
@@ -184,11 +186,15 @@ def exact_text_duplicates(spark, d):
     return review.spam(adapters.cfo_from_documents(table(spark, d, "documents")))
 
 
+# Fixed values, as the SQL side has them for itself: stop words.
 @query("""
 SELECT doc_id, lang, CASE WHEN s = 0 THEN 'unknown' WHEN en = s THEN 'en' WHEN fr = s THEN 'fr' WHEN de = s THEN 'de' ELSE 'es' END AS guessed FROM (
-  SELECT *, greatest(en, fr, de, es) AS s FROM (SELECT doc_id, lang, """ + ", ".join(
-    f"len(list_filter(w, lambda x: x IN ({', '.join(repr(x) for x in rules.STOP_WORDS[c])}))) AS {c}" for c in rules.LANGUAGES
-) + " FROM (SELECT doc_id, lang, string_split_regex(lower(text), '[^a-zà-ÿ]+') AS w FROM documents)))")
+  SELECT *, greatest(en, fr, de, es) AS s FROM (SELECT doc_id, lang,
+    len(list_filter(w, lambda x: x IN ('the', 'and', 'of', 'to', 'in', 'is', 'that', 'with'))) AS en,
+    len(list_filter(w, lambda x: x IN ('le', 'la', 'les', 'et', 'des', 'est', 'une', 'dans'))) AS fr,
+    len(list_filter(w, lambda x: x IN ('der', 'die', 'das', 'und', 'ist', 'ein', 'nicht', 'mit'))) AS de,
+    len(list_filter(w, lambda x: x IN ('el', 'los', 'las', 'y', 'una', 'por', 'con', 'que'))) AS es
+  FROM (SELECT doc_id, lang, string_split_regex(lower(text), '[^a-zà-ÿ]+') AS w FROM documents)))""")
 def language_detection(spark, d):
     return table(spark, d, "documents").select("doc_id", "lang", rules.language(F.col("text")).alias("guessed"))
 
@@ -526,6 +532,12 @@ def explorer_default_window(spark, d):
     return explorer.default_window(units(spark, d)).select(*UNIT_COLUMNS.split(", "))
 
 
+@query(f"WITH {UNITS} SELECT {UNIT_COLUMNS} FROM u WHERE unit_date > (SELECT max(unit_date) FROM u) - 7")
+def explorer_window_7d(spark, d):
+    """The default window of a week; the tables hold thirty days, so that the usual one keeps all rows."""
+    return explorer.default_window(units(spark, d), 7).select(*UNIT_COLUMNS.split(", "))
+
+
 @query(f"""
 WITH {UNITS}, f AS (SELECT account_id, min(unit_date) AS day FROM u GROUP BY account_id),
 d AS (SELECT day, count(*) AS n_new FROM u JOIN f ON f.account_id = u.account_id AND f.day = u.unit_date GROUP BY day)
@@ -931,10 +943,15 @@ def resolved_marks(spark, d):
 # Conversation signals
 
 
-@query("SELECT conv_id, turn, kind, words FROM (" + " UNION ALL ".join(
-    f"SELECT conv_id, turn, '{kind}' AS kind, CAST(len(list_filter(string_split_regex(lower(text), '[^a-z]+'), lambda x: x IN ({', '.join(repr(x) for x in words)}))) AS BIGINT) AS words FROM conversations WHERE role = 'user'"
-    for kind, words in signals.WORDS.items()
-) + ") WHERE words > 0")
+# Fixed values, as the SQL side has them for itself: the words of each track.
+@query("""
+WITH w AS (SELECT conv_id, turn, string_split_regex(lower(text), '[^a-z]+') AS w FROM conversations WHERE role = 'user'),
+v AS (FROM (VALUES ('action_item', ['will', 'todo', 'task', 'follow']), ('churn_risk', ['cancel', 'leave', 'urgent', 'deadline']),
+  ('competitive_mention', ['competitor', 'alternative', 'instead']), ('expansion', ['more', 'upgrade', 'seats', 'expand']),
+  ('organisational', ['team', 'hired', 'manager', 'reorg']), ('stakeholder', ['director', 'ceo', 'owner', 'boss']),
+  ('compliance', ['privacy', 'legal', 'audit', 'compliance'])) t(kind, said)),
+x AS (SELECT conv_id, turn, kind, len(list_filter(w, lambda x: list_contains(said, x)))::BIGINT AS words FROM w, v)
+SELECT conv_id, turn, kind, words FROM x WHERE words > 0""")
 def conversation_signals(spark, d):
     return signals.tracks(table(spark, d, "conversations"))
 
