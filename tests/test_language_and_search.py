@@ -34,9 +34,9 @@ def plain_detect(text, texts):
 def test_language_model_equals_a_plain_one(spark):
     trained = language.train(spark.createDataFrame(TEXTS, "lang string, text string"))
     asked = ["the words", "mots écrits où", "schöne Wörter über", "señor y señora", "", None, "123 !?", "é", "x", "the\n\nword's", "wörter " * 3000, "ÀÉ_ÿ a😀b"]
-    rows = spark.createDataFrame(list(enumerate(asked)), "id long, text string").withColumn("margin", F.lit("old")).withColumn("__weights", F.lit(7))
+    rows = spark.createDataFrame(list(enumerate(asked)), "id long, text string").withColumn("margin", F.lit("old")).withColumn("__found", F.lit(7))
     got = {r.id: r for r in language.detect(rows, trained).collect()}
-    assert len(got) == len(asked) and all(r["__weights"] == 7 for r in got.values())
+    assert len(got) == len(asked) and all(r["__found"] == 7 for r in got.values())
     for i, text in enumerate(asked):
         assert (got[i].guessed, got[i].margin) == plain_detect(text, TEXTS), text
 

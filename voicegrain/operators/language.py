@@ -1,7 +1,8 @@
 """The language of a text by a multinomial model of letter trigrams, learned from texts whose language is known.
 
 A trigram is a number: its three letters in base 59 (0 for what stands between words, a to z, à to ÿ). The model is one row with a weight for each
-trigram and language, whatever the size of the corpus, so that it is broadcast; what is counted while learning are at most so many keys, summed
+trigram and language, whatever the size of the corpus, so that it can be a literal of the plan (as a joined column it would be copied into every
+row); what is counted while learning are at most so many keys, summed
 before they are shuffled. Scores are sums of integers, so that their order changes nothing. A text is scored inside its row, without a shuffle.
 """
 
@@ -73,14 +74,14 @@ def train(texts: DataFrame, languages: tuple[str, ...] = LANGUAGES) -> DataFrame
 def detect(rows: DataFrame, trained: DataFrame, languages: tuple[str, ...] = LANGUAGES) -> DataFrame:
     """rows with guessed, the language of the highest score (of equal ones the first by name; `unknown` without trigrams), and margin, what it is ahead
     of the second, in thousandths of a nat (0 with one language only). A column of rows with one of these names is replaced."""
-    names = sorted(languages)
-    weights = "__weights"
-    while weights in rows.columns:
-        weights += "_"
-    trained = trained.select(F.col("weights").alias(weights))
+    names, found = sorted(languages), "__found"
+    while found in rows.columns:
+        found += "_"
+    told = {x["lang"]: ",".join(map(str, x["w"])) for x in trained.head()["weights"]}  # GRAMS small numbers for each language
+    weights = [F.split(F.lit(told[name]), ",").cast("array<int>") for name in names]  # folded into a literal
 
     def judge(grams: Column) -> Column:
-        total = lambda i: F.aggregate(grams, F.lit(0).cast("long"), lambda a, g: a + F.get(F.col(weights)[i]["w"], g))
+        total = lambda i: F.aggregate(grams, F.lit(0).cast("long"), lambda a, g: a + F.get(weights[i], g))
         scores = F.array(*(F.struct(total(i).alias("s"), F.lit(-i).alias("i"), F.lit(name).alias("lang")) for i, name in enumerate(names)))
 
         def best(s: Column) -> Column:
@@ -89,6 +90,5 @@ def detect(rows: DataFrame, trained: DataFrame, languages: tuple[str, ...] = LAN
 
         return _bind(F.sort_array(scores, False), best)
 
-    joined = rows.join(F.broadcast(trained), F.lit(True))  # one row
-    found = joined.withColumn(weights, _bind(trigrams(F.col("text")), judge))
-    return found.withColumns({"guessed": F.col(weights)["guessed"], "margin": F.col(weights)["margin"]}).drop(weights)
+    judged = rows.withColumn(found, _bind(trigrams(F.col("text")), judge))
+    return judged.withColumns({"guessed": F.col(found)["guessed"], "margin": F.col(found)["margin"]}).drop(found)
