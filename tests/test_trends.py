@@ -111,6 +111,35 @@ def test_average_linkage_equals_merging_one_pair_at_a_time(spark, last):
     assert [got[i] for i in range(60)] == plain_flat(want, 60, made) and 5 <= len(set(got.values())) <= 12
 
 
+def test_average_linkage_with_copies_by_vectors_alone(spark, tmp_path, monkeypatch):
+    """Copies count as members, and no table of pairs is written."""
+    rng = np.random.default_rng(5)
+    m = rng.normal(size=(400, 16)).astype(np.float32)
+    m[7], m[30], m[31] = m[3], m[3], m[9]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(m)], "seq long, embedding array<float>")
+    flat = m.astype(float) / np.linalg.norm(m.astype(float), axis=1, keepdims=True)
+    monkeypatch.setattr("voicegrain.operators.cells.shared_dir", lambda spark: str(tmp_path))
+    merges = agglomerative.dendrogram(df, 100)
+    assert sorted(tuple(r) for r in merges.collect()) == sorted(plain_by_sums(flat))
+    assert max(spark.read.parquet(str(p)).count() for p in tmp_path.iterdir()) <= 400  # was 400 * 399
+
+
+def plain_by_sums(m):
+    """As plain_dendrogram, on a matrix of sums."""
+    sums, n, alive, out = np.rint((m @ m.T) * 10**9).astype(np.int64), np.ones(len(m), int), list(range(len(m))), []
+    while len(alive) > 1:
+        at = np.array(alive)
+        mean = np.triu(sums[np.ix_(at, at)] / np.outer(n[at], n[at]) + 2e9, 1)
+        i, j = divmod(int(mean.argmax()), len(at))
+        a, b = alive[i], alive[j]
+        out.append((a, b, sums[a, b] / (n[a] * n[b]) / 10**9, n[a] + n[b]))
+        sums[a] += sums[b]
+        sums[:, a] += sums[:, b]
+        n[a] += n[b]
+        alive.remove(b)
+    return out
+
+
 def test_clusters_of_few_vectors(spark):
     one = spark.createDataFrame([(4, [1.0, 0.0])], "seq long, embedding array<float>")
     assert agglomerative.dendrogram(one).count() == 0
