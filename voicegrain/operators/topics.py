@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .cells import cut
-from .similarity import centroids, dot, edges, edges_between, leaders, norm
+from .similarity import centroids, dedup, dot, edges, edges_between, leaders, norm
 
 MATCH, SUGGEST = 0.82, 0.70
 
@@ -31,15 +31,17 @@ def assign_topics(units: DataFrame, threshold: float = MATCH, suggest: float = S
     """
     if "stored_embedding" in units.columns:
         pairs = edges_between(units, units.select("seq", F.col("stored_embedding").alias("embedding")), threshold)
-    else:
+    elif stored is not None:
         pairs = edges(units, threshold)
+    else:
+        pairs = None
     units = units.select("seq", "label", "confidence", "embedding")
     decided = None
     if stored is not None:
         pairs = cut(pairs.unionByName(edges_between(units, stored, threshold) if stored_pairs is None else stored_pairs))
         decided = stored.join(pairs.select(F.col("a").alias("seq")).distinct(), "seq", "left_semi")
         units = units.unionByName(decided.select("seq", "label", F.lit(0.0).alias("confidence"), "embedding"))
-    chosen = leaders(units, pairs, decided)
+    chosen = dedup(units, threshold) if pairs is None else leaders(units, pairs, decided)
     own = units.select("seq", "label", "confidence")
     topic = units.select(F.col("seq").alias("canonical_seq"), F.col("label").alias("topic_label"))
     out = chosen.join(own, "seq").join(topic, "canonical_seq")
