@@ -87,3 +87,20 @@ def test_pages_end_in_the_whole_search(spark, tmp_path, monkeypatch):
 def test_empty_index(spark, tmp_path):
     found = SearchIndex(spark, str(tmp_path / "index")).add(spark.createDataFrame([], "id long, label string"))
     assert found.find("on").count() == found.first("moon").count() == 0
+
+
+def test_scores_and_counts_go_through_arrays(spark, monkeypatch):
+    """Parts of some characters give what whole columns give, and no plan makes a row or a lambda of each trigram."""
+    monkeypatch.setattr(language, "CHUNK", 7)
+    rows = [(1, "en", "the cat, the dog"), (2, "fr", "été où ça ÷ x"), (3, "en", None), (4, "en", ""), (5, "de", "straße ß"), (6, "xx", "the"), (7, "fr", "a")]
+    docs = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+    known = docs.where("lang <> 'xx'")
+    plain = known.select("lang", F.explode(language.trigrams(F.col("text"))).alias("gram")).groupBy("lang", "gram").count()
+    got = language.counts(docs)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, plain.collect()))
+    found = language.detect(docs, language.train(docs))
+    weights = {x["lang"]: x["w"] for x in language.train(docs).head()["weights"]}
+    for r in found.join(docs.select("doc_id", language.trigrams(F.col("text")).alias("g")), "doc_id").collect():
+        order = sorted(((-sum(w[g] for g in r.g), name) for name, w in weights.items()))
+        assert (r.guessed, r.margin) == ((order[0][1], order[1][0] - order[0][0]) if r.g else ("unknown", 0))
+    assert "lambda" not in found._jdf.queryExecution().optimizedPlan().toString() and "Generate" not in got._jdf.queryExecution().optimizedPlan().toString()

@@ -1,13 +1,17 @@
 """The language of a text by a multinomial model of letter trigrams, learned from texts whose language is known.
 
 A trigram is a number: its three letters in base 59 (0 for what stands between words, a to z, à to ÿ). The model is one row with a weight for each
-trigram and language, whatever the size of the corpus, so that it can be a literal of the plan (as a joined column it would be copied into every
-row); what is counted while learning are at most so many keys, summed
-before they are shuffled. Scores are sums of integers, so that their order changes nothing. A text is scored inside its row, without a shuffle.
+trigram and language, whatever the size of the corpus, so that it goes to the tasks whole; what a task counts while learning are at most so many keys, which it
+sums before they are shuffled. Scores are sums of integers, so that their order changes nothing. A text is scored in its row, without a shuffle; texts become
+numbers by arrays, some million characters at a time.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,6 +22,10 @@ BASE = 59
 GRAMS = BASE**3
 
 
+#: Characters that a task makes numbers of at a time, if a text is not longer.
+CHUNK = 1 << 20
+
+
 def _bind(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
@@ -27,15 +35,35 @@ def _letter(c: Column) -> Column:
     return F.when(n == 95, 0).when(n <= 122, n - 96).otherwise(n - 197)
 
 
+def letters_of(text: Column) -> Column:
+    """A text's letters in lower case, with one _ for whatever stands between, before and after them."""
+    return F.regexp_replace(F.lower(F.concat(F.lit(" "), F.coalesce(text, F.lit("")), F.lit(" "))), "[^a-zà-ÿ]+", "_")
+
+
+def _grams(plain: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """For successive parts of letters_of() texts: begin and end of the part, the trigrams, and the text in the part that each belongs to."""
+    code = np.arange(256, dtype=np.int32)
+    code = np.where(code == 95, 0, np.where(code <= 122, code - 96, code - 197)).astype(np.int32)
+    texts = plain.to_pylist()
+    size = np.array([len(t) for t in texts], np.int64)
+    begin = 0
+    while begin < len(texts):
+        end = begin + max(1, int(np.searchsorted(np.cumsum(size[begin:]), CHUNK, side="right")))
+        x = code[np.frombuffer("".join(texts[begin:end]).encode("latin-1"), np.uint8)]
+        of = np.repeat(np.arange(end - begin), size[begin:end])
+        whole = np.flatnonzero(of[:-2] == of[2:])  # a trigram lies in one text
+        grams = x[:-2] * (BASE * BASE) + x[1:-1] * BASE + x[2:]
+        yield begin, end, grams[whole], of[whole]
+        begin = end
+
+
 def trigrams(text: Column) -> Column:
     """array<int> of a text's trigrams in order, repeats included; the ends count as space. None for null and for texts without letters."""
-    plain = F.regexp_replace(F.lower(F.concat(F.lit(" "), F.coalesce(text, F.lit("")), F.lit(" "))), "[^a-zà-ÿ]+", "_")
-
     def numbers(letters: Column) -> Column:
         each = F.transform(letters, lambda x, i: x * BASE * BASE + F.get(letters, i + 1) * BASE + F.get(letters, i + 2))
         return F.filter(each, lambda x: x.isNotNull())
 
-    return _bind(F.transform(F.split(plain, ""), _letter), numbers)
+    return _bind(F.transform(F.split(letters_of(text), ""), _letter), numbers)
 
 
 def held_out(key: Column) -> Column:
@@ -45,8 +73,21 @@ def held_out(key: Column) -> Column:
 
 def counts(texts: DataFrame, languages: tuple[str, ...] = LANGUAGES) -> DataFrame:
     """lang, gram, n over texts (lang, text) of the given languages."""
-    known = texts.where(F.col("lang").isin(*languages))
-    return known.select("lang", F.explode(trigrams(F.col("text"))).alias("gram")).groupBy("lang", "gram").agg(F.count("*").alias("n"))
+    known = texts.where(F.col("lang").isin(*languages)).select("lang", letters_of(F.col("text")).alias("plain"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[str, np.ndarray] = {}
+        for batch in batches:
+            lang = np.array(batch["lang"].to_pylist(), object)
+            for begin, end, grams, of in _grams(batch["plain"]):
+                for name in sorted(set(lang[begin:end])):
+                    seen.setdefault(name, np.zeros(GRAMS, np.int64))
+                    seen[name] += np.bincount(grams[(lang[begin:end] == name)[of]], minlength=GRAMS)
+        for name, n in seen.items():
+            at = np.flatnonzero(n)
+            yield pa.RecordBatch.from_arrays([pa.array([name] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(n[at])], ["lang", "gram", "n"])
+
+    return known.mapInArrow(run, "lang string, gram int, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
 def merge_counts(stored: DataFrame, more: DataFrame) -> DataFrame:
@@ -77,18 +118,22 @@ def detect(rows: DataFrame, trained: DataFrame, languages: tuple[str, ...] = LAN
     names, found = sorted(languages), "__found"
     while found in rows.columns:
         found += "_"
-    told = {x["lang"]: ",".join(map(str, x["w"])) for x in trained.head()["weights"]}  # GRAMS small numbers for each language
-    weights = [F.split(F.lit(told[name]), ",").cast("array<int>") for name in names]  # folded into a literal
-
-    def judge(grams: Column) -> Column:
-        total = lambda i: F.aggregate(grams, F.lit(0).cast("long"), lambda a, g: a + F.get(weights[i], g))
-        scores = F.array(*(F.struct(total(i).alias("s"), F.lit(-i).alias("i"), F.lit(name).alias("lang")) for i, name in enumerate(names)))
-
-        def best(s: Column) -> Column:
-            second = F.coalesce(F.get(s, F.lit(1))["s"], s[0]["s"])
-            return F.struct(F.when(F.size(grams) == 0, "unknown").otherwise(s[0]["lang"]).alias("guessed"), (s[0]["s"] - second).alias("margin"))
-
-        return _bind(F.sort_array(scores, False), best)
-
-    judged = rows.withColumn(found, _bind(trigrams(F.col("text")), judge))
+    told = {x["lang"]: x["w"] for x in trained.head()["weights"]}  # GRAMS small numbers for each language
+    weights = np.array([told[name] for name in names], np.int32)
+
+    @F.arrow_udf("struct<guessed:string,margin:bigint>")
+    def judge(plain: pa.Array) -> pa.Array:
+        guessed, margin = np.full(len(plain), "unknown", object), np.zeros(len(plain), np.int64)
+        for begin, end, grams, of in _grams(plain):
+            scores = np.zeros((len(names), end - begin), np.int64)
+            first = np.flatnonzero(np.append(True, of[1:] != of[:-1])) if len(of) else np.zeros(0, int)
+            for i in range(len(names) if len(of) else 0):
+                scores[i, of[first]] = np.add.reduceat(weights[i][grams], first, dtype=np.int64)
+            order = np.argsort(-scores, axis=0, kind="stable")  # the first by name of equal ones
+            at, every = np.unique(of), np.arange(end - begin)
+            guessed[begin + at] = np.array(names, object)[order[0, at]]
+            margin[begin:end] = scores[order[0], every] - scores[order[min(1, len(names) - 1)], every]
+        return pa.StructArray.from_arrays([pa.array(guessed, pa.string()), pa.array(margin)], ["guessed", "margin"])
+
+    judged = rows.withColumn(found, judge(letters_of(F.col("text"))))
     return judged.withColumns({"guessed": F.col(found)["guessed"], "margin": F.col(found)["margin"]}).drop(found)
