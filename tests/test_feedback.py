@@ -275,3 +275,13 @@ def test_spans_in_long_texts(spark):
     docs = spark.createDataFrame([("x", said)], "id string, raw_text string")
     got = pii.redact(docs).head()
     assert got.clean_text == "call [PHONE] or mail [EMAIL], " * 3000 and len(got.pii_spans) == 6000
+
+
+def test_what_a_pattern_needs_is_in_all_its_matches(spark):
+    """Texts are searched for a kind only if they have what it needs; spans are those of the patterns alone."""
+    texts = ["a@b.co", "HTTPS://x", "WwW.x", "(555)123-4567 x", "4111111111111111", "1234 5678 1234 5678", "123-45-6789", "10.0.0.1", "Ref: ABC-1234", "#1234567", "no. ABCDEFG", "w.x", "12 34", "", "é@"]
+    rows = spark.createDataFrame([(t,) for t in [*texts, " ".join(texts)]], "t string").select("t", pii.regex_spans(F.col("t")).alias("s")).collect()
+    assert set(pii.NEEDED) == {k for k, _ in pii.PATTERNS} - {"ACCOUNT_NUM"}
+    for r in rows:
+        want = [(k, m.start(1) if k == "ACCOUNT_NUM" else m.start(), m.end()) for k, p in pii.PATTERNS for m in re.finditer(p, r.t, re.ASCII)]
+        assert [(x.kind, x.start, x.end) for x in r.s] == want
