@@ -172,3 +172,20 @@ def test_rules_are_checked_and_states_follow_actions(spark):
     none = [("many", "6", day(4), "resolve")]
     assert told(none) == [(3, 6, 3, "resolved"), (11, 11, 1, "open")]  # quiet since day 6
     assert told([("many", "5", day(4), "resolve"), ("many", "5", day(12), "acknowledge")]) == [(3, 4, 2, "resolved"), (6, 6, 1, "resolved"), (11, 11, 1, "acknowledged")]
+
+
+def test_means_are_sums_in_the_order_of_units(spark):
+    """Three numbers add up to -2.4 or to a bit beside it: the order of unit_id decides, whatever the order of the rows."""
+    fiftieths = next(
+        p for p in ([a, b, c] for a in range(-50, 1) for b in range(-50, 1) for c in range(-50, 1) if a + b + c == -120)
+        if (p[0] / 50 + p[1] / 50 + p[2] / 50) / 3 < -0.8 <= (p[2] / 50 + p[1] / 50 + p[0] / 50) / 3
+    )
+    day = datetime.date(2024, 1, 1)
+    schema = "unit_id long, account_id long, unit_date date, intent_type string, topic_id long, polarity double, confidence double, channel_id long, is_new_topic boolean"
+    rows = [(3 * who + i, who, day, "question", 1, x / 50, 0.9, 0, False) for who in range(40) for i, x in enumerate(fiftieths if who % 2 else fiftieths[::-1])]
+    accounts = spark.createDataFrame([(who, "A") for who in range(40)], "account_id long, segment string")
+    rule = alerts.Rule("mood", "account", "polarity", below=-0.8)
+    for parts, given in ((1, rows), (1, rows[::-1]), (7, sorted(rows, key=lambda r: (r[0] * 7_919) % 121))):
+        units = spark.createDataFrame(given, schema).repartition(parts) if parts > 1 else spark.createDataFrame(given, schema).coalesce(1)
+        got = sorted(int(r.entity) for r in alerts.firings(alerts.daily(units, accounts), [rule]).collect())
+        assert got == list(range(1, 40, 2))

@@ -14,11 +14,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 ENTITIES = ("topic", "account", "segment", "channel")
-#: Measures of an entity's day, over its units.
+#: Measures of an entity's day, over its units. Means of doubles are sums in the order of unit_id (see daily).
 MEASURES = {
     "volume": lambda: F.count("*").cast("double"),
-    "polarity": lambda: F.avg("polarity"),
-    "confidence": lambda: F.avg("confidence"),
+    "polarity": lambda: F.max_by("polarity_sum", "place") / F.count("polarity"),
+    "confidence": lambda: F.max_by("confidence_sum", "place") / F.count("confidence"),
     "churn": lambda: F.count_if(F.col("intent_type") == "churn_signal").cast("double"),
     "new_rate": lambda: F.avg(F.col("is_new_topic").cast("double")),
 }
@@ -57,12 +57,19 @@ def rules_from(rows: Iterable[dict]) -> list[Rule]:
 
 
 def daily(units: DataFrame, accounts: DataFrame) -> DataFrame:
-    """kind, entity, day, units and the measures: a row for each entity and day with units. Each unit is one row until it is counted."""
+    """kind, entity, day, units and the measures: a row for each entity and day with units. Each unit is one row until it is counted.
+
+    The last bit of a sum of doubles depends on its order, and a mean next to a bound on that bit; so doubles are added up in the order of unit_id, as a scan of the
+    table would, however the rows are partitioned. The running sums need a sort of each entity's day, which can spill.
+    """
     known = units.join(accounts.select("account_id", "segment"), "account_id", "left")
     of = {"topic": "topic_id", "account": "account_id", "segment": "segment", "channel": "channel_id"}
     each = F.explode(F.array(*(F.struct(F.lit(kind).alias("kind"), F.col(c).cast("string").alias("entity")) for kind, c in of.items())))
-    rows = known.select(each.alias("e"), F.col("unit_date").alias("day"), "polarity", "confidence", "intent_type", "is_new_topic").where("e.entity IS NOT NULL")
-    return rows.groupBy("e.kind", "e.entity", "day").agg(F.count("*").alias("units"), *(m().alias(name) for name, m in MEASURES.items()))
+    rows = known.select(each.alias("e"), F.col("unit_date").alias("day"), "unit_id", "polarity", "confidence", "intent_type", "is_new_topic").where("e.entity IS NOT NULL")
+    rows = rows.select("e.kind", "e.entity", *rows.columns[1:])
+    order = Window.partitionBy("kind", "entity", "day").orderBy("unit_id", "polarity", "confidence").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    summed = rows.withColumns({"polarity_sum": F.sum("polarity").over(order), "confidence_sum": F.sum("confidence").over(order), "place": F.count("*").over(order)})
+    return summed.groupBy("kind", "entity", "day").agg(F.count("*").alias("units"), *(m().alias(name) for name, m in MEASURES.items()))
 
 
 def _fires(rule: Rule) -> tuple[Column, Column, Column]:
