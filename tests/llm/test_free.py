@@ -3,11 +3,14 @@
 import hashlib
 import os
 import random
+import tracemalloc
 import zlib
 from collections import defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 import tiktoken
 from brute import base_rules, classifier_features, ftrl, lm_scores
@@ -199,6 +202,20 @@ def test_scores_of_repeated_rows_and_small_tables(spark):
     assert sorted(r.n for r in lm_scoring.ngram_counts(spark.createDataFrame([(1, "a b a b"), (2, None)], SCHEMA)).collect()) == [1, 2, 2, 2]
 
 
+def test_a_block_is_counted_in_little_memory_and_few_records():
+    """A block of n bytes takes less than twenty times as much memory, and its n-grams go into 16,384 records at most."""
+    texts = [" ".join(f"{(i * 7_919 + k * 104_729) % 99_991:06d}" for k in range(300)) for i in range(1_900)]
+    table = pa.table({"block": pa.array([3] * len(texts)), "text": pa.array(texts), "copies": pa.array([1] * len(texts))})
+    tracemalloc.start()
+    try:
+        made = lm_scoring._exploded(2)(table)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 20 * sum(map(len, texts))
+    assert 0 < made.num_rows <= 16_384 and pc.sum(pc.list_flatten(made["n"])).as_py() == 1_900 * 599
+
+
 # Quality classifier
 
 

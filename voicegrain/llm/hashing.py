@@ -45,11 +45,11 @@ def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8), at
 
 
-def chunks(offsets: np.ndarray) -> Iterator[tuple[int, int]]:
-    """Ranges of rows with about CHUNK_BYTES of text each."""
+def chunks(offsets: np.ndarray, size: int = CHUNK_BYTES) -> Iterator[tuple[int, int]]:
+    """Ranges of rows with about so many bytes of text each."""
     first, n = 0, len(offsets) - 1
     while first < n:
-        last = int(np.searchsorted(offsets, offsets[first] + CHUNK_BYTES, "right")) - 1
+        last = int(np.searchsorted(offsets, offsets[first] + size, "right")) - 1
         last = min(n, max(last, first + 1))
         yield first, last
         first = last

@@ -30,9 +30,9 @@ from .shared import words
 
 MIN_COUNT, BACKOFF = 2, 0.4
 #: Characters of text in a block, about; bits of a hash that name its range.
-BLOCK_CHARS, PART_BITS = 24_000_000, 16
-#: Records of n-grams that are sent on at once.
-SENT_ROWS = 4_096
+BLOCK_CHARS, PART_BITS = 12_000_000, 14
+#: Records of n-grams that are sent on at once; bytes of text that are hashed at once, which takes some thirty times as much memory.
+SENT_ROWS, HASHED_BYTES = 1_024, 500_000
 #: Repeated rows are given back in groups of so many.
 COPIES = 1_000
 
@@ -41,7 +41,7 @@ def _grams(column: pa.ChunkedArray, order: int) -> Iterator[tuple[int, int, np.n
     """For rows [a, b) of some texts: where each text's words begin, and for 1 to order words the n-grams' hashes and the places of
     their last words."""
     data, offsets = text_buffers(column)
-    for a, b in chunks(offsets):
+    for a, b in chunks(offsets, HASHED_BYTES):
         h, first = word_hashes(data, offsets[a : b + 1])
         place = np.arange(len(h)) - np.repeat(first[:-1], np.diff(first))
         grams, at = h, np.arange(len(h))
@@ -123,6 +123,7 @@ def _scored(tokens: int, order: int):
     def run(docs: pa.Table, totals: pa.Table) -> pa.Table:
         known, _ = _distinct(docs, order)
         total = totals.sort_by("part")["totals"].combine_chunks().flatten().to_numpy(zero_copy_only=False)
+        del totals
         if len(total) != len(known):
             raise ValueError("a block's totals do not match its n-grams")
 
