@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from voicegrain.functions import rules
 from voicegrain.operators import labels
 from voicegrain.plans import signals
 
@@ -68,3 +69,22 @@ def test_no_labels(spark):
     none = spark.createDataFrame([], "label string, weight long")
     assert labels.unified(none).count() == labels.near_labels(none).count() == 0
     assert labels.unified(spark.createDataFrame([(None, 1)], "label string, weight long")).count() == 0
+
+
+def test_longest_words_of_whole_texts_go_through_arrays(spark, monkeypatch):
+    monkeypatch.setattr(labels, "CHUNK", 12)
+    told = [None, "", " ", "...", "b a", "Zz aa", "über ÜBER-all ÿÿ", "a😀bc é÷é", "no\nnewline", "x" * 40, "one\u0000two", "İstanbul ſhort", "abc abd abb", "end"] * 2
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(told)], "id long, text string").repartition(3)
+    got = rows.select(labels.longest_word(F.col("text")).alias("a"), rules.longest_word(F.col("text")).alias("b"))
+    assert all(r.a == r.b for r in got.collect()) and got.where("a = 'overall'").count() == 0
+    from voicegrain.plans import catalog
+
+    monkeypatch.setattr(catalog, "table", lambda *_: rows)
+    plan = catalog._words(spark, "")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1 and "split(" not in plan
+
+
+def test_few_parts_are_sought(spark):
+    """A label looks for 12 parts within two edits, not for all 45 that lie up to two places off."""
+    near = labels.near_labels(spark.createDataFrame([("abcdefghijkl",)], "label string"), 2)
+    assert near._jdf.queryExecution().analyzed().toString().count("CASE WHEN") <= 3 * (1 + 3) + 12 + 3 * 5

@@ -2,16 +2,54 @@
 
 Two texts within d edits share one of the d + 1 parts into which the shorter one is cut, at nearly the same place: fewer than d + 1 edits leave a part
 untouched. So each label names its own parts, looks for parts of labels that are as long or up to d shorter, and only labels that meet are compared.
+Of the parts that d edits leave untouched there is one, part i (from 0), with at most i edits before it and at most d - i after it (the multi-match
+rule of PassJoin), so that it lies no more than i places from where the shorter label has it, and no more than d - i if both are counted from the end.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .cells import cut
 from .similarity import leaders
 
+#: Characters that a task takes at a time, if a text is not longer.
+CHUNK = 1 << 20
+
+
+def longest_word(text: Column) -> Column:
+    """What rules.longest_word gives, for whole texts: the longest word in lower case, of equally long ones the last by text; empty without any."""
+
+    @F.arrow_udf("string")
+    def longest(low: pa.Array) -> pa.Array:
+        texts = low.to_pylist()
+        ends = np.cumsum([len(t) + 1 for t in texts])
+        out: list[str] = []
+        while len(out) < len(texts):
+            begin = len(out)
+            before = int(ends[begin - 1]) if begin else 0
+            end = max(begin + 1, int(np.searchsorted(ends, before + CHUNK, side="right")))
+            joined = "\n".join(texts[begin:end]) + "\n"
+            x = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
+            letter = np.zeros(len(x) + 1, np.int8)  # no word reaches over the end of a text
+            letter[1:] = ((x >= 97) & (x <= 122)) | ((x >= 224) & (x <= 255))
+            step = np.diff(letter)
+            first, last = np.flatnonzero(step == 1), np.flatnonzero(step == -1)
+            of, size = np.searchsorted(ends[begin:end] - before, first, side="right"), last - first
+            most = np.zeros(end - begin, np.int64)
+            np.maximum.at(most, of, size)
+            best = [""] * (end - begin)
+            for i in np.flatnonzero(size == most[of]).tolist():
+                word = joined[first[i] : last[i]]
+                best[of[i]] = max(best[of[i]], word)
+            out += best
+        return pa.array(out, pa.string())
+
+    return longest.asNondeterministic()(F.lower(F.coalesce(text, F.lit(""))))  # so that a filter of the words does not find them a second time
+
 
 def _parts(size: Column, distance: int) -> list[tuple[Column, Column]]:
     """Begin (from 0) and length of the parts of a text of a size: nearly equal ones, the longer ones last."""
@@ -44,14 +82,15 @@ def near_labels(labels: DataFrame, distance: int = 1) -> DataFrame:
     for less in range(distance + 1):
         shorter = size - less
         for i, (begin, n) in enumerate(_parts(F.greatest(shorter, F.lit(0)), distance)):
-            for shift in range(-distance, distance + 1):
+            for shift in range(max(-i, less - (distance - i)), min(i, less + distance - i) + 1):
                 at = begin + shift
                 inside = (shorter >= 0) & (at >= 0) & (at + n <= size)
                 sought.append(F.when(inside, _key(shorter, i, F.substring(F.col("label"), at + 1, n))))
     left = each.select(F.col("label").alias("x"), F.explode(own).alias("key"))
     right = each.select(F.col("label").alias("y"), F.explode(F.array_distinct(F.array_compact(F.array(*sought)))).alias("key"))
     edits = F.levenshtein("x", "y", distance)
-    met = left.hint("merge").join(right, "key").where(F.col("x") != F.col("y"))
+    once = (F.length("x") < F.length("y")) | (F.col("x") < F.col("y"))  # y is as long or longer; equally long ones meet from either side
+    met = left.hint("merge").join(right, "key").where(once)
     near = met.select("x", "y", edits.alias("edits")).where(F.col("edits").between(1, distance))
     return near.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "edits").distinct()
 
