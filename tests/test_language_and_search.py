@@ -84,6 +84,22 @@ def test_pages_end_in_the_whole_search(spark, tmp_path, monkeypatch):
     assert "folder" in found.postings("abcd")._jdf.queryExecution().toString()
 
 
+def test_postings_are_put_together_before_they_are_shuffled(spark, monkeypatch):
+    from voicegrain.operators import search_index
+
+    monkeypatch.setattr(search_index, "CHUNK", 20)
+    rows = spark.createDataFrame([r for r in ROWS if None not in r], "id long, label string")
+    found = search_index.posted(rows)
+    want = {}
+    for i, t in ROWS:
+        if i is not None and t is not None:
+            low = t.lower() + "\u0000"
+            for k in range(len(low) - 2):
+                want.setdefault((low[k : k + 3], i // 4096), set()).add(i)
+    assert {(r.gram, r.block): r.ids for r in found.collect()} == {k: sorted(v) for k, v in want.items()}
+    assert "Generate" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_empty_index(spark, tmp_path):
     found = SearchIndex(spark, str(tmp_path / "index")).add(spark.createDataFrame([], "id long, label string"))
     assert found.find("on").count() == found.first("moon").count() == 0

@@ -8,6 +8,10 @@ itself; results are those of a scan. A text ends with an extra mark, so that a n
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,18 +20,52 @@ FOLDERS = 64
 END = "\u0000"
 #: Candidates that first() compares at a time, and how often before it leaves the rest to find().
 PAGE, PAGES = 256, 4
-
-
-def _bind(value: Column, body) -> Column:
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
-def trigrams(text: Column) -> Column:
-    """The different trigrams of a text in lower case and its end mark."""
-    return _bind(
-        F.split(F.concat(F.lower(text), F.lit(END)), ""),
-        lambda c: F.array_distinct(F.filter(F.transform(c, lambda x, i: F.concat(x, F.get(c, i + 1), F.get(c, i + 2))), lambda g: g.isNotNull())),
-    )
+#: Characters of text that a task makes postings of at a time, if a text is not longer.
+CHUNK = 1 << 22
+
+
+def _postings(ids: list[int], texts: list[str]) -> pa.RecordBatch:
+    """gram, block, ids of some texts in lower case. A trigram is a number of three times 21 bits until it is sent on."""
+    found, of = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for i in sorted(range(len(ids)), key=ids.__getitem__):
+        x = np.frombuffer((texts[i] + END).encode("utf-32-le"), np.uint32).astype(np.int64)
+        grams = np.unique(x[:-2] << 42 | x[1:-1] << 21 | x[2:]) if len(x) > 2 else found[0]
+        found.append(grams)
+        of.append(np.full(len(grams), ids[i], np.int64))
+    gram, own = np.concatenate(found), np.concatenate(of)
+    by = np.argsort(gram, kind="stable")  # ids ascend in each trigram
+    gram, own = gram[by], own[by]
+    block = own // BLOCK
+    changed = lambda x: np.append(True, x[1:] != x[:-1])[: len(x)]
+    fresh = changed(gram) | changed(own)  # several texts of one id
+    gram, own, block = gram[fresh], own[fresh], block[fresh]
+    begin = np.flatnonzero(changed(gram) | changed(block))
+    low = (1 << 21) - 1
+    told = np.stack([gram[begin] >> 42, gram[begin] >> 21 & low, gram[begin] & low], 1).astype("<u4").tobytes().decode("utf-32-le")
+    lists = pa.ListArray.from_arrays(pa.array(np.append(begin, len(own)).astype(np.int32)), pa.array(own))
+    return pa.RecordBatch.from_arrays([pa.array([told[i : i + 3] for i in range(0, len(told), 3)], pa.string()), pa.array(block[begin]), lists], ["gram", "block", "ids"])
+
+
+def posted(rows: DataFrame) -> DataFrame:
+    """gram, block, ids: the postings of rows (id, label), none of them null. A task puts the ids of a trigram and block together before they are shuffled."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids: list[int] = []
+        texts: list[str] = []
+        size = 0
+        for batch in batches:
+            for i, text in zip(batch["id"].to_pylist(), batch["low"].to_pylist(), strict=True):
+                ids.append(i)
+                texts.append(text)
+                size += len(text) + 1
+                if size >= CHUNK:
+                    yield _postings(ids, texts)
+                    ids, texts, size = [], [], 0
+        if ids:
+            yield _postings(ids, texts)
+
+    some = rows.select("id", F.lower("label").alias("low")).mapInArrow(run, "gram string, block long, ids array<bigint>")
+    return some.groupBy("gram", "block").agg(F.sort_array(F.array_distinct(F.flatten(F.collect_list("ids")))).alias("ids"))  # BLOCK ids at most
 
 
 def _folder(gram: Column) -> Column:
@@ -54,11 +92,8 @@ class SearchIndex:
         """
         rows = rows.select(F.col("id").cast("long").alias("id"), "label").where("id IS NOT NULL AND label IS NOT NULL")
         rows.repartitionByRange("id").sortWithinPartitions("id").write.mode("append").option("parquet.block.size", 1 << 23).parquet(f"{self.path}/texts")
-        grams = rows.select("id", F.explode(trigrams(F.col("label"))).alias("gram"))
-        block = F.floor(F.col("id") / BLOCK).cast("long").alias("block")
-        posted = grams.groupBy("gram", block).agg(F.sort_array(F.collect_set("id")).alias("ids"))  # BLOCK ids at most
-        posted = posted.withColumn("folder", _folder(F.col("gram"))).repartitionByRange("folder", "gram", "block").sortWithinPartitions("folder", "gram", "block")
-        posted.write.mode("append").option("parquet.block.size", 1 << 23).partitionBy("folder").parquet(f"{self.path}/postings")
+        told = posted(rows).withColumn("folder", _folder(F.col("gram"))).repartitionByRange("folder", "gram", "block").sortWithinPartitions("folder", "gram", "block")
+        told.write.mode("append").option("parquet.block.size", 1 << 23).partitionBy("folder").parquet(f"{self.path}/postings")
         return self
 
     def texts(self) -> DataFrame:
