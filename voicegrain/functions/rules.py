@@ -15,6 +15,8 @@ INTENT_WORDS = {
     "question": ("how", "why", "what", "when", "where"),
     "praise": ("love", "great", "excellent", "thanks", "perfect"),
 }
+#: All words that polarity and intent look for.
+LEXICON = tuple(sorted({*POSITIVE, *NEGATIVE, *(w for words in INTENT_WORDS.values() for w in words)}))
 LANGUAGES = ("en", "fr", "de", "es")
 STOP_WORDS = {
     "en": ("the", "and", "of", "to", "in", "is", "that", "with"),
@@ -47,41 +49,52 @@ def language(text: Column) -> Column:
     return _bind(words_of(text), choose)
 
 
+def _told(text: Column, body) -> Column:
+    """body(w) with w bound to the words of a text that are in the lexicon, which are few; so the text is cut into words once."""
+    return _bind(F.filter(words_of(text), lambda w: w.isin(*LEXICON)), body)
+
+
+def _polarity(w: Column) -> Column:
+    weigh = lambda p, q: F.coalesce(F.try_divide((p - q).cast("double"), p + q), F.lit(0.0))
+    return _bind(hits(w, POSITIVE), lambda p: _bind(hits(w, NEGATIVE), lambda q: weigh(p, q)))
+
+
+def _intent_type(w: Column) -> Column:
+    out = F.lit("general_comment")
+    for name, lexicon in reversed(INTENT_WORDS.items()):
+        out = F.when(hits(w, lexicon) > 0, F.lit(name)).otherwise(out)
+    return out
+
+
 def polarity(text: Column) -> Column:
     """(positive - negative) / (positive + negative) words; 0 without either."""
-    return _bind(
-        words_of(text),
-        lambda w: F.coalesce(F.try_divide((hits(w, POSITIVE) - hits(w, NEGATIVE)).cast("double"), hits(w, POSITIVE) + hits(w, NEGATIVE)), F.lit(0.0)),
-    )
+    return _told(text, _polarity)
 
 
 def intent(text: Column) -> Column:
-    def choose(w: Column) -> Column:
-        out = F.lit("general_comment")
-        for name, lexicon in reversed(INTENT_WORDS.items()):
-            out = F.when(hits(w, lexicon) > 0, F.lit(name)).otherwise(out)
-        return out
+    return _told(text, _intent_type)
 
-    return _bind(words_of(text), choose)
 
+def _sentiment(w: Column) -> Column:
+    def answer(p: Column) -> Column:
+        strength = F.when(F.abs(p) >= 0.8, "strong").when(F.abs(p) >= 0.4, "moderate").otherwise("mild")
+        return F.struct(p.alias("polarity"), strength.alias("intensity"), F.when(p == 0, F.lit(0.5)).otherwise(F.lit(0.8)).alias("confidence"))
 
-def _sentiment(text: Column) -> Column:
-    p = polarity(text)
-    strength = F.when(F.abs(p) >= 0.8, "strong").when(F.abs(p) >= 0.4, "moderate").otherwise("mild")
-    return F.struct(p.alias("polarity"), strength.alias("intensity"), F.when(p == 0, F.lit(0.5)).otherwise(F.lit(0.8)).alias("confidence"))
+    return _bind(_polarity(w), answer)
 
 
-def _intent(text: Column) -> Column:
-    name = intent(text)
-    return F.struct(name.alias("intent_type"), F.when(name.isin("churn_signal", "bug_report"), "high").otherwise("low").alias("urgency"))
+def _intent(w: Column) -> Column:
+    return _bind(
+        _intent_type(w), lambda name: F.struct(name.alias("intent_type"), F.when(name.isin("churn_signal", "bug_report"), "high").otherwise("low").alias("urgency"))
+    )
 
 
 def sentiment_answer(text: Column) -> Column:
-    return F.to_json(_sentiment(text))
+    return F.to_json(_told(text, _sentiment))
 
 
 def combined_answer(text: Column) -> Column:
-    return F.to_json(F.struct(_sentiment(text).alias("sentiment"), _intent(text).alias("intent")))
+    return F.to_json(_told(text, lambda w: F.struct(_sentiment(w).alias("sentiment"), _intent(w).alias("intent"))))
 
 
 def longest_word(text: Column) -> Column:

@@ -77,18 +77,18 @@ def _intent(s: Column) -> Column:
 
 def parse_sentiment(raw: Column) -> Column:
     """A sentiment answer with its defaults; what isn't JSON is neutral, mild and of no confidence."""
-    return _sentiment(_json(raw, SENTIMENT)[0])
+    return bind(_json(raw, SENTIMENT)[0], _sentiment)
 
 
 def parse_intent(raw: Column) -> Column:
     """An intent answer with its defaults; what isn't JSON is a complaint of medium urgency."""
-    return _intent(_json(raw, INTENT)[0])
+    return bind(_json(raw, INTENT)[0], _intent)
 
 
 def parse_combined(raw: Column) -> Column:
     """struct<sentiment, intent> of a combined answer; a missing section gets its defaults."""
     both, _ = _json(raw, COMBINED)
-    return F.struct(_sentiment(both["sentiment"]).alias("sentiment"), _intent(both["intent"]).alias("intent"))
+    return bind(both, lambda b: F.struct(_sentiment(b["sentiment"]).alias("sentiment"), _intent(b["intent"]).alias("intent")))
 
 
 def parse_account(raw: Column, domain: Column) -> Column:
