@@ -25,7 +25,7 @@ def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps what passes the base rules and reaches the log-likelihood threshold."""
-    return quality_rules.quality_rules(docs, table(spark, sf_dir, "labels")).where("kept").select(*docs.columns)
+    return quality_rules.quality_rules(docs, table(spark, sf_dir, "labels"), verdict=True).where("kept").select(*docs.columns)
 
 
 def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
